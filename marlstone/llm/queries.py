@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.components import connected_components
 from marlstone.llm.near_duplicates import all_pairs, near_duplicate_groups, near_duplicate_pairs
+from marlstone.llm.spans import shared_share, shared_spans
+from marlstone.llm.splitting import cut_levels, item_ranges, split_oversized
+from marlstone.llm.tokenizing import encode_corpus
 from marlstone.llm.topn import best_answers
 from marlstone.runtime import table
 
@@ -28,7 +31,33 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(links, "post_id", "related_post_id").withColumnRenamed("member", "post_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found)}
+def _ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bodies = item_ranges(table(spark, sf_dir, "qa_docs"), "qa_docs", "doc_id", "body")
+    return bodies.unionByName(item_ranges(table(spark, sf_dir, "raw_chunks"), "raw_chunks", "raw_id", "text"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_levels(_ranges(spark, sf_dir))
+
+
+def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return split_oversized(_ranges(spark, sf_dir))
+
+
+def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return shared_share(documents, shared_spans(documents, "doc_id", "text"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p4_found, p4_pieces, p7_ids, p9_found, p9_shared)}
 
 ORACLE = {
     "p1_found": r"""
@@ -49,4 +78,20 @@ WITH RECURSIVE e AS (SELECT DISTINCT post_id AS a, related_post_id AS b FROM pos
 b AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS post_id, a AS seen FROM b UNION SELECT r.post_id, b.b FROM r JOIN b ON b.a = r.seen)
 SELECT min(seen) AS group_id, post_id FROM r GROUP BY post_id""",
+    "p4_found": r"""
+WITH i AS (SELECT DISTINCT 'qa_docs' AS item_table, doc_id AS item_id, body AS t FROM qa_docs UNION SELECT DISTINCT 'raw_chunks', raw_id, text FROM raw_chunks),
+o AS (SELECT * FROM i WHERE strlen(t) > 1536)
+SELECT item_table, item_id, CASE
+  WHEN list_max(list_transform(string_split_regex(t, '\n\n+'), lambda x: strlen(x))) <= 1536 THEN 'paragraph'
+  WHEN list_max(list_transform(string_split_regex(t, '\n'), lambda x: strlen(x))) <= 1536 THEN 'line'
+  WHEN list_max(list_transform(string_split_regex(t, '[ \t\n]+'), lambda x: strlen(x))) <= 1536 THEN 'word' ELSE 'char' END AS cut_level
+FROM o""",
+    "p9_found": """
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300),
+s AS (SELECT doc_id, n, unnest(range(n - 299)) AS i, text FROM d),
+w AS (SELECT doc_id, i, md5_number_lower(substr(text, i + 1, 300)) AS h FROM s),
+r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+p AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM w WHERE h IN (SELECT h FROM r)),
+g AS (SELECT doc_id, i, sum(CASE WHEN b IS NULL OR i - b > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM p)
+SELECT doc_id, CAST(min(i) AS INTEGER) AS start_pos, CAST(max(i) + 300 AS INTEGER) AS end_pos FROM g GROUP BY doc_id, g""",
 }
