@@ -11,16 +11,18 @@ import numpy as np
 
 
 def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).astype(np.int64)
+    """Distances of codes, one row of 64-bit words each."""
+    return np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
 
 
 class BKForest:
-    """Trees over 64-bit codes, the first code of each shard its root. Equal codes chain on edge 0."""
+    """Trees over codes of one or more 64-bit words, the first code of each shard its root. Equal codes chain on edge 0."""
 
     def __init__(self, shard: np.ndarray, code: np.ndarray):
         """shard: whole numbers, in non-decreasing order."""
         n = len(code)
         self.code = code
+        self.edges = 64 * code.shape[1] + 1
         self.parent = np.full(n, -1, np.int64)
         self.edge = np.full(n, -1, np.int64)
         first = np.r_[True, shard[1:] != shard[:-1]] if n else np.zeros(0, bool)
@@ -30,7 +32,7 @@ class BKForest:
         at = node[rest]
         while len(rest):
             d = hamming(code[rest], code[at])
-            key = at * 65 + d
+            key = at * self.edges + d
             _, firsts, inverse = np.unique(key, return_index=True, return_inverse=True)
             child = rest[firsts]  # the first of those that want the same edge becomes the child, the others go below it
             self.parent[child], self.edge[child] = at[firsts], d[firsts]
@@ -39,7 +41,7 @@ class BKForest:
             rest, at = rest[keep], below[keep]
         # children by parent and edge, so that the edges d - r to d + r are one slice
         kids = np.flatnonzero(self.parent >= 0)
-        key = self.parent[kids] * 65 + self.edge[kids]
+        key = self.parent[kids] * self.edges + self.edge[kids]
         order = np.argsort(key, kind="stable")
         self.kids, self.kid_keys = kids[order], key[order]
 
@@ -57,8 +59,8 @@ class BKForest:
             near = d <= radius
             if near.any():
                 yield q[near], node[near]
-            low = np.searchsorted(self.kid_keys, node * 65 + np.maximum(d - radius, 0), side="left")
-            high = np.searchsorted(self.kid_keys, node * 65 + np.minimum(d + radius, 64), side="right")
+            low = np.searchsorted(self.kid_keys, node * self.edges + np.maximum(d - radius, 0), side="left")
+            high = np.searchsorted(self.kid_keys, node * self.edges + np.minimum(d + radius, self.edges - 1), side="right")
             n = high - low
             total = int(n.sum())
             if total:

@@ -55,9 +55,11 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             least = np.empty((HASHES, len(some)), np.uint64)
             for j in range(HASHES):
                 np.minimum.reduceat(x * _SEEDS[j], at, out=least[j])
-            code = np.zeros(len(some), np.uint64)
+            code = np.zeros((2, len(some)), np.uint64)
             for j in range(HASHES):
-                code |= (mix(least[j]) & np.uint64(1)) << np.uint64(j)
+                bits = mix(least[j])
+                for w in range(2):
+                    code[w] |= ((bits >> np.uint64(w)) & np.uint64(1)) << np.uint64(j)
             bands = np.empty((len(some), BANDS), np.uint64)
             for i in range(BANDS):
                 v = np.full(len(some), i, np.uint64)
@@ -67,8 +69,8 @@ def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBa
             whole = np.add.reduceat(x, at), np.add.reduceat(mix(x + np.uint64(1)), at)  # of the whole set: equal sets, equal sums
             flat = pa.array(bands.ravel().view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch["_id"].slice(a, b - a).take(pa.array(some)), pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), pa.array(code.view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), flat)],
-                names=["_id", "set_a", "set_b", "code", "bands"],
+                [batch["_id"].slice(a, b - a).take(pa.array(some)), pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), pa.array(code[0].view(np.int64)), pa.array(code[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), flat)],
+                names=["_id", "set_a", "set_b", "code_a", "code_b", "bands"],
             )
 
 
@@ -87,7 +89,7 @@ def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
             return
         t = pa.Table.from_batches(parts)
         shard, role, rep = t["shard"].to_numpy(), t["role"].to_numpy(), t["rep"].to_numpy()
-        code = t["code"].to_numpy().view(np.uint64)
+        code = np.stack([t["code_a"].to_numpy(), t["code_b"].to_numpy()], axis=1).view(np.uint64)
         tree, probe = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         number = np.cumsum(np.r_[0, shard[1:] != shard[:-1]])
         for q, node in BKForest(number[tree], code[tree]).search(number[probe], code[probe], radius):
@@ -122,7 +124,7 @@ def near_duplicate_pairs(records: DataFrame, key: str, title: str, body: str, k:
     members (rep, id): each id with the least id of the class of equal shingle sets it belongs to. pairs (a, b,
     similarity): different classes, by representative, a < b. So copies are never expanded here, and no link is lost.
 
-    Each class gets 64 min-hashes: one bit of each makes a 64-bit code, triples of them name the shards it is filed in.
+    Each class gets 64 min-hashes: two bits of each make a 128-bit code, triples of them name the shards it is filed in.
     A shard is a BK-tree on the codes, children keyed by integer Hamming distance to their parent; its classes are
     probed along the edges within the radius that keeps similarity `threshold` with 3.5 standard deviations. Trees
     travel to the probes by shuffle, not by broadcast: all trees together grow with the data. A shard above `block`
@@ -134,18 +136,20 @@ def near_duplicate_pairs(records: DataFrame, key: str, title: str, body: str, k:
     whatever their names, are ignored; empty tables give empty results.
     """
     own = records.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.col(title).alias("_title"), F.col(body).alias("_body"))
-    sketch_type = "_id bigint, set_a bigint, set_b bigint, code bigint, bands array<bigint>"
+    sketch_type = "_id bigint, set_a bigint, set_b bigint, code_a bigint, code_b bigint, bands array<bigint>"
     sketches = materialise(own.mapInArrow(lambda b: _sketches(b, k), sketch_type))
-    classes = sketches.groupBy("set_a", "set_b").agg(F.min("_id").alias("rep"), F.first("code").alias("code"), F.first("bands").alias("bands"))
+    classes = sketches.groupBy("set_a", "set_b").agg(F.min("_id").alias("rep"), F.first("code_a").alias("code_a"), F.first("code_b").alias("code_b"), F.first("bands").alias("bands"))
     radius = _radius(threshold)
 
-    filed = classes.select("rep", "code", F.explode("bands").alias("band"))
+    # only band and rep are filed; the codes follow for the few that share a shard
+    filed = classes.select("rep", F.explode("bands").alias("band"))
     counted = filed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1")
     blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
     gridded = counted.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     # block i's tree meets the probes of blocks 0..i; a record is in the tree of its block and a probe of that and all later blocks
     role = F.explode(F.concat(F.transform(F.sequence(F.lit(0), F.col("own")), lambda j: F.struct(F.lit(0).alias("role"), F.col("own").alias("i"), j.alias("j"))), F.transform(F.sequence(F.col("own"), F.col("blocks") - 1), lambda i: F.struct(F.lit(1).alias("role"), i.alias("i"), F.col("own").alias("j")))))
-    shards = gridded.select("rep", "code", "band", role.alias("r")).select(F.xxhash64("band", "r.i", "r.j").alias("shard"), "r.role", "rep", "code")
+    coded = gridded.join(classes.select("rep", "code_a", "code_b"), "rep")
+    shards = coded.select("rep", "code_a", "code_b", "band", role.alias("r")).select(F.xxhash64("band", "r.i", "r.j").alias("shard"), "r.role", "rep", "code_a", "code_b")
     spread = shards.repartition("shard").sortWithinPartitions("shard", "role", "rep")
     candidates = materialise(spread.mapInArrow(lambda b: _search(b, radius), "a bigint, b bigint").distinct())
 
@@ -162,9 +166,11 @@ def near_duplicate_pairs(records: DataFrame, key: str, title: str, body: str, k:
 
 
 def _radius(threshold: float) -> int:
-    """Bits of the codes of two sets of this similarity that differ: (1 - s) / 2 each; 3.5 standard deviations above the mean."""
-    p = (1 - threshold) / 2
-    return math.ceil(HASHES * p + 3.5 * math.sqrt(HASHES * p * (1 - p)))
+    """Bits of two codes that differ at this similarity, 3.5 standard deviations above the mean.
+
+    A share q = 1 - threshold of the min-hashes differs, and of each of these two bits with even odds."""
+    q = 1 - threshold
+    return math.ceil(HASHES * q + 3.5 * math.sqrt(HASHES * (q * 0.5 + q * (1 - q))))
 
 
 def all_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
