@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marlstone.llm.components import connected_components
+from marlstone.llm.leakage import leaked_items
 from marlstone.llm.near_duplicates import all_pairs, near_duplicate_groups, near_duplicate_pairs
 from marlstone.llm.spans import shared_share, shared_spans
 from marlstone.llm.splitting import cut_levels, item_ranges, split_oversized
@@ -48,6 +49,10 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "golden_pairs"), "query_id", "query_body")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_spans(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -57,7 +62,7 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(documents, shared_spans(documents, "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p4_found, p4_pieces, p7_ids, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p4_found, p4_pieces, p7_ids, p8_found, p9_found, p9_shared)}
 
 ORACLE = {
     "p1_found": r"""
@@ -86,6 +91,13 @@ SELECT item_table, item_id, CASE
   WHEN list_max(list_transform(string_split_regex(t, '\n'), lambda x: strlen(x))) <= 1536 THEN 'line'
   WHEN list_max(list_transform(string_split_regex(t, '[ \t\n]+'), lambda x: strlen(x))) <= 1536 THEN 'word' ELSE 'char' END AS cut_level
 FROM o""",
+    "p8_found": r"""
+WITH q AS (SELECT query_id, regexp_extract_all(lower(query_body), '[\p{L}\p{N}]+') AS w FROM golden_pairs),
+s AS (SELECT DISTINCT least(len(w), 13) AS n FROM q WHERE len(w) > 0),
+g AS (SELECT DISTINCT query_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM (SELECT *, least(len(w), 13) AS n FROM q WHERE len(w) > 0)),
+d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
+h AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM d, s WHERE len(w) >= n)
+SELECT DISTINCT doc_id, query_id FROM h JOIN g USING (n, g)""",
     "p9_found": """
 WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300),
 s AS (SELECT doc_id, n, unnest(range(n - 299)) AS i, text FROM d),
