@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from marlstone.llm.components import connected_components
 from marlstone.llm.leakage import leaked_items
 from marlstone.llm.near_duplicates import all_pairs, near_duplicate_groups, near_duplicate_pairs
+from marlstone.llm.neighbours import nearest_vectors, neighbour_pairs
 from marlstone.llm.spans import shared_share, shared_spans
 from marlstone.llm.splitting import cut_levels, item_ranges, split_oversized
 from marlstone.llm.tokenizing import encode_corpus
@@ -45,6 +46,10 @@ def p4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_oversized(_ranges(spark, sf_dir))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbour_pairs(nearest_vectors(table(spark, sf_dir, "cache_entries"), "seq", "embedding", dim=64), "seq")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_corpus(table(spark, sf_dir, "documents"), "doc_id", "text")
 
@@ -62,7 +67,7 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(documents, shared_spans(documents, "doc_id", "text"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p4_found, p4_pieces, p7_ids, p8_found, p9_found, p9_shared)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p4_found, p4_pieces, p5_found, p7_ids, p8_found, p9_found, p9_shared)}
 
 ORACLE = {
     "p1_found": r"""
@@ -91,6 +96,12 @@ SELECT item_table, item_id, CASE
   WHEN list_max(list_transform(string_split_regex(t, '\n'), lambda x: strlen(x))) <= 1536 THEN 'line'
   WHEN list_max(list_transform(string_split_regex(t, '[ \t\n]+'), lambda x: strlen(x))) <= 1536 THEN 'word' ELSE 'char' END AS cut_level
 FROM o""",
+    "p5_found": """
+WITH e AS (SELECT DISTINCT seq, CAST(embedding AS DOUBLE[]) AS v FROM cache_entries WHERE len(embedding) = 64),
+v AS (SELECT seq, v, sqrt(list_dot_product(v, v)) AS n FROM e WHERE list_dot_product(v, v) > 0),
+p AS (SELECT a.seq AS q, b.seq AS n, round(list_dot_product(a.v, b.v) / (a.n * b.n), 6) AS c FROM v a JOIN v b ON a.seq <> b.seq),
+r AS (SELECT q, n, row_number() OVER (PARTITION BY q ORDER BY c DESC, n) AS k FROM p WHERE c >= 0.85)
+SELECT DISTINCT least(q, n) AS seq_a, greatest(q, n) AS seq_b FROM r WHERE k <= 5""",
     "p8_found": r"""
 WITH q AS (SELECT query_id, regexp_extract_all(lower(query_body), '[\p{L}\p{N}]+') AS w FROM golden_pairs),
 s AS (SELECT DISTINCT least(len(w), 13) AS n FROM q WHERE len(w) > 0),
