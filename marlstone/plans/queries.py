@@ -1,4 +1,310 @@
 """Registered queries of the retrieval operators, with their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from marlstone.functions import text as T
+from marlstone.functions.vectors import cosine
+from marlstone.operators import caching, chunking, corpus, evaluation, measures, retrieval
+from marlstone.runtime import table
+
+DIM = 64
+
+
+def _posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evaluation.current_posts(table(spark, sf_dir, "posts"))
+
+
+def corpus_scan_stats(spark, sf_dir):
+    return corpus.scan_stats(table(spark, sf_dir, "posts"))
+
+
+def tag_histogram(spark, sf_dir):
+    return corpus.tag_histogram(_posts(spark, sf_dir))
+
+
+def tag_histogram_topn(spark, sf_dir):
+    return corpus.tag_histogram(_posts(spark, sf_dir), 12)
+
+
+def gold_tag_distribution(spark, sf_dir):
+    return table(spark, sf_dir, "golden_pairs").select(F.explode("gold_tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+def parse_tags(spark, sf_dir):
+    return _posts(spark, sf_dir).select("id", F.posexplode(T.parse_tags(F.col("tags"))).alias("pos", "tag"))
+
+
+def html_clean(spark, sf_dir):
+    return _posts(spark, sf_dir).select("id", T.html_to_text(F.col("body")).alias("text"))
+
+
+def text_profile(spark, sf_dir):
+    text = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.token_count(text).alias("tokens"), T.has_code(text).alias("has_code"), T.content_hash(text).alias("content_hash"), T.excerpt(text, 80).alias("excerpt"))
+
+
+def duplicate_hashes(spark, sf_dir):
+    hashed = table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.col("text")).alias("content_hash")).filter("content_hash IS NOT NULL")
+    return hashed.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_doc")).filter("n > 1")
+
+
+def document_text(spark, sf_dir):
+    docs = table(spark, sf_dir, "qa_docs")
+    return docs.select("doc_id", T.token_count(T.full_text(F.col("title"), F.col("body"), F.col("answers"))).alias("full_tokens"), T.context_prefix(F.col("title"), F.col("tags")).alias("prefix")).distinct()
+
+
+def chunk_documents(spark, sf_dir):
+    chunks = chunking.chunk_documents(_qa_docs(spark, sf_dir))
+    return chunks.select("chunk_id", T.as_uuid(F.col("chunk_id")).alias("chunk_uuid"), "doc_id", "chunk_index", "chunk_count", "content_hash", "element_type", "token_count", "split_code", "text", "pipeline_version")
+
+
+def _qa_docs(spark, sf_dir):
+    return table(spark, sf_dir, "qa_docs").dropDuplicates(["doc_id", "title", "body", "answers"])
+
+
+def chunk_stats(spark, sf_dir):
+    return corpus.chunk_stats(chunking.chunk_documents(_qa_docs(spark, sf_dir)))
+
+
+def raw_chunk_stats(spark, sf_dir):
+    chunks = table(spark, sf_dir, "raw_chunks").groupBy("raw_id").agg(F.max(F.struct("doc_id", "element_type", "text")).alias("c")).select("raw_id", "c.*")
+    return corpus.chunk_stats(chunks.withColumn("token_count", T.token_count(F.col("text"))))
+
+
+def chunk_token_percentiles(spark, sf_dir):
+    chunks = table(spark, sf_dir, "raw_chunks").select("raw_id", "element_type", "text").distinct().withColumn("tokens", T.token_count(F.col("text")))
+    return measures.nearest_rank(chunks, ["element_type"], "tokens")
+
+
+def changed_chunks(spark, sf_dir):
+    raw = table(spark, sf_dir, "raw_chunks").select("raw_id", "doc_id", "chunk_index", "text").distinct()
+    old = raw.select(T.chunk_id(F.col("doc_id"), F.col("chunk_index"), T.content_hash(F.col("text"))).alias("chunk_id"))
+    edited = raw.withColumn("text", F.when(F.pmod("raw_id", F.lit(7)) == 0, F.concat("text", F.lit(" (edited)"))).when(F.pmod("raw_id", F.lit(7)) == 1, F.concat(F.lit("  "), "text")).otherwise(F.col("text")))
+    new = edited.select("raw_id", T.chunk_id(F.col("doc_id"), F.col("chunk_index"), T.content_hash(F.col("text"))).alias("chunk_id"))
+    return chunking.changed_chunks(old, new)
+
+
+def answers_top3(spark, sf_dir):
+    return corpus.top_answers(_posts(spark, sf_dir)).select("parent_id", "answer_id", F.col("i").alias("rank_no"))
+
+
+def assembled_documents(spark, sf_dir):
+    docs = corpus.assemble_documents(_posts(spark, sf_dir))
+    return docs.select("doc_id", "title", F.size("answers").alias("n_answers"), F.octet_length(F.array_join("answers", "\n")).alias("answer_bytes"), F.array_join("tags", ",").alias("tag_list"), "score", "effective_date", "source_uri")
+
+
+def _terms(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", T.terms(F.col("text")).alias("terms"))
+
+
+def bm25_stats(spark, sf_dir):
+    return retrieval.bm25_stats(_terms(spark, sf_dir), "terms").withColumn("avg_len", F.round("avg_len", 6))
+
+
+def bm25_idf(spark, sf_dir):
+    return retrieval.bm25_idf(_terms(spark, sf_dir), "terms").withColumn("idf", F.round("idf", 6))
+
+
+def bm25_doc_vector(spark, sf_dir):
+    return retrieval.bm25_vectors(_terms(spark, sf_dir), "doc_id", "terms").withColumn("weight", F.round("weight", 6))
+
+
+def _search_side(spark, sf_dir, with_body: bool):
+    """Labelled questions as queries, current questions' titles and bodies as documents."""
+    golden = table(spark, sf_dir, "golden_pairs")
+    query = T.query_text(F.col("query_title"), F.col("query_body")) if with_body else F.col("query_title")
+    posts = _posts(spark, sf_dir).filter("post_type_id = 1")
+    text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.regexp_replace(F.coalesce("body", F.lit("")), "<[^>]*>", " "))
+    return golden.select("query_id", T.terms(query).alias("terms")), posts.select(F.col("id").alias("doc_id"), T.terms(text).alias("terms"))
+
+
+def _bm25(spark, sf_dir, with_body: bool, k: int):
+    found = retrieval.sparse_search(*_search_side(spark, sf_dir, with_body), k + 1).filter("query_id <> doc_id")
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter(F.col("rank") <= k)
+
+
+def bm25_search(spark, sf_dir):
+    return _bm25(spark, sf_dir, False, 10)
+
+
+def rrf_fusion(spark, sf_dir):
+    lists = _bm25(spark, sf_dir, False, 50).withColumn("retriever", F.lit("title")).unionByName(_bm25(spark, sf_dir, True, 50).withColumn("retriever", F.lit("body")))
+    return retrieval.rrf_fuse(lists.select("query_id", "doc_id", "rank", "retriever"), limit=10)
+
+
+def dense_knn(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.filter(F.pmod("vec_id", F.lit(20)) == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return retrieval.dense_search(queries, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec")), 10, DIM)
+
+
+def dense_knn_filtered(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    queries = e.filter(F.pmod("vec_id", F.lit(20)) == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"), "label")
+    return retrieval.dense_search(queries, e.select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("vec"), "label"), 10, DIM, ["label"])
+
+
+def _cache_sides(spark, sf_dir):
+    entries = caching.distinct_entries(table(spark, sf_dir, "cache_entries"))
+    return entries.filter(F.pmod("seq", F.lit(20)) == 0), entries
+
+
+def hybrid_search(spark, sf_dir):
+    asked, entries = _cache_sides(spark, sf_dir)
+    dense = retrieval.dense_search(asked.select(F.col("seq").alias("query_id"), F.col("embedding").alias("vec")), entries.select(F.col("seq").alias("doc_id"), F.col("embedding").alias("vec")), 50, DIM)
+    sparse = retrieval.sparse_search(asked.select(F.col("seq").alias("query_id"), T.terms(F.col("query")).alias("terms")), entries.select(F.col("seq").alias("doc_id"), T.terms(F.col("query")).alias("terms")), 51)
+    sparse = sparse.filter("query_id <> doc_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).filter("rank <= 50")
+    return retrieval.hybrid_search(dense, sparse, 10)
+
+
+def dedupe_by_document(spark, sf_dir):
+    chunks = table(spark, sf_dir, "raw_chunks").select("raw_id", "doc_id", "text").distinct()
+    docs = chunks.select(F.col("raw_id").alias("doc_id"), T.terms(F.col("text")).alias("terms"))
+    queries = table(spark, sf_dir, "golden_pairs").select("query_id", T.terms(F.col("query_title")).alias("terms"))
+    found = retrieval.sparse_search(queries, docs, 50).withColumnRenamed("doc_id", "chunk_id")
+    return retrieval.dedupe_by_document(found.join(chunks.select(F.col("raw_id").alias("chunk_id"), "doc_id"), "chunk_id"), 10)
+
+
+def golden_build(spark, sf_dir):
+    labelled = evaluation.label_pairs(table(spark, sf_dir, "posts"), table(spark, sf_dir, "post_links"))
+    return labelled.filter("reason IS NULL").select("query_id", "gold_doc_id", "query_title", T.excerpt(F.col("query_body")).alias("query_body"), "gold_title", "gold_score")
+
+
+def golden_build_stats(spark, sf_dir):
+    return evaluation.build_stats(evaluation.label_pairs(table(spark, sf_dir, "posts"), table(spark, sf_dir, "post_links")))
+
+
+def golden_split(spark, sf_dir):
+    return table(spark, sf_dir, "golden_pairs").select("query_id", F.when(T.in_split(F.col("query_id"), 0.2), "test").otherwise("train").alias("split"))
+
+
+def index_composition(spark, sf_dir):
+    return corpus.index_composition(_posts(spark, sf_dir).filter("post_type_id = 1"), table(spark, sf_dir, "golden_pairs"), 500)
+
+
+def _metrics(spark, sf_dir):
+    relevant = table(spark, sf_dir, "golden_pairs").select("query_id", F.col("gold_doc_id").alias("doc_id"), F.lit(1.0).alias("gain"))
+    return evaluation.query_metrics(_bm25(spark, sf_dir, True, 100), relevant)
+
+
+def eval_queries(spark, sf_dir):
+    m = _metrics(spark, sf_dir)
+    return m.select("query_id", *[F.round(c, 6).alias(c) for c in m.columns if c != "query_id"])
+
+
+def eval_report(spark, sf_dir):
+    return evaluation.retrieval_report(_metrics(spark, sf_dir))
+
+
+def eval_misses(spark, sf_dir):
+    return _metrics(spark, sf_dir).filter("rr = 0").select("query_id")
+
+
+def eval_by_label(spark, sf_dir):
+    """Vectors of the query's own label are relevant, with graded gain for near ids."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    asked = e.filter(F.pmod("vec_id", F.lit(20)) == 0)
+    gain = F.when(F.abs(F.col("doc_id") - F.col("query_id")) < 100, 3.0).otherwise(1.0)
+    relevant = asked.select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("doc_id"), "label"), "label").filter("doc_id <> query_id").select("query_id", "doc_id", gain.alias("gain"))
+    m = evaluation.query_metrics(dense_knn(spark, sf_dir), relevant, (1, 5, 10))
+    return m.select("query_id", *[F.round(c, 6).alias(c) for c in m.columns if c != "query_id"])
+
+
+def vector_similarity(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    a, b = e.select("vec_id", "embedding"), e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("other"))
+    return a.join(b, "vec_id").select("vec_id", F.round(cosine(F.col("embedding"), F.col("other")), 6).alias("similarity"))
+
+
+def exact_cache(spark, sf_dir):
+    asked, entries = _cache_sides(spark, sf_dir)
+    lookups = asked.select(F.col("seq").alias("query_id"), "tenant", F.upper("query").alias("query"))
+    return caching.exact_lookup(lookups, entries).select("query_id", "hit_seq", "answer")
+
+
+def semantic_cache(spark, sf_dir):
+    asked, entries = _cache_sides(spark, sf_dir)
+    return caching.semantic_lookup(asked.select(F.col("seq").alias("query_id"), "tenant", F.col("embedding").alias("vec")), entries, DIM)
+
+
+def cache_as_of(spark, sf_dir):
+    return caching.exact_as_of(caching.distinct_entries(table(spark, sf_dir, "cache_entries"))).select("seq", "hit_seq")
+
+
+def cache_stats(spark, sf_dir):
+    asked, entries = _cache_sides(spark, sf_dir)
+    asked = asked.filter("tenant IS NOT NULL AND query IS NOT NULL")
+    earlier = entries.filter(F.pmod("seq", F.lit(20)) != 0)
+    exact = caching.exact_lookup(asked.select(F.col("seq").alias("query_id"), "tenant", "query"), earlier).select("query_id", "tenant", "hit_seq")
+    near = caching.semantic_lookup(asked.select(F.col("seq").alias("query_id"), "tenant", F.col("embedding").alias("vec")), earlier, DIM).select("query_id", "similarity")
+    outcome = F.when(F.col("hit_seq").isNotNull(), "exact").when(F.col("similarity").isNotNull(), "semantic").otherwise("miss")
+    return caching.cache_stats(exact.join(near, "query_id", "left").select("tenant", outcome.alias("outcome")))
+
+
+def citations(spark, sf_dir):
+    """Numbers in brackets in documents, as citations of up to 12 sources."""
+    found = T.citations(F.regexp_replace("text", r"\b(\d{1,2})\b", "[$1]"), F.lit(12))
+    return table(spark, sf_dir, "documents").filter("text IS NOT NULL").select("doc_id", F.explode(found).alias("source"))
+
+
+def latency_percentiles(spark, sf_dir):
+    return measures.latency_percentiles(_stages(spark, sf_dir), ["stage"], "micros")
+
+
+def _stages(spark, sf_dir):
+    return table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), F.floor(F.col("value") * 1000).alias("micros"), "ts", "user_id", "event_id")
+
+
+def nearest_rank_pct(spark, sf_dir):
+    return measures.nearest_rank(_stages(spark, sf_dir), ["stage"], "micros")
+
+
+def latency_histogram(spark, sf_dir):
+    seconds = _stages(spark, sf_dir).withColumn("seconds", F.col("micros") / 1e6)
+    return measures.histogram(seconds, ["stage"], "seconds", measures.LATENCY_BOUNDS)
+
+
+def histogram_quantile(spark, sf_dir):
+    return measures.histogram_quantile(latency_histogram(spark, sf_dir), ["stage"], 0.95)
+
+
+def rate_windows(spark, sf_dir):
+    return measures.rate_windows(table(spark, sf_dir, "events"), ["event_type"], "ts", "1 day", "6 hours")
+
+
+def load_report(spark, sf_dir):
+    due = F.unix_micros(F.col("ts").cast("timestamp"))
+    late = F.pmod("event_id", F.lit(13)) * 5000
+    s = table(spark, sf_dir, "events").select("event_type", due.alias("intended_us"), (due + late).alias("actual_us"), F.floor(F.col("value") * 1000).alias("service_us"), (F.pmod("event_id", F.lit(50)) != 0).alias("ok"))
+    return measures.load_report(s, ["event_type"])
+
+
+def slo_report(spark, sf_dir):
+    p = latency_percentiles(spark, sf_dir).select(F.col("stage").alias("name"), F.lit(150.0).alias("budget"), F.col("p95_ms").alias("measured"), F.lit(True).alias("lower_is_better"))
+    return measures.budget_checks(p)
+
+
+def running_budget(spark, sf_dir):
+    spend = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum(F.col("l_extendedprice").cast("double")).alias("amount"))
+    out = measures.running_budget(spend, "l_orderkey", "l_linenumber", "amount", 60000.0)
+    return out.select("l_orderkey", "l_linenumber", F.round("spent_before", 2).alias("spent_before"), F.round("remaining", 2).alias("remaining"), "status")
+
+
+def cost_by_type(spark, sf_dir):
+    """Token usage priced by a given table: what the query passes in, the operator knows no prices."""
+    prices = spark.createDataFrame([("small", 1.0, 5.0, 1.25, 0.1), ("large", 5.0, 25.0, 6.25, 0.5)], "model string, input_per_mtok double, output_per_mtok double, cache_write_per_mtok double, cache_read_per_mtok double")
+    p = _posts(spark, sf_dir).select(F.when(F.col("post_type_id") == 1, "large").otherwise("small").alias("model"), T.token_count(F.col("body")).cast("bigint").alias("input_tokens"), T.token_count(F.coalesce("title", F.lit(""))).cast("bigint").alias("output_tokens"), F.lit(0).cast("bigint").alias("cache_write_tokens"), F.lit(10).cast("bigint").alias("cache_read_tokens"))
+    return measures.usage_cost(p, prices).groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.round(F.sum("usd"), 6).alias("usd"), F.round(F.max("cache_hit_ratio"), 6).alias("best_hit_ratio"))
+
+
+QUERIES = {f.__name__: f for f in (
+    corpus_scan_stats, tag_histogram, tag_histogram_topn, gold_tag_distribution, parse_tags, html_clean, text_profile, duplicate_hashes, document_text, chunk_documents, chunk_stats,
+    raw_chunk_stats, chunk_token_percentiles, changed_chunks, answers_top3, assembled_documents, bm25_stats, bm25_idf, bm25_doc_vector, bm25_search, rrf_fusion, dense_knn, dense_knn_filtered,
+    hybrid_search, dedupe_by_document, golden_build, golden_build_stats, golden_split, index_composition, eval_queries, eval_report, eval_misses, eval_by_label, vector_similarity, exact_cache,
+    semantic_cache, cache_as_of, cache_stats, citations, latency_percentiles, nearest_rank_pct, latency_histogram, histogram_quantile, rate_windows, load_report, slo_report, running_budget, cost_by_type,
+)}
+
+from marlstone.plans.oracles import ORACLE  # noqa: E402, F401
