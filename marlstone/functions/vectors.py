@@ -14,6 +14,8 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def cosine(a: Column, b: Column) -> Column:
-    """0 if either vector is zero or empty; null if either is null."""
-    norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(norm == 0, F.lit(0.0)).otherwise(dot(a, b) / norm)
+    """Over the shorter length; 0 if either vector is zero or empty there; null if either is null."""
+    n = F.least(F.size(a), F.size(b))
+    x, y = F.slice(a, 1, n), F.slice(b, 1, n)
+    norm = F.sqrt(dot(x, x)) * F.sqrt(dot(y, y))
+    return F.when(a.isNull() | b.isNull(), F.lit(None)).when(norm == 0, F.lit(0.0)).otherwise(dot(x, y) / norm)

@@ -53,7 +53,7 @@ def _bm25(queries: str, docs: str, k: int, out: str) -> str:
 {out}_n AS (SELECT count(*) AS n, greatest(1.0, sum(len(terms)) / count(*)) AS avg_len FROM {docs}),
 {out}_t AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS len, unnest(terms) AS term FROM {docs}) GROUP BY ALL),
 {out}_d AS (SELECT term, count(*) AS df FROM {out}_t GROUP BY term),
-{out}_s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / avg_len))) AS s
+{out}_s AS (SELECT query_id, doc_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (0.25 + 0.75 * len / avg_len))) AS s
   FROM {out}_q JOIN {out}_t USING (term) JOIN {out}_d USING (term), {out}_n GROUP BY ALL),
 {out} AS (SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(s, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM {out}_s) WHERE rank <= {k})"""
 
@@ -121,7 +121,7 @@ ORACLE = {
     "assembled_documents": f"WITH {_CUR}, a AS (SELECT parent_id, count(*) AS n, string_agg({_clean('body')}, chr(10) ORDER BY r) AS t FROM (SELECT parent_id, body, row_number() OVER (PARTITION BY parent_id ORDER BY coalesce(score, 0) DESC, id) AS r FROM p WHERE post_type_id = 2 AND parent_id IS NOT NULL) WHERE r <= 3 GROUP BY parent_id) SELECT id AS doc_id, title, CAST(coalesce(n, 0) AS INTEGER) AS n_answers, CAST(strlen(coalesce(t, '')) AS INTEGER) AS answer_bytes, array_to_string({_tags('tags')}, ',') AS tag_list, score, substr(creation_date, 1, 10) AS effective_date, 'qa://posts/q/' || id AS source_uri FROM p LEFT JOIN a ON a.parent_id = p.id WHERE post_type_id = 1",
     "bm25_stats": f"SELECT count(*) AS doc_count, CAST(sum(len(t)) AS BIGINT) AS total_len, round(greatest(1.0, sum(len(t)) / count(*)), 6) AS avg_len FROM (SELECT {_terms('text')} AS t FROM documents WHERE text IS NOT NULL)",
     "bm25_idf": f"WITH t AS (SELECT doc_id, {_terms('text')} AS t FROM documents WHERE text IS NOT NULL), d AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY term) SELECT term, df, round(ln(1 + ((SELECT count(*) FROM t) - df + 0.5) / (df + 0.5)), 6) AS idf FROM d",
-    "bm25_doc_vector": f"WITH t AS (SELECT doc_id, {_terms('text')} AS t FROM documents WHERE text IS NOT NULL), f AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM t) GROUP BY ALL) SELECT doc_id, term, tf, round(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len / (SELECT greatest(1.0, sum(len(t)) / count(*)) FROM t))), 6) AS weight FROM f",
+    "bm25_doc_vector": f"WITH t AS (SELECT doc_id, {_terms('text')} AS t FROM documents WHERE text IS NOT NULL), f AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(t) AS len, unnest(t) AS term FROM t) GROUP BY ALL) SELECT doc_id, term, tf, round(tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (0.25 + 0.75 * len / (SELECT greatest(1.0, sum(len(t)) / count(*)) FROM t))), 6) AS weight FROM f",
     "bm25_search": _TITLE + " SELECT query_id, doc_id, rank, score FROM r",
     "rrf_fusion": _FUSED + ", u AS (SELECT query_id, doc_id, rank, 'title' AS retriever FROM r UNION ALL SELECT query_id, doc_id, rank, 'body' FROM s), x AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score, string_agg(DISTINCT retriever, '+' ORDER BY retriever) AS retrievers FROM u GROUP BY ALL), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM x) SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, retrievers FROM y WHERE rank <= 10",
     "dense_knn": _knn("") + " SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(round(c, 9), 6) AS score FROM r WHERE rank <= 10",
