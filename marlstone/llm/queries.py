@@ -69,6 +69,16 @@ def p9_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_groups, p2_found, p3_found, p4_found, p4_pieces, p5_found, p7_ids, p8_found, p9_found, p9_shared)}
 
+_SPANS = """
+WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300),
+s AS (SELECT doc_id, n, unnest(range(n - 299)) AS i, text FROM d),
+w AS (SELECT doc_id, i, md5_number_lower(substr(text, i + 1, 300)) AS h FROM s),
+r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
+p AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM w WHERE h IN (SELECT h FROM r)),
+g AS (SELECT doc_id, i, sum(CASE WHEN b IS NULL OR i - b > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM p),
+f AS (SELECT doc_id, CAST(min(i) AS INTEGER) AS start_pos, CAST(max(i) + 300 AS INTEGER) AS end_pos FROM g GROUP BY doc_id, g)
+"""
+
 ORACLE = {
     "p1_found": r"""
 WITH t AS (SELECT id, any_value(coalesce(title, '')) AS title, any_value(coalesce(body, '')) AS body FROM posts GROUP BY id),
@@ -109,12 +119,7 @@ g AS (SELECT DISTINCT query_id, n, unnest(list_transform(range(1, len(w) - n + 2
 d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') AS w FROM documents WHERE text IS NOT NULL),
 h AS (SELECT DISTINCT doc_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS g FROM d, s WHERE len(w) >= n)
 SELECT DISTINCT doc_id, query_id FROM h JOIN g USING (n, g)""",
-    "p9_found": """
-WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 300),
-s AS (SELECT doc_id, n, unnest(range(n - 299)) AS i, text FROM d),
-w AS (SELECT doc_id, i, md5_number_lower(substr(text, i + 1, 300)) AS h FROM s),
-r AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) < max(doc_id)),
-p AS (SELECT doc_id, i, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS b FROM w WHERE h IN (SELECT h FROM r)),
-g AS (SELECT doc_id, i, sum(CASE WHEN b IS NULL OR i - b > 300 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM p)
-SELECT doc_id, CAST(min(i) AS INTEGER) AS start_pos, CAST(max(i) + 300 AS INTEGER) AS end_pos FROM g GROUP BY doc_id, g""",
+    "p9_found": _SPANS + "SELECT * FROM f",
+    "p9_shared": _SPANS + ", c AS (SELECT doc_id, CAST(sum(end_pos - start_pos) AS BIGINT) AS c FROM f GROUP BY doc_id) SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, coalesce(c, 0) AS shared_chars, round(coalesce(c, 0) / nullif(length(text), 0), 6) AS share FROM documents LEFT JOIN c USING (doc_id)",
+
 }
