@@ -16,12 +16,13 @@ from marlstone.llm.bkforest import BKForest
 from marlstone.llm.components import connected_components
 from marlstone.llm.textvec import chunked, distinct_per_text, mix, shingles, word_hashes
 from marlstone.operators.bloom import bloom_blocks, bloom_filter, bloom_probe
+from marlstone.operators.skew import salted_join
 from marlstone.runtime import materialise
 
 HASHES = 64
 BANDS, BAND_ROWS = 20, 3
-#: Codes that one tree holds at most; larger shards are cut into blocks that meet pairwise.
-BLOCK = 1 << 14
+#: Codes that one tree holds at most; the classes of larger shards are joined exactly by their rarest shingles instead.
+BLOCK = 1 << 10
 
 _TAG = re.compile(r"<[^>]*>")
 _SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
@@ -82,26 +83,23 @@ def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]
 
 
 def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Whole shards, sorted: a BK-tree from the rows of role 0 of each, probed with all its rows of role 1."""
+    """Whole shards, one after the other: a BK-tree of each, probed with all its codes."""
 
     def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        shard, role, rep = t["shard"].to_numpy(), t["role"].to_numpy(), t["rep"].to_numpy()
+        shard, rep = t["band"].to_numpy(), t["rep"].to_numpy()
         code = np.stack([t["code_a"].to_numpy(), t["code_b"].to_numpy()], axis=1).view(np.uint64)
-        tree, probe = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
         number = np.cumsum(np.r_[0, shard[1:] != shard[:-1]])
-        for q, node in BKForest(number[tree], code[tree]).search(number[probe], code[probe], radius):
-            x, y = rep[probe[q]], rep[tree[node]]
-            ok = x != y
-            lo, hi = np.minimum(x[ok], y[ok]), np.maximum(x[ok], y[ok])
-            yield pa.RecordBatch.from_arrays([pa.array(lo), pa.array(hi)], names=["a", "b"])
+        for q, node in BKForest(number, code).search(number, code, radius):
+            ok = rep[q] < rep[node]
+            yield pa.RecordBatch.from_arrays([pa.array(rep[q[ok]]), pa.array(rep[node[ok]])], names=["a", "b"])
 
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
-        shard = batch["shard"].to_numpy()
+        shard = batch["band"].to_numpy()
         if not len(shard):
             continue
         if rows > 1 << 16:  # many shards together; the forest ends where a shard ends
@@ -128,8 +126,9 @@ def near_duplicate_pairs(records: DataFrame, key: str, title: str, body: str, k:
     A shard is a BK-tree on the codes, children keyed by integer Hamming distance to their parent; its classes are
     probed along the edges within the radius that keeps similarity `threshold` with 3.5 standard deviations. Trees
     travel to the probes by shuffle, not by broadcast: all trees together grow with the data. A shard above `block`
-    codes is cut into blocks, each a tree that meets the probes of every block in another task, so one hot shard is
-    spread too. Pairs found are verified on the exact shingle sets (48-bit hashes), re-read for the classes in question.
+    codes holds texts that have frequent passages in common; there no tree prunes, and its classes are joined by their
+    rarest shingles instead, which finds every pair of them and meets a frequent passage only where that alone makes
+    the pair. Pairs found are verified on the exact shingle sets (48-bit hashes), re-read for the classes in question.
 
     Records without k words have no shingle and belong to no class; null titles count as nothing, as do null bodies;
     rows without key are left out; repeated rows of a key count once (its class is decided by its rows); other columns,
@@ -144,19 +143,16 @@ def near_duplicate_pairs(records: DataFrame, key: str, title: str, body: str, k:
     # only band and rep are filed; the codes follow for the few that share a shard
     filed = classes.select("rep", F.explode("bands").alias("band"))
     counted = filed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1")
-    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    gridded = counted.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    # block i's tree meets the probes of blocks 0..i; a record is in the tree of its block and a probe of that and all later blocks
-    role = F.explode(F.concat(F.transform(F.sequence(F.lit(0), F.col("own")), lambda j: F.struct(F.lit(0).alias("role"), F.col("own").alias("i"), j.alias("j"))), F.transform(F.sequence(F.col("own"), F.col("blocks") - 1), lambda i: F.struct(F.lit(1).alias("role"), i.alias("i"), F.col("own").alias("j")))))
-    coded = gridded.join(classes.select("rep", "code_a", "code_b"), "rep")
-    shards = coded.select("rep", "code_a", "code_b", "band", role.alias("r")).select(F.xxhash64("band", "r.i", "r.j").alias("shard"), "r.role", "rep", "code_a", "code_b")
-    spread = shards.repartition("shard").sortWithinPartitions("shard", "role", "rep")
-    candidates = materialise(spread.mapInArrow(lambda b: _search(b, radius), "a bigint, b bigint").distinct())
-
-    wanted = candidates.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
-    n = bloom_blocks(2 * candidates.count())
-    texts = bloom_probe(own, "_id", bloom_filter(wanted, "_id", n), n, "_maybe").filter("_maybe").drop("_maybe").join(wanted, "_id", "left_semi")
-    sets = materialise(texts.mapInArrow(lambda b: _sets(b, k), "_id bigint, shingles array<bigint>").groupBy("_id").agg(F.max("shingles").alias("shingles")))
+    counted = materialise(counted)
+    coded = counted.filter(F.col("n") <= block).join(classes.select("rep", "code_a", "code_b"), "rep").select("band", "rep", "code_a", "code_b")
+    spread = coded.repartition("band").sortWithinPartitions("band", "rep")
+    candidates = spread.mapInArrow(lambda b: _search(b, radius), "a bigint, b bigint")
+    crowded = materialise(counted.filter(F.col("n") > block).select(F.col("rep").alias("_id")).distinct())
+    if not crowded.isEmpty():
+        candidates = candidates.union(_rare_shingle_pairs(_shingles_of(own, crowded, k), threshold))
+    candidates = materialise(candidates.distinct())
+
+    sets = materialise(_shingles_of(own, candidates.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), k))
     both = candidates.join(sets.select(F.col("_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("_id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     pairs = both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).filter(F.col("similarity") >= threshold)
@@ -165,6 +161,35 @@ def near_duplicate_pairs(records: DataFrame, key: str, title: str, body: str, k:
     return pairs, members
 
 
+def _shingles_of(own: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(_id, shingles) of the records whose _id is in `wanted` (distinct); a bounded Bloom filter keeps the others' texts out of the join."""
+    n = bloom_blocks(wanted.count())
+    texts = bloom_probe(own, "_id", bloom_filter(wanted, "_id", n), n, "_maybe").filter("_maybe").drop("_maybe").join(wanted, "_id", "left_semi")
+    return texts.mapInArrow(lambda b: _sets(b, k), "_id bigint, shingles array<bigint>").groupBy("_id").agg(F.max("shingles").alias("shingles"))
+
+
+def _rare_shingle_pairs(sets: DataFrame, threshold: float) -> DataFrame:
+    """(a, b), a < b: a superset of the pairs of `sets` that reach the threshold, by prefix and position.
+
+    Shingles are ordered from rare to frequent. Two sets that reach the threshold share one of the first
+    size - ceil(threshold * size) + 1 of the larger, and of the first size - ceil(2t / (1 + t) * size) + 1 of the
+    smaller; and after the place where they meet, both have enough left for the overlap they need."""
+    sets = materialise(sets)
+    listed = sets.select("_id", F.explode("shingles").alias("s"))
+    frequency = listed.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
+    ranked = salted_join(listed, frequency, "s", "inner").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("l"))
+    t = threshold
+    placed = materialise(
+        ranked.select("_id", F.size("l").alias("size"), F.posexplode("l").alias("pos", "x")).select("_id", "size", "pos", F.col("x.s").alias("s")).filter(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * t - 1e-9))
+    )
+    small = placed.filter(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * (2 * t / (1 + t)) - 1e-9)).select("s", F.col("_id").alias("i"), F.col("size").alias("n"), F.col("pos").alias("p"))
+    large = placed.select("s", F.col("_id").alias("j"), F.col("size").alias("m"), F.col("pos").alias("q"))
+    need = F.ceil((F.col("n") + F.col("m")) * (t / (1 + t)) - 1e-9)
+    left = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q"))
+    fits = ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("i") < F.col("j")))) & (F.col("n") >= F.col("m") * t - 1e-9) & (left >= need)
+    return small.join(large, "s").filter(fits).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
 def _radius(threshold: float) -> int:
     """Bits of two codes that differ at this similarity, 3.5 standard deviations above the mean.
 
