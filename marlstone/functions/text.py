@@ -109,9 +109,8 @@ def pipeline_tag(*parts: Column) -> Column:
 def terms(text: Column) -> Column:
     """Terms of the sparse index, in order: ASCII letters and digits, with . - _ inside; lower-cased; no stop words, none over 64 bytes."""
     lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    raw = F.regexp_extract_all(lower, F.lit(r"[a-z0-9][a-z0-9._-]*"), F.lit(0))
-    cut = F.transform(raw, lambda t: F.regexp_replace(t, r"[._-]+$", ""))
-    return F.filter(cut, lambda t: (F.length(t) <= MAX_TERM_BYTES) & ~t.isin(STOPWORDS))
+    raw = F.regexp_extract_all(lower, F.lit(r"[a-z0-9](?:[a-z0-9._-]*[a-z0-9])?"), F.lit(0))
+    return F.filter(raw, lambda t: (F.length(t) <= MAX_TERM_BYTES) & ~t.isin(STOPWORDS))
 
 
 def excerpt(text: Column, length: int = 500) -> Column:
