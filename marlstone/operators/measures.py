@@ -110,3 +110,35 @@ def usage_cost(calls: DataFrame, prices: DataFrame) -> DataFrame:
     known = F.when(F.col("input_per_mtok").isNull(), F.raise_error(F.concat(F.lit("no price for model "), F.coalesce("model", F.lit("null")))).cast("double")).otherwise(sum(parts[1:], parts[0]))
     read = F.try_divide(F.col("cache_read_tokens"), F.col("input_tokens") + F.col("cache_write_tokens") + F.col("cache_read_tokens"))
     return joined.withColumn("usd", known).withColumn("cache_hit_ratio", read).drop(*[c for c in prices.columns if c != "model"])
+
+
+def record_totals(records: DataFrame, key: str, stages: str) -> DataFrame:
+    """(key, total_ms, n_stages) of an array of (name, micros) per record. Stages that are sums of others (named ..._total) don't count again."""
+    own = F.filter(stages, lambda x: ~F.coalesce(x["name"].endswith("_total"), F.lit(False)))
+    total = F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a + F.coalesce(x["micros"], F.lit(0)))
+    return records.select(key, F.coalesce(total / 1000, F.lit(0.0)).alias("total_ms"), F.coalesce(F.size(own), F.lit(0)).alias("n_stages"))
+
+
+def tokens_per_second(output_tokens: Column, total_ms: Column, first_ms: Column) -> Column:
+    """Decode rate after the first token; 0 if no time passed."""
+    seconds = (total_ms - first_ms) / 1000
+    return F.when(seconds > 0, output_tokens / seconds).otherwise(F.lit(0.0))
+
+
+def affordable(remaining: Column, fixed: Column, each: Column, most: int = 512) -> Column:
+    """How many items of one cost fit beside a fixed cost, at most `most`; 0 if the fixed cost alone doesn't fit."""
+    room = F.greatest(remaining - fixed, F.lit(0.0))
+    return F.when(each <= 0, F.lit(most)).otherwise(F.least(F.floor(room / F.nullif(each, F.lit(0.0))), F.lit(most))).cast("int")
+
+
+def trim_to_budget(ranked: DataFrame, group: str, rank: str, cost: str, budget: float) -> DataFrame:
+    """Rows of each group, best first, as long as their running cost keeps the budget; the first row always stays."""
+    running = F.sum(cost).over(Window.partitionBy(group).orderBy(rank).rowsBetween(Window.unboundedPreceding, 0))
+    first = F.row_number().over(Window.partitionBy(group).orderBy(rank)) == 1
+    return ranked.withColumn("running_cost", running).withColumn("_first", first).filter((F.col("running_cost") <= budget) | F.col("_first")).drop("_first")
+
+
+def sensitivity(costs: DataFrame, by: list[str], value: str, factors: tuple[float, ...] = (0.8, 0.9, 1.0, 1.1, 1.2)) -> DataFrame:
+    """(by, factor, p95): the 95th percentile if every value were multiplied by a factor."""
+    p95 = nearest_rank(costs, by, value, (0.95,))
+    return p95.select(*by, F.explode(F.array(*[F.lit(f) for f in factors])).alias("factor"), F.col("p95").alias("_p")).select(*by, "factor", F.round(F.col("_p") * F.col("factor"), 6).alias("p95"))

@@ -204,3 +204,17 @@ def dedupe_by_document(ranked: DataFrame, limit: int) -> DataFrame:
     again = Window.partitionBy("query_id").orderBy("rank", "chunk_id")
     kept = ranked.withColumn("_i", F.row_number().over(first)).filter("_i = 1").drop("_i")
     return kept.withColumn("doc_rank", F.row_number().over(again)).filter(F.col("doc_rank") <= limit).select("query_id", "doc_id", "chunk_id", "doc_rank")
+
+
+def cited_sources(answers: DataFrame, sources: DataFrame) -> DataFrame:
+    """(query_id, number, doc_id): the sources (query_id, rank, doc_id) that each answer (query_id, answer) cites as [n]; numbers without a source, and repeats, give nothing."""
+    numbers = F.array_distinct(F.transform(F.regexp_extract_all("answer", F.lit(r"\[([0-9]{1,9})\]"), F.lit(1)), lambda x: x.cast("int")))
+    cited = answers.select("query_id", F.explode(numbers).alias("rank"))
+    return cited.join(sources.select("query_id", "rank", "doc_id"), ["query_id", "rank"]).select("query_id", F.col("rank").alias("number"), "doc_id")
+
+
+def degraded_answers(ranked: DataFrame, n: int = 3, length: int = 300) -> DataFrame:
+    """(query_id, answer): what is given when no model can be asked: excerpts of the best n documents of (query_id, chunk_id, doc_id, rank, text)."""
+    best = dedupe_by_document(ranked.select("query_id", "chunk_id", "doc_id", "rank"), n).join(ranked.select("query_id", "chunk_id", "text"), ["query_id", "chunk_id"])
+    part = F.struct("doc_rank", F.concat(F.lit("["), F.col("doc_rank").cast("string"), F.lit("] "), F.substring("text", 1, length)).alias("t"))
+    return best.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["t"]), "\n\n").alias("answer"))

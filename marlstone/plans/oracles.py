@@ -156,4 +156,8 @@ round(least(1.0, coalesce(sum(CASE WHEN rank <= 10 THEN gain / log2(rank + 1.0)
     "slo_report": _LATENCY + " SELECT stage AS name, 150.0::DOUBLE AS budget, p95_ms AS measured, true AS lower_is_better, p95_ms <= 150 AS passed, round((150 - p95_ms) / 150, 6) AS headroom, p95_ms <= 150 AND round((150 - p95_ms) / 150, 6) < 0.1 AS tight FROM lat",
     "running_budget": "WITH g AS (SELECT l_orderkey, l_linenumber, sum(CAST(l_extendedprice AS DOUBLE)) AS amount FROM lineitem GROUP BY ALL), x AS (SELECT *, coalesce(sum(amount) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM g) SELECT l_orderkey, l_linenumber, round(b, 2) AS spent_before, round(greatest(60000 - b, 0), 2) AS remaining, CASE WHEN 60000 - b <= 0 THEN 'exhausted' WHEN amount > 60000 - b THEN 'would_exceed' ELSE 'ok' END AS status FROM x",
     "cost_by_type": f"WITH {_CUR}, x AS (SELECT CASE WHEN post_type_id = 1 THEN 'large' ELSE 'small' END AS model, {_tokens('body')} AS i, {_tokens('coalesce(title, ' + _quote('') + ')')} AS o FROM p) SELECT model, count(*) AS calls, CAST(sum(i) AS BIGINT) AS input_tokens, round(sum(CASE model WHEN 'large' THEN i * 5.0 + o * 25.0 + 10 * 0.5 ELSE i * 1.0 + o * 5.0 + 10 * 0.1 END / 1e6), 6) AS usd, round(max(10 / (i + 10)), 6) AS best_hit_ratio FROM x GROUP BY model",
+    "classify_queries": rf"WITH {_ENTRIES} SELECT seq, CASE WHEN regexp_matches(lower(query), '(^|[^\p{{L}}\p{{N}}_])(20[0-9]{{2}}|today|yesterday|latest|current)($|[^\p{{L}}\p{{N}}_])') THEN 'temporal' WHEN regexp_matches(lower(query), '(^|[^\p{{L}}\p{{N}}_])(not|don''t|never|without|no)($|[^\p{{L}}\p{{N}}_])') THEN 'negation' WHEN regexp_matches(lower(query), '(^|[^\p{{L}}\p{{N}}_])([0-9]+(\.[0-9]+)* ?(gb|mb|tb|ms|%)|port [0-9]+)($|[^\p{{L}}\p{{N}}_])') THEN 'numeric' END AS rule, CAST(coalesce(len(list_filter(string_split_regex(query, '\s+'), lambda x: x <> '')), 0) AS INTEGER) AS words FROM e",
+    "routing_mix": f"WITH {_ENTRIES}, x AS (SELECT seq, lower(query) AS q, len(list_filter(string_split_regex(query, '\\s+'), lambda x: x <> '')) AS n FROM e WHERE query IS NOT NULL), y AS (SELECT CASE WHEN seq % 7 = 0 THEN 'cache_hit' WHEN regexp_matches(q, '(^|[^\\p{{L}}\\p{{N}}_])(hi|thanks)($|[^\\p{{L}}\\p{{N}}_])') THEN 'trivial' WHEN regexp_matches(q, '(^|[^\\p{{L}}\\p{{N}}_])(versus|compare|against)($|[^\\p{{L}}\\p{{N}}_])') THEN 'compares' WHEN n > 14 THEN 'long' ELSE 'default' END AS reason FROM x) SELECT CAST(CASE reason WHEN 'cache_hit' THEN 0 WHEN 'trivial' THEN 0 WHEN 'compares' THEN 2 WHEN 'long' THEN 2 ELSE 1 END AS INTEGER) AS tier, reason, count(*) AS n FROM y GROUP BY ALL",
+    "cost_sensitivity": f"WITH c AS (SELECT DISTINCT raw_id, element_type, text FROM raw_chunks), t AS (SELECT element_type, CAST({_tokens('text')} AS DOUBLE) AS tokens FROM c), n AS ({_nearest('t', 'element_type', 'tokens')}) SELECT element_type, f AS factor, round(p95 * f, 6) AS p95 FROM n, (SELECT unnest([CAST(0.8 AS DOUBLE), CAST(0.9 AS DOUBLE), CAST(1.0 AS DOUBLE), CAST(1.1 AS DOUBLE), CAST(1.2 AS DOUBLE)]) AS f)",
+    "context_trim": _TITLE + f", z AS (SELECT r.query_id, r.doc_id, r.rank, CAST(sum({_tokens('coalesce(p.body, ' + _quote('') + ')')}) OVER (PARTITION BY r.query_id ORDER BY r.rank) AS DOUBLE) AS running_cost, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS i FROM r JOIN p ON p.id = r.doc_id) SELECT query_id, doc_id, rank, running_cost FROM z WHERE running_cost <= 1500 OR i = 1",
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from marlstone.functions import classify as C
 from marlstone.functions import text as T
 from marlstone.functions.vectors import cosine
 from marlstone.operators import caching, chunking, corpus, evaluation, measures, retrieval
@@ -300,11 +301,39 @@ def cost_by_type(spark, sf_dir):
     return measures.usage_cost(p, prices).groupBy("model").agg(F.count(F.lit(1)).alias("calls"), F.sum("input_tokens").alias("input_tokens"), F.round(F.sum("usd"), 6).alias("usd"), F.round(F.max("cache_hit_ratio"), 6).alias("best_hit_ratio"))
 
 
+#: An example of rules; the operator knows none.
+RULES = [("temporal", r"20[0-9]{2}|today|yesterday|latest|current"), ("negation", r"not|don't|never|without|no"), ("numeric", r"[0-9]+(\.[0-9]+)* ?(gb|mb|tb|ms|%)|port [0-9]+")]
+
+
+def classify_queries(spark, sf_dir):
+    q = F.col("query")
+    return caching.distinct_entries(table(spark, sf_dir, "cache_entries")).select("seq", C.first_match(q, RULES).alias("rule"), C.word_count(q).alias("words"))
+
+
+def routing_mix(spark, sf_dir):
+    asked = caching.distinct_entries(table(spark, sf_dir, "cache_entries")).filter("query IS NOT NULL")
+    r = C.tier(F.col("query"), F.pmod("seq", F.lit(7)) == 0, [("0:trivial", "hi|thanks"), ("2:compares", "versus|compare|against")], 14)
+    return asked.select(r.alias("r")).groupBy("r.tier", "r.reason").agg(F.count(F.lit(1)).alias("n"))
+
+
+def cost_sensitivity(spark, sf_dir):
+    sizes = table(spark, sf_dir, "raw_chunks").select("raw_id", "element_type", "text").distinct().select("element_type", T.token_count(F.col("text")).cast("double").alias("tokens"))
+    return measures.sensitivity(sizes, ["element_type"], "tokens")
+
+
+def context_trim(spark, sf_dir):
+    """Best documents of each labelled question that fit into 1,500 tokens together."""
+    found = _bm25(spark, sf_dir, False, 10)
+    sizes = _posts(spark, sf_dir).select(F.col("id").alias("doc_id"), T.token_count(F.coalesce("body", F.lit(""))).cast("double").alias("tokens"))
+    return measures.trim_to_budget(found.join(sizes, "doc_id"), "query_id", "rank", "tokens", 1500.0).select("query_id", "doc_id", "rank", "running_cost")
+
+
 QUERIES = {f.__name__: f for f in (
     corpus_scan_stats, tag_histogram, tag_histogram_topn, gold_tag_distribution, parse_tags, html_clean, text_profile, duplicate_hashes, document_text, chunk_documents, chunk_stats,
     raw_chunk_stats, chunk_token_percentiles, changed_chunks, answers_top3, assembled_documents, bm25_stats, bm25_idf, bm25_doc_vector, bm25_search, rrf_fusion, dense_knn, dense_knn_filtered,
     hybrid_search, dedupe_by_document, golden_build, golden_build_stats, golden_split, index_composition, eval_queries, eval_report, eval_misses, eval_by_label, vector_similarity, exact_cache,
     semantic_cache, cache_as_of, cache_stats, citations, latency_percentiles, nearest_rank_pct, latency_histogram, histogram_quantile, rate_windows, load_report, slo_report, running_budget, cost_by_type,
+    classify_queries, routing_mix, cost_sensitivity, context_trim,
 )}
 
 from marlstone.plans.oracles import ORACLE  # noqa: E402, F401

@@ -170,3 +170,29 @@ def test_cache(spark):
     exact = {r["query_id"]: r["hit_seq"] for r in caching.exact_lookup(asked, entries).collect()}
     assert exact == {1: 1, 2: None}
     assert {r["query_id"]: r["hit_seq"] for r in caching.semantic_lookup(asked.withColumn("query_id", F.col("query_id") + 100), entries, 2).collect()} == {101: 1}
+
+
+def test_classification(spark):
+    from marlstone.functions import classify
+
+    rows = [(1, "It does NOT start"), (2, "notable énot"), (3, None), (4, "use 512 GB in 2024"), (5, " ")]
+    rules = [("temporal", "20[0-9]{2}"), ("negation", "not")]
+    got = {r["i"]: (r["rule"], r["n"]) for r in spark.createDataFrame(rows, "i int, q string").select("i", classify.first_match(F.col("q"), rules).alias("rule"), classify.word_count(F.col("q")).alias("n")).collect()}
+    assert got == {1: ("negation", 4), 2: (None, 2), 3: (None, 0), 4: ("temporal", 5), 5: (None, 0)}
+
+
+def test_record_totals_trim_and_rates(spark):
+    df = spark.createDataFrame([("a", [("embed", 9000), ("search", 6000), ("retrieval_total", 15000)]), ("b", None)], "k string, s array<struct<name string, micros bigint>>")
+    assert {r["k"]: (r["total_ms"], r["n_stages"]) for r in measures.record_totals(df, "k", "s").collect()} == {"a": (15.0, 2), "b": (0.0, 0)}
+    ranked_rows = spark.createDataFrame([("q", 1, 9.0), ("q", 2, 1.0), ("r", 1, 2.0), ("r", 2, 2.0), ("r", 3, 2.0)], "q string, rank int, cost double")
+    assert sorted((r["q"], r["rank"]) for r in measures.trim_to_budget(ranked_rows, "q", "rank", "cost", 5.0).collect()) == [("q", 1), ("r", 1), ("r", 2)]
+    one = spark.range(1).select(measures.tokens_per_second(F.lit(100), F.lit(3000.0), F.lit(1000.0)).alias("x"), measures.tokens_per_second(F.lit(1), F.lit(1.0), F.lit(1.0)).alias("y"), measures.affordable(F.lit(1.0), F.lit(0.2), F.lit(0.25)).alias("n"), measures.affordable(F.lit(0.1), F.lit(0.2), F.lit(0.25)).alias("z")).first()
+    assert tuple(one) == (50.0, 0.0, 3, 0)
+
+
+def test_cited_sources_and_degraded_answers(spark):
+    answers = spark.createDataFrame([(1, "see [2], [2], [9] and array[i]"), (2, None)], "query_id bigint, answer string")
+    sources = spark.createDataFrame([(1, 1, 10), (1, 2, 20)], "query_id bigint, rank int, doc_id bigint")
+    assert [tuple(r) for r in retrieval.cited_sources(answers, sources).collect()] == [(1, 2, 20)]
+    chunks = spark.createDataFrame([(1, 100, 1, 1, "aaaa"), (1, 101, 1, 2, "bbbb"), (1, 102, 2, 3, "cccc")], "query_id bigint, chunk_id bigint, doc_id bigint, rank int, text string")
+    assert retrieval.degraded_answers(chunks, 3, 2).first()["answer"] == "[1] aa\n\n[2] cc"
