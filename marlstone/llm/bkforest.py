@@ -45,8 +45,9 @@ class BKForest:
         order = np.argsort(key, kind="stable")
         self.kids, self.kid_keys = kids[order], key[order]
 
-    def search(self, shard: np.ndarray, code: np.ndarray, radius: int, most: int = 1 << 21):
-        """Yields (query index, node index) arrays of all pairs of one shard within the radius."""
+    def search(self, shard: np.ndarray, code: np.ndarray, radius: int | np.ndarray, most: int = 1 << 21):
+        """Yields (query index, node index) arrays of all pairs of one shard within the radius, one for all or one a query."""
+        radius = np.broadcast_to(radius, len(code))
         where = np.searchsorted(self.shards, shard)
         ok = (where < len(self.shards)) & (self.shards[np.minimum(where, len(self.shards) - 1)] == shard) if len(self.shards) else np.zeros(len(shard), bool)
         frontier = [(np.flatnonzero(ok), self.roots[where[ok]])]
@@ -56,11 +57,12 @@ class BKForest:
                 frontier.append((q[most:], node[most:]))
                 q, node = q[:most], node[:most]
             d = hamming(code[q], self.code[node])
-            near = d <= radius
+            r = radius[q]
+            near = d <= r
             if near.any():
                 yield q[near], node[near]
-            low = np.searchsorted(self.kid_keys, node * self.edges + np.maximum(d - radius, 0), side="left")
-            high = np.searchsorted(self.kid_keys, node * self.edges + np.minimum(d + radius, self.edges - 1), side="right")
+            low = np.searchsorted(self.kid_keys, node * self.edges + np.maximum(d - r, 0), side="left")
+            high = np.searchsorted(self.kid_keys, node * self.edges + np.minimum(d + r, self.edges - 1), side="right")
             n = high - low
             total = int(n.sum())
             if total:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import html
-import math
 import re
 from collections.abc import Iterator
 
@@ -12,21 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marlstone.llm.bkforest import BKForest
+from marlstone.llm.bkforest import BKForest, hamming
 from marlstone.llm.components import connected_components
 from marlstone.llm.textvec import chunked, distinct_per_text, mix, shingles, word_hashes
 from marlstone.operators.bloom import bloom_blocks, bloom_filter, bloom_probe
 from marlstone.operators.skew import salted_join
 from marlstone.runtime import materialise
 
-HASHES = 64
-BANDS, BAND_ROWS = 20, 3
+#: 64-bit words of a code in the trees, and of the longer one that is compared before whole sets are.
+WORDS, LONG_WORDS = 4, 16
+#: One record in SAMPLE is read for the frequent shingles, of which at most FREQUENT are kept. Both change the work only, never the pairs.
+SAMPLE, FREQUENT = 16, 1 << 18
 #: Codes that one tree holds at most; the classes of larger shards are joined exactly by their rarest shingles instead.
 BLOCK = 1 << 10
 
 _TAG = re.compile(r"<[^>]*>")
-_SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64)) | np.uint64(1)
-_BAND_SEEDS = mix(np.arange(101, 101 + BANDS * BAND_ROWS, dtype=np.uint64)) | np.uint64(1)
+_CODE = [f"code_{i}" for i in range(WORDS)]
 
 
 def plain(title: str | None, body: str | None) -> str:
@@ -44,62 +44,103 @@ def _shingle_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.
         yield first, first + len(run), values, starts
 
 
-def _sketches(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _sums(values: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sums over each whole set of hashes; sets begin at `at`, none is empty. Equal sets, equal sums."""
+    x = mix(values)
+    return np.add.reduceat(x, at).view(np.int64), np.add.reduceat(mix(x + np.uint64(1)), at).view(np.int64)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, values, starts in _shingle_sets(batch, k):
-            size = np.diff(starts)
-            some = np.flatnonzero(size)
+            some = np.flatnonzero(np.diff(starts))
+            if len(some):
+                yield pa.RecordBatch.from_arrays([batch["_id"].slice(a, b - a).take(pa.array(some)), *map(pa.array, _sums(values, starts[:-1][some]))], names=["_id", "set_a", "set_b"])
+
+
+def _listed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for _, _, values, _ in _shingle_sets(batch, k):
+            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["s"])
+
+
+def _filed(batches: Iterator[pa.RecordBatch], k: int, threshold: float, frequent: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Each set under the shingles of its prefix, with its size, the shingle's place in it and its code; equal sets of a run once."""
+    for batch in batches:
+        for _, _, values, starts in _shingle_sets(batch, k):
+            some = np.flatnonzero(np.diff(starts))
             if not len(some):
                 continue
-            at = starts[:-1][some]
-            x = mix(values)
-            least = np.empty((HASHES, len(some)), np.uint64)
-            for j in range(HASHES):
-                np.minimum.reduceat(x * _SEEDS[j], at, out=least[j])
-            code = np.zeros((2, len(some)), np.uint64)
-            for j in range(HASHES):
-                bits = mix(least[j])
-                for w in range(2):
-                    code[w] |= ((bits >> np.uint64(w)) & np.uint64(1)) << np.uint64(j)
-            bands = np.empty((len(some), BANDS), np.uint64)
-            for i in range(BANDS):
-                v = np.full(len(some), i, np.uint64)
-                for j in range(BAND_ROWS):
-                    v = mix(v * _BAND_SEEDS[i] + least[i * BAND_ROWS + j])
-                bands[:, i] = v
-            whole = np.add.reduceat(x, at), np.add.reduceat(mix(x + np.uint64(1)), at)  # of the whole set: equal sets, equal sums
-            flat = pa.array(bands.ravel().view(np.int64))
-            yield pa.RecordBatch.from_arrays(
-                [batch["_id"].slice(a, b - a).take(pa.array(some)), pa.array(whole[0].view(np.int64)), pa.array(whole[1].view(np.int64)), pa.array(code[0].view(np.int64)), pa.array(code[1].view(np.int64)), pa.ListArray.from_arrays(pa.array(np.arange(len(some) + 1, dtype=np.int32) * BANDS), flat)],
-                names=["_id", "set_a", "set_b", "code_a", "code_b", "bands"],
-            )
+            at, size = starts[:-1][some], np.diff(starts)[some]
+            set_a = _sums(values, at)[0]
+            code = _codes(values, at)
+            seen = np.zeros(len(values), np.int64)
+            if len(frequent):
+                i = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
+                seen = np.where(frequent[i] == values, counts[i], 0)
+            own = np.repeat(np.arange(len(some)), size)
+            ordered = values[np.lexsort((values, seen, own))]
+            place = np.arange(len(values)) - np.repeat(at, size)
+            once = np.zeros(len(some), bool)
+            once[np.unique(set_a, return_index=True)[1]] = True
+            taken = np.flatnonzero((place <= np.repeat(size - np.ceil(size * threshold - 1e-9).astype(np.int64), size)) & once[own])
+            of = own[taken]
+            columns = [ordered[taken].view(np.int64), place[taken], size[of], set_a[of], *code[of].view(np.int64).T]
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["shard", "place", "size", "set_a", *_CODE])
+
+
+def _codes(values: np.ndarray, at: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """So many 64-bit words of each set, every shingle toggling one bit: codes never differ in more bits than the sets in shingles."""
+    x = mix(values ^ np.uint64(0x5851F42D4C957F2D))
+    bit, word = np.uint64(1) << (x & np.uint64(63)), (x >> np.uint64(6)) % np.uint64(words)
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), at) for w in range(words)], axis=1)
 
 
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a, b, values, starts in _shingle_sets(batch, k):
             lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["_id"].slice(a, b - a), lists], names=["_id", "shingles"])
+            code = np.zeros((b - a, LONG_WORDS), np.uint64)
+            some = np.flatnonzero(np.diff(starts))
+            if len(some):
+                code[some] = _codes(values, starts[:-1][some], LONG_WORDS)
+            codes = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * LONG_WORDS), pa.array(code.ravel().view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch["_id"].slice(a, b - a), lists, codes], names=["_id", "shingles", "code"])
 
 
-def _search(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Whole shards, one after the other: a BK-tree of each, probed with all its codes."""
+def _search(batches: Iterator[pa.RecordBatch], threshold: float, block: int) -> Iterator[pa.RecordBatch]:
+    """Whole shards, one after the other: a BK-tree of each, probed with all its codes. Sets in shards above `block` come alone, with a null b."""
+    apart = (1 - threshold) / (1 + threshold)
 
     def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        shard, rep = t["band"].to_numpy(), t["rep"].to_numpy()
-        code = np.stack([t["code_a"].to_numpy(), t["code_b"].to_numpy()], axis=1).view(np.uint64)
+        shard, sets, size, place = (t[c].to_numpy() for c in ("shard", "set_a", "size", "place"))
+        code = np.stack([t[c].to_numpy() for c in _CODE], axis=1).view(np.uint64)
         number = np.cumsum(np.r_[0, shard[1:] != shard[:-1]])
-        for q, node in BKForest(number, code).search(number, code, radius):
-            ok = rep[q] < rep[node]
-            yield pa.RecordBatch.from_arrays([pa.array(rep[q[ok]]), pa.array(rep[node[ok]])], names=["a", "b"])
+        # the larger set of a pair asks, so its own size bounds the distance
+        for q, node in BKForest(number, code).search(number, code, np.floor(2 * size * apart + 1e-9).astype(np.int64), most=1 << 20):
+            ok = (size[q] > size[node]) | ((size[q] == size[node]) & (sets[q] > sets[node]))
+            q, node = q[ok], node[ok]
+            both = size[q] + size[node]
+            left = np.minimum(size[q] - place[q], size[node] - place[node])
+            ok = (size[node] >= size[q] * threshold - 1e-9) & (left >= np.ceil(both * (threshold / (1 + threshold)) - 1e-9))
+            q, node, both = q[ok], node[ok], both[ok]
+            ok = hamming(code[q], code[node]) <= both * apart + 1e-9
+            x, y = sets[q[ok]], sets[node[ok]]
+            some = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(some[:, 0].copy()), pa.array(some[:, 1].copy())], names=["a", "b"])
 
     held: list[pa.RecordBatch] = []
     rows = 0
     for batch in batches:
-        shard = batch["band"].to_numpy()
+        crowded = batch["n"].to_numpy() > block
+        if crowded.any():
+            alone = np.unique(batch["set_a"].to_numpy()[crowded])
+            yield pa.RecordBatch.from_arrays([pa.array(alone), pa.nulls(len(alone), pa.int64())], names=["a", "b"])
+            batch = batch.filter(pa.array(~crowded))
+        shard = batch["shard"].to_numpy()
         if not len(shard):
             continue
         if rows > 1 << 16:  # many shards together; the forest ends where a shard ends
@@ -122,50 +163,67 @@ def near_duplicate_pairs(records: DataFrame, key: str, title: str, body: str, k:
     members (rep, id): each id with the least id of the class of equal shingle sets it belongs to. pairs (a, b,
     similarity): different classes, by representative, a < b. So copies are never expanded here, and no link is lost.
 
-    Each class gets 64 min-hashes: two bits of each make a 128-bit code, triples of them name the shards it is filed in.
-    A shard is a BK-tree on the codes, children keyed by integer Hamming distance to their parent; its classes are
-    probed along the edges within the radius that keeps similarity `threshold` with 3.5 standard deviations. Trees
-    travel to the probes by shuffle, not by broadcast: all trees together grow with the data. A shard above `block`
-    codes holds texts that have frequent passages in common; there no tree prunes, and its classes are joined by their
-    rarest shingles instead, which finds every pair of them and meets a frequent passage only where that alone makes
-    the pair. Pairs found are verified on the exact shingle sets (48-bit hashes), re-read for the classes in question.
+    Nothing but equal hashes of different content (48 bits a shingle, 64 a set) can lose a pair. Shingles are ordered from rare to frequent (frequencies from a sample, in a list of bounded
+    size; any order is right, this one makes small shards), and a class is filed in a shard for each of its first
+    size - ceil(threshold * size) + 1: two classes that reach the threshold have one of these in common, the first
+    shingle that they share. A shard is a BK-tree on codes, children keyed by integer Hamming distance to their parent;
+    each shingle toggles one of the code's 256 bits, so codes differ in no more bits than the sets in shingles, and the
+    radius follows from the sizes. What the trees find must also have enough left for the overlap after the shard's
+    place. Trees travel to the probes by shuffle, not by broadcast: all trees together grow with the data. A shard above
+    `block` codes holds texts that have frequent passages in common; there no tree prunes, and its classes are joined
+    by their rarest shingles instead, by exact frequencies, which finds every pair of them. Pairs found are compared
+    on codes of 1,024 bits by the same bound, then verified on the exact shingle sets (48-bit hashes), re-read for the
+    classes in question.
 
     Records without k words have no shingle and belong to no class; null titles count as nothing, as do null bodies;
     rows without key are left out; repeated rows of a key count once (its class is decided by its rows); other columns,
     whatever their names, are ignored; empty tables give empty results.
     """
     own = records.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.col(title).alias("_title"), F.col(body).alias("_body"))
-    sketch_type = "_id bigint, set_a bigint, set_b bigint, code_a bigint, code_b bigint, bands array<bigint>"
-    sketches = materialise(own.mapInArrow(lambda b: _sketches(b, k), sketch_type))
-    classes = sketches.groupBy("set_a", "set_b").agg(F.min("_id").alias("rep"), F.first("code_a").alias("code_a"), F.first("code_b").alias("code_b"), F.first("bands").alias("bands"))
-    radius = _radius(threshold)
-
-    # only band and rep are filed; the codes follow for the few that share a shard
-    filed = classes.select("rep", F.explode("bands").alias("band"))
-    counted = filed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("band"))).filter("n > 1")
-    counted = materialise(counted)
-    coded = counted.filter(F.col("n") <= block).join(classes.select("rep", "code_a", "code_b"), "rep").select("band", "rep", "code_a", "code_b")
-    spread = coded.repartition("band").sortWithinPartitions("band", "rep")
-    candidates = spread.mapInArrow(lambda b: _search(b, radius), "a bigint, b bigint")
-    crowded = materialise(counted.filter(F.col("n") > block).select(F.col("rep").alias("_id")).distinct())
+    keyed = materialise(own.mapInArrow(lambda b: _keyed(b, k), "_id bigint, set_a bigint, set_b bigint"))
+    classes = keyed.groupBy("set_a", "set_b").agg(F.min("_id").alias("rep"))
+    frequent, counts = _frequent_shingles(own, k)
+
+    filed_type = "shard bigint, place bigint, size bigint, set_a bigint, " + ", ".join(f"{c} bigint" for c in _CODE)
+    filed = own.mapInArrow(lambda b: _filed(b, k, threshold, frequent, counts), filed_type).repartition("shard")
+    once = filed.groupBy("shard", "set_a").agg(*[F.first(c).alias(c) for c in ("size", "place", *_CODE)])
+    counted = once.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shard"))).filter("n > 1").sortWithinPartitions("shard")
+    found = materialise(counted.mapInArrow(lambda b: _search(b, threshold, block), "a bigint, b bigint"))
+    rep_of = [classes.select(F.col("set_a").alias(c), F.col("rep").alias(f"rep_{c}")) for c in ("a", "b")]
+    near = found.filter("b IS NOT NULL").distinct().join(rep_of[0], "a").join(rep_of[1], "b")
+    candidates = near.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
+    crowded = materialise(found.filter("b IS NULL").select("a").distinct().join(rep_of[0], "a").select(F.col("rep_a").alias("_id")))
     if not crowded.isEmpty():
         candidates = candidates.union(_rare_shingle_pairs(_shingles_of(own, crowded, k), threshold))
     candidates = materialise(candidates.distinct())
 
     sets = materialise(_shingles_of(own, candidates.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), k))
-    both = candidates.join(sets.select(F.col("_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("_id").alias("b"), F.col("shingles").alias("y")), "b")
+    sized = sets.select("_id", "code", F.size("shingles").alias("n"))
+    coded = candidates.join(sized.select(F.col("_id").alias("a"), F.col("code").alias("x"), F.col("n").alias("n_a")), "a").join(sized.select(F.col("_id").alias("b"), F.col("code").alias("y"), F.col("n").alias("n_b")), "b")
+    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
+    close = materialise(coded.filter(differ <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-9).select("a", "b"))
+    both = close.join(sets.select(F.col("_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("_id").alias("b"), F.col("shingles").alias("y")), "b")
     shared = F.size(F.array_intersect("x", "y"))
     pairs = both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).filter(F.col("similarity") >= threshold)
-    member_of = sketches.select(F.col("_id").alias("id"), "set_a", "set_b").distinct()
+    member_of = keyed.select(F.col("_id").alias("id"), "set_a", "set_b").distinct()
     members = member_of.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select("rep", "id")
     return pairs, members
 
 
+def _frequent_shingles(own: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of the most frequent shingles of a sample of the records; never more than FREQUENT."""
+    sample = own.filter(F.pmod(F.xxhash64("_id"), F.lit(SAMPLE)) == 0).mapInArrow(lambda b: _listed(b, k), "s bigint")
+    t = sample.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
+    s, n = t["s"].to_numpy().view(np.uint64), t["n"].to_numpy()
+    order = np.argsort(s)
+    return s[order], n[order]
+
+
 def _shingles_of(own: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(_id, shingles) of the records whose _id is in `wanted` (distinct); a bounded Bloom filter keeps the others' texts out of the join."""
+    """(_id, shingles, code) of the records whose _id is in `wanted` (distinct); a bounded Bloom filter keeps the others' texts out of the join."""
     n = bloom_blocks(wanted.count())
     texts = bloom_probe(own, "_id", bloom_filter(wanted, "_id", n), n, "_maybe").filter("_maybe").drop("_maybe").join(wanted, "_id", "left_semi")
-    return texts.mapInArrow(lambda b: _sets(b, k), "_id bigint, shingles array<bigint>").groupBy("_id").agg(F.max("shingles").alias("shingles"))
+    return texts.mapInArrow(lambda b: _sets(b, k), "_id bigint, shingles array<bigint>, code array<bigint>").groupBy("_id").agg(F.max(F.struct("shingles", "code")).alias("s")).select("_id", "s.*")
 
 
 def _rare_shingle_pairs(sets: DataFrame, threshold: float) -> DataFrame:
@@ -190,14 +248,6 @@ def _rare_shingle_pairs(sets: DataFrame, threshold: float) -> DataFrame:
     return small.join(large, "s").filter(fits).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
 
 
-def _radius(threshold: float) -> int:
-    """Bits of two codes that differ at this similarity, 3.5 standard deviations above the mean.
-
-    A share q = 1 - threshold of the min-hashes differs, and of each of these two bits with even odds."""
-    q = 1 - threshold
-    return math.ceil(HASHES * q + 3.5 * math.sqrt(HASHES * (q * 0.5 + q * (1 - q))))
-
-
 def all_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """Every pair of different ids, id_a < id_b, of one class or of two classes that are a pair; copies are expanded."""
     pairs = materialise(pairs.select("a", "b"))

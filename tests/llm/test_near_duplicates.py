@@ -98,3 +98,14 @@ def test_very_long_text(spark):
     long = " ".join(f"w{i}" for i in range(300_000))
     df = spark.createDataFrame([(1, None, long), (2, "t", long + " x"), (3, None, "short text of a few words")], "id bigint, title string, body string")
     assert [tuple(r) for r in all_pairs(*near_duplicate_pairs(df, "id", "title", "body")).collect()] == [(1, 2)]
+
+
+def test_no_pair_is_lost_at_the_threshold(spark):
+    """1,500 pairs of exactly 0.6, of 27 shingles in common out of 45; the chance that bands of min-hashes keep all is under one in 10,000."""
+    rows = []
+    for i in range(1500):
+        base = [f"w{i}x{j}" for j in range(38)]  # 36 shingles; the other text has another end, from the 30th word on
+        rows += [(2 * i, None, " ".join(base)), (2 * i + 1, None, " ".join(base[:29] + [f"v{i}x{j}" for j in range(9)]))]
+    df = spark.createDataFrame(rows, "id bigint, title string, body string")
+    pairs, _ = near_duplicate_pairs(df, "id", "title", "body", 3, 0.6)
+    assert {tuple(r) for r in pairs.collect()} == {(2 * i, 2 * i + 1, 0.6) for i in range(1500)}
