@@ -16,12 +16,12 @@ def hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 class BKForest:
-    """Trees over codes of one or more 64-bit words, the first code of each shard its root. Equal codes chain on edge 0."""
+    """Trees over codes of one or more 64-bit words, the first code of each shard its root. Equal codes chain on edge 0. visited counts the nodes that searches looked at."""
 
     def __init__(self, shard: np.ndarray, code: np.ndarray):
         """shard: whole numbers, in non-decreasing order."""
         n = len(code)
-        self.code = code
+        self.code, self.visited = code, 0
         self.edges = 64 * code.shape[1] + 1
         self.parent = np.full(n, -1, np.int64)
         self.edge = np.full(n, -1, np.int64)
@@ -56,6 +56,7 @@ class BKForest:
             if len(q) > most:  # bounded memory: the rest waits on the stack
                 frontier.append((q[most:], node[most:]))
                 q, node = q[:most], node[:most]
+            self.visited += len(q)
             d = hamming(code[q], self.code[node])
             r = radius[q]
             near = d <= r

@@ -3,30 +3,35 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marlstone.llm.bkforest import BKForest, hamming
 from marlstone.llm.components import connected_components
+from marlstone.llm.filters import Filter, build_filter, filter_bits
 from marlstone.llm.textvec import chunked, distinct_per_text, mix, shingles, word_hashes
 from marlstone.operators.bloom import bloom_blocks, bloom_filter, bloom_probe
 from marlstone.operators.skew import salted_join
 from marlstone.runtime import materialise
 
-#: 64-bit words of a code in the trees, and of the longer one that is compared before whole sets are.
-WORDS, LONG_WORDS = 4, 16
-#: One record in SAMPLE is read for the frequent shingles, of which at most FREQUENT are kept. Both change the work only, never the pairs.
-SAMPLE, FREQUENT = 16, 1 << 18
-#: Codes that one tree holds at most; the classes of larger shards are joined exactly by their rarest shingles instead.
-BLOCK = 1 << 10
+#: 64-bit words of a code in the trees; the codes themselves have that many, or two or four times as many for larger sets.
+WORDS = 4
+#: Codes that one tree should hold; a shard with more is cut into several trees, each probed by the whole shard.
+BLOCK = 1 << 14
+#: Bits of the filter that knows how frequent shingles are: 64 MB at most. It changes the work only, never the pairs.
+MAX_FILTER_BITS = 1 << 29
+#: Frequencies are known by their power of two, written in so many bits.
+_LEVEL_BITS = 5
 
 _TAG = re.compile(r"<[^>]*>")
-_CODE = [f"code_{i}" for i in range(WORDS)]
 
 
 def plain(title: str | None, body: str | None) -> str:
@@ -58,14 +63,155 @@ def _keyed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
                 yield pa.RecordBatch.from_arrays([batch["_id"].slice(a, b - a).take(pa.array(some)), *map(pa.array, _sums(values, starts[:-1][some]))], names=["_id", "set_a", "set_b"])
 
 
-def _listed(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+def _pack(numbers: np.ndarray, width: int) -> bytes:
+    """Numbers below 256 ** width, their bytes sorted by significance and compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, n: int, width: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, :width] = np.frombuffer(pa.decompress(data, n * width, "zstd"), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
+def _pack_sorted(keys: np.ndarray) -> bytes:
+    return _pack(np.diff(keys, prepend=np.uint64(0)), 6)
+
+
+def _unpack_sorted(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(_unpack(data, n, 6), dtype=np.uint64)
+
+
+def _counted(batches: Iterator[pa.RecordBatch], k: int, bits: int, slices: int, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """The different keys (first bits of shingles) of each run of records with their number, by slice of the keys' range, packed."""
+    edges = np.array([i * (1 << bits) // slices for i in range(slices + 1)], np.uint64)
+
+    def flush(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        keys, n = np.unique(np.concatenate(parts), return_counts=True)
+        cut = np.searchsorted(keys, edges)
+        some = [i for i in range(slices) if cut[i] < cut[i + 1]]
+        own = [slice(cut[i], cut[i + 1]) for i in some]
+        columns = [pa.array(some, pa.int32()), pa.array([s.stop - s.start for s in own], pa.int32()), pa.array([_pack_sorted(keys[s]) for s in own], pa.binary()), pa.array([_pack(n[s], 4) for s in own], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["slice", "n", "keys", "counts"])
+
+    held: list[np.ndarray] = []
+    size = 0
     for batch in batches:
         for _, _, values, _ in _shingle_sets(batch, k):
-            yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64))], names=["s"])
+            held.append(values >> np.uint64(48 - bits))
+            size += len(values)
+            if size > most:
+                yield from flush(held)
+                held, size = [], 0
+    if held:
+        yield from flush(held)
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows slice by slice: its keys that several records have, by the power of two of their number."""
+
+    def solve(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        keys = np.concatenate([_unpack_sorted(data, n) for n, data, _ in parts])
+        counts = np.concatenate([_unpack(data, n, 4) for n, _, data in parts])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        level = np.floor(np.log2(np.add.reduceat(counts, first))).astype(np.int64)
+        keys = keys[first]
+        some = np.unique(level[level > 0]).tolist()
+        found = [keys[level == x] for x in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([len(x) for x in found], pa.int64()), pa.array([_pack_sorted(x) for x in found], pa.binary())], names=["level", "n", "keys"])
+
+    held: list[tuple] = []
+    last = None
+    for batch in batches:
+        for row in zip(*(batch[c].to_pylist() for c in ("slice", "n", "keys", "counts")), strict=True):
+            if row[0] != last and held:
+                yield from solve(held)
+                held = []
+            last = row[0]
+            held.append(row[1:])
+    if held:
+        yield from solve(held)
+
+
+def _salted(keys: np.ndarray, salt: int) -> np.ndarray:
+    return mix((keys << np.uint64(3)) + np.uint64(salt))
+
+
+def _add_levels(own: Filter, batch: pa.RecordBatch) -> None:
+    for level, n, data in zip(batch["level"].to_pylist(), batch["n"].to_pylist(), batch["keys"].to_pylist(), strict=True):
+        keys = _unpack_sorted(data, n)
+        own.add(_salted(keys, 0))
+        for b in range(_LEVEL_BITS):
+            if level >> b & 1:
+                own.add(_salted(keys, b + 1))
+
+
+class Frequencies:
+    """How many records have a shingle, as a power of two; 0 for one record, or for few where the filter couldn't hold all.
+
+    Kept in a filter, so a rare shingle may seem frequent, but the same everywhere: as an order it is sound."""
+
+    def __init__(self, index: Filter, bits: int, complete: bool):
+        self.index, self.bits, self.complete = index, bits, complete
+
+    def level(self, shingles: np.ndarray) -> np.ndarray:
+        keys = shingles >> np.uint64(48 - self.bits)
+        some = self.index.find(_salted(keys, 0))
+        level, keys = np.zeros(len(shingles), np.int64), keys[some]
+        for b in range(_LEVEL_BITS):
+            level[some[self.index.find(_salted(keys, b + 1))]] |= 1 << b
+        level[some] = np.maximum(level[some], 1)
+        return level
+
+
+def shingle_frequencies(own: DataFrame, k: int) -> Frequencies:
+    """Exact counts, by shuffle of packed keys, of all records' shingles (of keys of so many bits that few collide), put into a filter of bounded size."""
+    rows = max(1, own.count())
+    bits = min(48, max(24, 16 + 7 + math.ceil(math.log2(rows))))
+    slices = max(8, math.ceil(rows / (1 << 16)))
+    runs = own.mapInArrow(lambda b: _counted(b, k, bits, slices), "slice int, n int, keys binary, counts binary")
+    levels = materialise(runs.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(_levels, "level int, n bigint, keys binary"))
+    sizes = {r["level"]: r["n"] for r in levels.groupBy("level").agg(F.sum("n").alias("n")).collect()}
+    least, inserts = 32, 0
+    for level in sorted(sizes, reverse=True):  # the most frequent first, as many as the filter holds
+        inserts += sizes[level] * (1 + level.bit_count())
+        if 16 * inserts > MAX_FILTER_BITS:
+            break
+        least = level
+    index = build_filter(levels.filter(F.col("level") >= least), filter_bits(min(inserts, MAX_FILTER_BITS // 16), MAX_FILTER_BITS), _add_levels)
+    return Frequencies(index, bits, not sizes or least == min(sizes))
+
+
+def _codes(values: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
+    """So many 64-bit words of each set, every shingle toggling one bit: codes never differ in more bits than the sets in shingles.
+
+    Longer codes fold into shorter ones, halves xor-ed."""
+    x = mix(values ^ np.uint64(0x5851F42D4C957F2D))
+    bit, word = np.uint64(1) << (x & np.uint64(63)), (x >> np.uint64(6)) % np.uint64(words)
+    return np.stack([np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), at) for w in range(words)], axis=1)
+
 
+def _code_bytes(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Each set's code, with two to four bits a shingle for sets of up to 512."""
+    out = np.empty(len(at), object)
+    words = np.where(size <= 32 * WORDS, WORDS, np.where(size <= 64 * WORDS, 2 * WORDS, 4 * WORDS))
+    for w in np.unique(words).tolist():
+        own = np.flatnonzero(words == w)
+        n = size[own]
+        total = np.cumsum(n)
+        code = _codes(values[np.repeat(at[own] - (total - n), n) + np.arange(int(total[-1]))], total - n, w)
+        out[own] = [row.tobytes() for row in code]
+    return out.tolist()
 
-def _filed(batches: Iterator[pa.RecordBatch], k: int, threshold: float, frequent: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Each set under the shingles of its prefix, with its size, the shingle's place in it and its code; equal sets of a run once."""
+
+def _filed(batches: Iterator[pa.RecordBatch], k: int, threshold: float, known: Broadcast, block: int) -> Iterator[pa.RecordBatch]:
+    """Each set under the shingles of its prefix that other records have as well; equal sets of a run once.
+
+    A shard that may hold more than `block` codes is a triangle of cells: a set's own block is the tree of one cell with
+    each other block's probes. facts: the set's size, the shingle's place in it, and its role: 0 both, 1 tree, 2 probe."""
+    frequencies = known.value
     for batch in batches:
         for _, _, values, starts in _shingle_sets(batch, k):
             some = np.flatnonzero(np.diff(starts))
@@ -73,77 +219,123 @@ def _filed(batches: Iterator[pa.RecordBatch], k: int, threshold: float, frequent
                 continue
             at, size = starts[:-1][some], np.diff(starts)[some]
             set_a = _sums(values, at)[0]
-            code = _codes(values, at)
-            seen = np.zeros(len(values), np.int64)
-            if len(frequent):
-                i = np.minimum(np.searchsorted(frequent, values), len(frequent) - 1)
-                seen = np.where(frequent[i] == values, counts[i], 0)
+            once = np.unique(set_a, return_index=True)[1]
             own = np.repeat(np.arange(len(some)), size)
-            ordered = values[np.lexsort((values, seen, own))]
+            level = frequencies.level(values)
+            order = np.lexsort((values, level, own))
+            ordered, level = values[order], level[order]
             place = np.arange(len(values)) - np.repeat(at, size)
-            once = np.zeros(len(some), bool)
-            once[np.unique(set_a, return_index=True)[1]] = True
-            taken = np.flatnonzero((place <= np.repeat(size - np.ceil(size * threshold - 1e-9).astype(np.int64), size)) & once[own])
-            of = own[taken]
-            columns = [ordered[taken].view(np.int64), place[taken], size[of], set_a[of], *code[of].view(np.int64).T]
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["shard", "place", "size", "set_a", *_CODE])
-
-
-def _codes(values: np.ndarray, at: np.ndarray, words: int = WORDS) -> np.ndarray:
-    """So many 64-bit words of each set, every shingle toggling one bit: codes never differ in more bits than the sets in shingles."""
-    x = mix(values ^ np.uint64(0x5851F42D4C957F2D))
-    bit, word = np.uint64(1) << (x & np.uint64(63)), (x >> np.uint64(6)) % np.uint64(words)
-    return np.stack([np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), at) for w in range(words)], axis=1)
-
-
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for a, b, values, starts in _shingle_sets(batch, k):
-            lists = pa.ListArray.from_arrays(pa.array(starts.astype(np.int32)), pa.array(values.view(np.int64)))
-            code = np.zeros((b - a, LONG_WORDS), np.uint64)
-            some = np.flatnonzero(np.diff(starts))
-            if len(some):
-                code[some] = _codes(values, starts[:-1][some], LONG_WORDS)
-            codes = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * LONG_WORDS), pa.array(code.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch["_id"].slice(a, b - a), lists, codes], names=["_id", "shingles", "code"])
-
-
-def _search(batches: Iterator[pa.RecordBatch], threshold: float, block: int) -> Iterator[pa.RecordBatch]:
-    """Whole shards, one after the other: a BK-tree of each, probed with all its codes. Sets in shards above `block` come alone, with a null b."""
-    apart = (1 - threshold) / (1 + threshold)
+            first = np.zeros(len(some), bool)
+            first[once] = True
+            take = (place <= np.repeat(size - np.ceil(size * threshold - 1e-9).astype(np.int64), size)) & first[own]
+            if frequencies.complete:
+                take &= level > 0  # nobody else has it
+            taken = np.flatnonzero(take)
+            of, place, shard = own[taken], place[taken], mix(ordered[taken])
+            blocks = np.maximum(1, np.ceil(2.0 ** (level[taken] + 1) / block)).astype(np.int64)
+            role = np.zeros(len(taken), np.int64)
+            if len(taken) and blocks.max() > 1:
+                repeat = np.repeat(np.arange(len(taken)), blocks)
+                total = np.cumsum(blocks)
+                other = np.arange(int(total[-1])) - np.repeat(total - blocks, blocks)
+                mine = (mix(set_a[of].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)[repeat]
+                cell = np.where(blocks[repeat] > 1, np.minimum(mine, other) * (1 << 20) + np.maximum(mine, other) + 1, 0)
+                role = np.where(mine == other, 0, np.where(mine < other, 1, 2))
+                of, place, shard = of[repeat], place[repeat], np.where(cell > 0, mix(shard[repeat] ^ cell.astype(np.uint64)), shard[repeat])
+            code = pa.array(_code_bytes(values, at, size), pa.binary()).take(pa.array(of))
+            facts = size[of] << 32 | place << 2 | role
+            yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(facts), pa.array(set_a[of]), code], names=["shard", "facts", "set_a", "code"])
+
+
+class _Codes:
+    """Codes of one to four times WORDS, folded to the lengths at which they are compared."""
+
+    def __init__(self, code: pa.Array):
+        length = pc.binary_length(code).to_numpy(zero_copy_only=False).astype(np.int64) // (8 * WORDS)
+        data = np.frombuffer(b"".join(code.to_pylist()), np.uint64).reshape(-1, WORDS)
+        begin = np.cumsum(length) - length
+        self.length, self.folded = length, {}
+        for width in (1, 2, 4):
+            out = np.zeros((len(code), width * WORDS), np.uint64)
+            for n in (1, 2, 4):
+                own = np.flatnonzero(length == n)
+                if len(own) and n >= width:
+                    parts = data[begin[own][:, None] + np.arange(n)].reshape(len(own), n // width, width * WORDS)
+                    out[own] = np.bitwise_xor.reduce(parts, axis=1)
+            self.folded[width] = out
+
+    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """On the longest codes that both have."""
+        both = np.minimum(self.length[a], self.length[b])
+        out = np.zeros(len(a), np.int64)
+        for width, code in self.folded.items():
+            own = both == width
+            out[own] = hamming(code[a[own]], code[b[own]])
+        return out
+
+
+def _radius(size: np.ndarray, place: np.ndarray, largest: np.ndarray, threshold: float) -> np.ndarray:
+    """How far, in shingles, the partners of a probe of this size may be that are no larger than `largest`; -1 if none can be similar.
+
+    They share nothing before the probe's place, so what is left must be enough for the overlap: that bounds their size."""
+    room = np.floor((size - place) * ((1 + threshold) / threshold) - size + 1e-9)
+    most = np.minimum(np.minimum(largest, np.floor(size / threshold + 1e-9)), room)
+    return np.where(most >= size * threshold - 1e-9, np.floor((size + most) * ((1 - threshold) / (1 + threshold)) + 1e-9), -1).astype(np.int64)
+
+
+def search_shards(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Of whole shards, in order: pairs (a, b) of set hashes, and how many nodes were visited out of how many there were to all probes."""
+    facts = t["facts"].to_numpy()
+    size, place, role = facts >> 32, facts >> 2 & (1 << 30) - 1, facts & 3
+    sets, shard = t["set_a"].to_numpy(), t["shard"].to_numpy()
+    codes = _Codes(t["code"].combine_chunks())
+    number = np.cumsum(np.r_[0, shard[1:] != shard[:-1]])
+    tree, probe = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
+    # in a tree's own cell the larger set of a pair asks; a probe from another block asks for both
+    radius = _radius(size[probe], place[probe], np.where(role[probe] == 0, size[probe], 1 << 40), threshold)
+    probe, radius = probe[radius >= 0], radius[radius >= 0]
+    forest = BKForest(number[tree], codes.folded[1][tree])
+    a, b = [], []
+    for q, node in forest.search(number[probe], codes.folded[1][probe], radius, most=1 << 20):
+        q, node = probe[q], tree[node]
+        ok = (role[q] == 2) | (size[q] > size[node]) | ((size[q] == size[node]) & (sets[q] > sets[node]))
+        q, node = q[ok], node[ok]
+        both = size[q] + size[node]
+        left = np.minimum(size[q] - place[q], size[node] - place[node])
+        ok = (np.minimum(size[q], size[node]) >= np.maximum(size[q], size[node]) * threshold - 1e-9) & (left >= np.ceil(both * (threshold / (1 + threshold)) - 1e-9))
+        q, node, both = q[ok], node[ok], both[ok]
+        ok = codes.distance(q, node) <= both * ((1 - threshold) / (1 + threshold)) + 1e-9
+        x, y = sets[q[ok]], sets[node[ok]]
+        ok = x != y
+        a.append(np.minimum(x, y)[ok])
+        b.append(np.maximum(x, y)[ok])
+    some = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
+    in_tree = np.bincount(number[tree], minlength=int(number[-1]) + 1 if len(number) else 0)
+    return some[0], some[1], forest.visited, int(in_tree[number[probe]].sum())
+
+
+def _search(batches: Iterator[pa.RecordBatch], threshold: float, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard and set: whole shards, several together, each a BK-tree that its probes search. Rows of one set in a shard count once."""
 
     def pairs(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not parts:
-            return
         t = pa.Table.from_batches(parts)
-        shard, sets, size, place = (t[c].to_numpy() for c in ("shard", "set_a", "size", "place"))
-        code = np.stack([t[c].to_numpy() for c in _CODE], axis=1).view(np.uint64)
-        number = np.cumsum(np.r_[0, shard[1:] != shard[:-1]])
-        # the larger set of a pair asks, so its own size bounds the distance
-        for q, node in BKForest(number, code).search(number, code, np.floor(2 * size * apart + 1e-9).astype(np.int64), most=1 << 20):
-            ok = (size[q] > size[node]) | ((size[q] == size[node]) & (sets[q] > sets[node]))
-            q, node = q[ok], node[ok]
-            both = size[q] + size[node]
-            left = np.minimum(size[q] - place[q], size[node] - place[node])
-            ok = (size[node] >= size[q] * threshold - 1e-9) & (left >= np.ceil(both * (threshold / (1 + threshold)) - 1e-9))
-            q, node, both = q[ok], node[ok], both[ok]
-            ok = hamming(code[q], code[node]) <= both * apart + 1e-9
-            x, y = sets[q[ok]], sets[node[ok]]
-            some = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(some[:, 0].copy()), pa.array(some[:, 1].copy())], names=["a", "b"])
+        shard, sets = t["shard"].to_numpy(), t["set_a"].to_numpy()
+        new = np.r_[True, shard[1:] != shard[:-1]]
+        once = new | np.r_[True, sets[1:] != sets[:-1]]
+        several = np.add.reduceat(once, np.flatnonzero(new)) > 1
+        keep = once & np.repeat(several, np.diff(np.r_[np.flatnonzero(new), len(shard)]))
+        if keep.any():
+            a, b, _, _ = search_shards(t.filter(pa.array(keep)), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
     held: list[pa.RecordBatch] = []
     rows = 0
+    last = None
     for batch in batches:
-        crowded = batch["n"].to_numpy() > block
-        if crowded.any():
-            alone = np.unique(batch["set_a"].to_numpy()[crowded])
-            yield pa.RecordBatch.from_arrays([pa.array(alone), pa.nulls(len(alone), pa.int64())], names=["a", "b"])
-            batch = batch.filter(pa.array(~crowded))
         shard = batch["shard"].to_numpy()
         if not len(shard):
             continue
-        if rows > 1 << 16:  # many shards together; the forest ends where a shard ends
+        if rows > most:  # the forest ends where a shard ends
             cut = np.flatnonzero(shard != last)
             cut = int(cut[0]) if len(cut) else len(shard)
             held.append(batch.slice(0, cut))
@@ -154,107 +346,92 @@ def _search(batches: Iterator[pa.RecordBatch], threshold: float, block: int) ->
         held.append(batch)
         rows += batch.num_rows
         last = shard[-1]
-    yield from pairs(held)
+    if held:
+        yield from pairs(held)
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The set of each record: its sorted shingle hashes, 6 bytes each."""
+    for batch in batches:
+        for a, b, values, starts in _shingle_sets(batch, k):
+            data = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).ravel()
+            packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer((starts * 6).astype(np.int32)), pa.py_buffer(data)])
+            yield pa.RecordBatch.from_arrays([batch["_id"].slice(a, b - a), packed], names=["_id", "shingles"])
+
+
+def _unpack_set(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def _verified(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sets x and y reach the threshold, with their similarity."""
+    for batch in batches:
+        shared, total = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+        for i, (x, y) in enumerate(zip(batch["x"], batch["y"], strict=True)):
+            both = np.concatenate([_unpack_set(x.as_py()), _unpack_set(y.as_py())])
+            both.sort()
+            shared[i], total[i] = np.count_nonzero(both[1:] == both[:-1]), len(both)
+        similarity = shared / np.maximum(total - shared, 1)
+        ok = pa.array(similarity >= threshold)
+        yield pa.RecordBatch.from_arrays([batch["a"].filter(ok), batch["b"].filter(ok), pa.array(similarity).filter(ok)], names=["a", "b", "similarity"])
 
 
 def near_duplicate_pairs(records: DataFrame, key: str, title: str, body: str, k: int = 5, threshold: float = 0.8, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(pairs, members) of records whose sets of k-word shingles have a Jaccard similarity of at least `threshold`.
 
     members (rep, id): each id with the least id of the class of equal shingle sets it belongs to. pairs (a, b,
-    similarity): different classes, by representative, a < b. So copies are never expanded here, and no link is lost.
-
-    Nothing but equal hashes of different content (48 bits a shingle, 64 a set) can lose a pair. Shingles are ordered from rare to frequent (frequencies from a sample, in a list of bounded
-    size; any order is right, this one makes small shards), and a class is filed in a shard for each of its first
-    size - ceil(threshold * size) + 1: two classes that reach the threshold have one of these in common, the first
-    shingle that they share. A shard is a BK-tree on codes, children keyed by integer Hamming distance to their parent;
-    each shingle toggles one of the code's 256 bits, so codes differ in no more bits than the sets in shingles, and the
-    radius follows from the sizes. What the trees find must also have enough left for the overlap after the shard's
-    place. Trees travel to the probes by shuffle, not by broadcast: all trees together grow with the data. A shard above
-    `block` codes holds texts that have frequent passages in common; there no tree prunes, and its classes are joined
-    by their rarest shingles instead, by exact frequencies, which finds every pair of them. Pairs found are compared
-    on codes of 1,024 bits by the same bound, then verified on the exact shingle sets (48-bit hashes), re-read for the
-    classes in question.
+    similarity): different classes, by representative, a < b. So copies are never expanded here, and no link is lost,
+    whatever the threshold: nothing but equal hashes of different content (48 bits a shingle, 64 a set) could lose one.
+
+    Shingles are ordered from rare to frequent, by the power of two of the number of records that have them (exact counts,
+    kept in a filter of bounded size; any order is right, this one makes small shards), and a class is filed in a shard
+    for each of its first size - ceil(threshold * size) + 1 that another record has as well: two classes that reach the
+    threshold have one of these in common, the first shingle that they share. A shard is a BK-tree on codes, children
+    keyed by integer Hamming distance to their parent; each shingle toggles one of the code's bits, so codes differ in no
+    more bits than the sets in shingles, and the radius follows from a probe's size and the shard's place in its order.
+    What the trees find is compared on codes of 256 to 1,024 bits by the same bound, and must have enough left for the
+    overlap after the shard's place. Trees travel to the probes by shuffle, not by broadcast: all trees together grow
+    with the data. A shard that may hold more than `block` codes is cut into trees of about that size, each probed by the
+    whole shard in a task of its own, so no shard gathers in one place. Pairs found are verified on the sets of their
+    48-bit shingle hashes, re-read for the records in question.
 
     Records without k words have no shingle and belong to no class; null titles count as nothing, as do null bodies;
-    rows without key are left out; repeated rows of a key count once (its class is decided by its rows); other columns,
-    whatever their names, are ignored; empty tables give empty results.
+    rows without key are left out; repeated rows of a key count once, and of several different texts of one key that with
+    the greatest packed set is verified; other columns, whatever their names, are ignored; empty tables give empty results.
     """
+    spark = records.sparkSession
     own = records.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("_id"), F.col(title).alias("_title"), F.col(body).alias("_body"))
     keyed = materialise(own.mapInArrow(lambda b: _keyed(b, k), "_id bigint, set_a bigint, set_b bigint"))
     classes = keyed.groupBy("set_a", "set_b").agg(F.min("_id").alias("rep"))
-    frequent, counts = _frequent_shingles(own, k)
+    known = spark.sparkContext.broadcast(shingle_frequencies(own, k))
 
-    filed_type = "shard bigint, place bigint, size bigint, set_a bigint, " + ", ".join(f"{c} bigint" for c in _CODE)
-    filed = own.mapInArrow(lambda b: _filed(b, k, threshold, frequent, counts), filed_type).repartition("shard")
-    once = filed.groupBy("shard", "set_a").agg(*[F.first(c).alias(c) for c in ("size", "place", *_CODE)])
-    counted = once.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("shard"))).filter("n > 1").sortWithinPartitions("shard")
-    found = materialise(counted.mapInArrow(lambda b: _search(b, threshold, block), "a bigint, b bigint"))
+    filed = own.mapInArrow(lambda b: _filed(b, k, threshold, known, block), "shard bigint, facts bigint, set_a bigint, code binary")
+    found = materialise(filed.repartition("shard").sortWithinPartitions("shard", "set_a").mapInArrow(lambda b: _search(b, threshold), "a bigint, b bigint"))
     rep_of = [classes.select(F.col("set_a").alias(c), F.col("rep").alias(f"rep_{c}")) for c in ("a", "b")]
-    near = found.filter("b IS NOT NULL").distinct().join(rep_of[0], "a").join(rep_of[1], "b")
-    candidates = near.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
-    crowded = materialise(found.filter("b IS NULL").select("a").distinct().join(rep_of[0], "a").select(F.col("rep_a").alias("_id")))
-    if not crowded.isEmpty():
-        candidates = candidates.union(_rare_shingle_pairs(_shingles_of(own, crowded, k), threshold))
-    candidates = materialise(candidates.distinct())
-
-    sets = materialise(_shingles_of(own, candidates.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), k))
-    sized = sets.select("_id", "code", F.size("shingles").alias("n"))
-    coded = candidates.join(sized.select(F.col("_id").alias("a"), F.col("code").alias("x"), F.col("n").alias("n_a")), "a").join(sized.select(F.col("_id").alias("b"), F.col("code").alias("y"), F.col("n").alias("n_b")), "b")
-    differ = F.aggregate(F.zip_with("x", "y", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda total, n: total + n)
-    close = materialise(coded.filter(differ <= (F.col("n_a") + F.col("n_b")) * ((1 - threshold) / (1 + threshold)) + 1e-9).select("a", "b"))
-    both = close.join(sets.select(F.col("_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("_id").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    pairs = both.select("a", "b", (shared / (F.size("x") + F.size("y") - shared)).alias("similarity")).filter(F.col("similarity") >= threshold)
+    near = found.distinct().join(rep_of[0], "a").join(rep_of[1], "b")
+    candidates = materialise(near.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct())
+
+    wanted = candidates.select(F.explode(F.array("a", "b")).alias("_id")).distinct()
+    n = bloom_blocks(wanted.count())
+    texts = bloom_probe(own, "_id", bloom_filter(wanted, "_id", n), n, "_maybe").filter("_maybe").drop("_maybe", "_block", "_bitmap")
+    sets = texts.mapInArrow(lambda b: _sets(b, k), "_id bigint, shingles binary").groupBy("_id").agg(F.max("shingles").alias("shingles"))
+    both = candidates.join(sets.select(F.col("_id").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("_id").alias("b"), F.col("shingles").alias("y")), "b")
+    pairs = both.select("a", "b", "x", "y").mapInArrow(lambda b: _verified(b, threshold), "a bigint, b bigint, similarity double")
     member_of = keyed.select(F.col("_id").alias("id"), "set_a", "set_b").distinct()
     members = member_of.join(classes.select("set_a", "set_b", "rep"), ["set_a", "set_b"]).select("rep", "id")
     return pairs, members
 
 
-def _frequent_shingles(own: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of the most frequent shingles of a sample of the records; never more than FREQUENT."""
-    sample = own.filter(F.pmod(F.xxhash64("_id"), F.lit(SAMPLE)) == 0).mapInArrow(lambda b: _listed(b, k), "s bigint")
-    t = sample.groupBy("s").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").orderBy(F.desc("n"), "s").limit(FREQUENT).toArrow()
-    s, n = t["s"].to_numpy().view(np.uint64), t["n"].to_numpy()
-    order = np.argsort(s)
-    return s[order], n[order]
-
-
-def _shingles_of(own: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(_id, shingles, code) of the records whose _id is in `wanted` (distinct); a bounded Bloom filter keeps the others' texts out of the join."""
-    n = bloom_blocks(wanted.count())
-    texts = bloom_probe(own, "_id", bloom_filter(wanted, "_id", n), n, "_maybe").filter("_maybe").drop("_maybe").join(wanted, "_id", "left_semi")
-    return texts.mapInArrow(lambda b: _sets(b, k), "_id bigint, shingles array<bigint>, code array<bigint>").groupBy("_id").agg(F.max(F.struct("shingles", "code")).alias("s")).select("_id", "s.*")
-
-
-def _rare_shingle_pairs(sets: DataFrame, threshold: float) -> DataFrame:
-    """(a, b), a < b: a superset of the pairs of `sets` that reach the threshold, by prefix and position.
-
-    Shingles are ordered from rare to frequent. Two sets that reach the threshold share one of the first
-    size - ceil(threshold * size) + 1 of the larger, and of the first size - ceil(2t / (1 + t) * size) + 1 of the
-    smaller; and after the place where they meet, both have enough left for the overlap they need."""
-    sets = materialise(sets)
-    listed = sets.select("_id", F.explode("shingles").alias("s"))
-    frequency = listed.groupBy("s").agg(F.count(F.lit(1)).alias("df"))
-    ranked = salted_join(listed, frequency, "s", "inner").groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("l"))
-    t = threshold
-    placed = materialise(
-        ranked.select("_id", F.size("l").alias("size"), F.posexplode("l").alias("pos", "x")).select("_id", "size", "pos", F.col("x.s").alias("s")).filter(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * t - 1e-9))
-    )
-    small = placed.filter(F.col("pos") <= F.col("size") - F.ceil(F.col("size") * (2 * t / (1 + t)) - 1e-9)).select("s", F.col("_id").alias("i"), F.col("size").alias("n"), F.col("pos").alias("p"))
-    large = placed.select("s", F.col("_id").alias("j"), F.col("size").alias("m"), F.col("pos").alias("q"))
-    need = F.ceil((F.col("n") + F.col("m")) * (t / (1 + t)) - 1e-9)
-    left = F.least(F.col("n") - F.col("p"), F.col("m") - F.col("q"))
-    fits = ((F.col("n") < F.col("m")) | ((F.col("n") == F.col("m")) & (F.col("i") < F.col("j")))) & (F.col("n") >= F.col("m") * t - 1e-9) & (left >= need)
-    return small.join(large, "s").filter(fits).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
-
-
 def all_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
-    """Every pair of different ids, id_a < id_b, of one class or of two classes that are a pair; copies are expanded."""
+    """Every pair of different ids, id_a < id_b, of one class or of two classes that are a pair; copies are expanded, those of large classes by many tasks."""
     pairs = materialise(pairs.select("a", "b"))
     members = materialise(members)
     other = members.select("rep", F.col("id").alias("id2"))
-    within = members.join(other, "rep").filter("id < id2").select(F.col("id").alias("id_a"), F.col("id2").alias("id_b"))
-    across = pairs.join(members.select(F.col("rep").alias("a"), "id"), "a").join(members.select(F.col("rep").alias("b"), F.col("id").alias("id2")), "b")
+    within = salted_join(members, other, "rep", "inner").filter("id < id2").select(F.col("id").alias("id_a"), F.col("id2").alias("id_b"))
+    first = materialise(members.join(pairs.withColumnRenamed("a", "rep"), "rep").select("id", F.col("b").alias("rep")))
+    across = salted_join(first, other, "rep", "inner")
     across = across.filter("id != id2").select(F.least("id", "id2").alias("id_a"), F.greatest("id", "id2").alias("id_b"))
     return within.union(across)
 

@@ -10,71 +10,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marlstone.llm.filters import Filter, build_filter, filter_bits
 from marlstone.llm.textvec import char_prefix, chunked, code_points, mix, span_hash, window_hash
 from marlstone.operators.skew import salted_join
 from marlstone.runtime import materialise
 
-#: Bytes of one row of a filter that is put together by bitmap_or_agg.
-_ROW = 4096
-_PROBES = 3
 #: The largest filter: 8 MB, whatever the size of the corpus.
 MAX_FILTER_BITS = 1 << 26
 #: Different contexts of one anchor that one task compares in memory; above that they are compared by shuffle.
 GROUP_CONTEXTS = 1 << 17
 
 
-def _filter_bits(n: int) -> int:
-    bits = _ROW * 8
-    while bits < 16 * n and bits < MAX_FILTER_BITS:
-        bits *= 2
-    return bits
-
-
-def _probe_bits(h: np.ndarray, bits: int, i: int) -> np.ndarray:
-    return (h >> np.uint64(21 * i)) & np.uint64(bits - 1) if bits <= 1 << 21 else mix(h + np.uint64(i)) & np.uint64(bits - 1)
-
-
-class Filter:
-    """A Bloom filter of hashes; what it says is the same for the same content, so texts agree on it."""
-
-    def __init__(self, bits: int, rows: list | None = None):
-        self.bits, self.bytes = bits, np.zeros(bits // 8, np.uint8)
-        for i, data in rows or []:
-            self.bytes[i * _ROW : (i + 1) * _ROW] = np.frombuffer(data, np.uint8)
-
-    def add(self, h: np.ndarray) -> None:
-        for i in range(_PROBES):
-            at = _probe_bits(h, self.bits, i)
-            np.bitwise_or.at(self.bytes, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-
-    def find(self, h: np.ndarray) -> np.ndarray:
-        """Indices of the hashes that may be in the filter."""
-        left = None
-        for i in range(_PROBES):
-            at = _probe_bits(h, self.bits, i)
-            hit = np.flatnonzero((self.bytes[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
-            left, h = hit if left is None else left[hit], h[hit]
-        return left
-
-    def rows(self) -> pa.RecordBatch:
-        parts = self.bytes.reshape(-1, _ROW)
-        some = np.flatnonzero(parts.any(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["row", "data"])
-
-
-def _filter(hashes: DataFrame, bits: int, add) -> Filter:
-    """The filter of all partitions: each makes one of its own, these are or-ed, and bits / 8 bytes at most reach the driver."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(bits)
-        for batch in batches:
-            add(own, batch)
-        yield own.rows()
-
-    merged = hashes.mapInArrow(run, "row int, data binary").groupBy("row").agg(F.bitmap_or_agg("data").alias("data"))
-    return Filter(bits, merged.collect())
-
-
 def _runs(batch: pa.RecordBatch, least: int) -> Iterator[tuple[np.ndarray, list[str], np.ndarray, np.ndarray]]:
     """Texts of at least `least` code points: their row numbers, themselves, code points and starts."""
     texts = batch["text"].to_pylist()
@@ -244,10 +190,10 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 300, group_con
     spark = df.sparkSession
     own = df.filter(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id"), F.col(text).alias("text"))
     n_blocks = own.select(F.sum(F.floor(F.length("text") / (least // 2))).alias("n")).first()["n"] or 0
-    index = spark.sparkContext.broadcast(_filter(own, _filter_bits(n_blocks), partial(_index_blocks, least=least)))
+    index = spark.sparkContext.broadcast(build_filter(own, filter_bits(n_blocks, MAX_FILTER_BITS), partial(_index_blocks, least=least)))
     anchors = own.mapInArrow(lambda b: _anchor_rows(b, index, least), "anchor bigint, id bigint")
     several = materialise(anchors.groupBy("anchor").agg(F.min("id").alias("a"), F.max("id").alias("b")).filter("a < b").select("anchor"))
-    repeated = spark.sparkContext.broadcast(_filter(several, _filter_bits(several.count()), _add_anchors))
+    repeated = spark.sparkContext.broadcast(build_filter(several, filter_bits(several.count(), MAX_FILTER_BITS), _add_anchors))
 
     found = own.mapInArrow(lambda b: _context_rows(b, index, repeated, least), "anchor bigint, context bigint, id bigint, low int, shift int, data string")
     found = materialise(found)
@@ -255,7 +201,7 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 300, group_con
     counted = contexts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor")))
     interval = "anchor bigint, context bigint, begin int, end int"
     small = counted.filter(F.col("n") <= group_contexts).drop("n").mapInArrow(lambda b: _compare(b, least), interval)
-    rows = counted.filter(F.col("n") > group_contexts).drop("n").mapInArrow(lambda b: _window_rows(b, least), "key bigint, anchor bigint, context bigint, id_min bigint, id_max bigint, start int")
+    rows = materialise(counted.filter(F.col("n") > group_contexts).drop("n").mapInArrow(lambda b: _window_rows(b, least), "key bigint, anchor bigint, context bigint, id_min bigint, id_max bigint, start int"))
     windows = rows.groupBy("key").agg(F.min("id_min").alias("lo"), F.max("id_max").alias("hi")).filter("lo < hi").select("key")
     large = salted_join(rows, windows, "key", "inner").select("anchor", "context", F.col("start").alias("begin"), F.col("start").alias("end"))
     shared = small.union(large)

@@ -83,12 +83,12 @@ def char_prefix(cps: np.ndarray) -> np.ndarray:
     return prefix_hash(_mixed_code_points()[cps])
 
 
-def chunked(texts: Iterable[str], most: int = 1 << 20) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about `most` code points together, with the index of the first; a longer text stands alone, whole."""
+def chunked(texts: Iterable[str], most: int = 1 << 20, most_texts: int = (1 << 16) - 1) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about `most` code points together, at most `most_texts`, with the index of the first; a longer text stands alone, whole."""
     run: list[str] = []
     first = size = 0
     for i, t in enumerate(texts):
-        if run and size + len(t) > most:
+        if run and (size + len(t) > most or len(run) == most_texts):
             yield first, run
             run, first, size = [], i, 0
         run.append(t)
@@ -129,7 +129,9 @@ def shingles(word_hash: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray
 
 
 def distinct_per_text(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct 48-bit hashes of each text, sorted, and where each text's begin (n + 1 entries). n is under 65536."""
+    """The distinct 48-bit hashes of each text, sorted, and where each text's begin (n + 1 entries). n is under 65536, as in the runs of chunked."""
     key = np.unique((doc.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
-    starts = np.searchsorted(key, np.arange(n + 1, dtype=np.uint64) << np.uint64(48)) if n < 65536 else None
+    if n >= 1 << 16:
+        raise ValueError("too many texts at once")
+    starts = np.r_[np.searchsorted(key, np.arange(n, dtype=np.uint64) << np.uint64(48)), len(key)]
     return key & np.uint64((1 << 48) - 1), starts

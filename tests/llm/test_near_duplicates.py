@@ -75,7 +75,7 @@ def corpus():
     return rows + [(2000, None, None), (2001, "", ""), (2002, "one", "two"), (None, "x", "y z a b c d e f"), (0, None, rows[0][2])]
 
 
-@pytest.mark.parametrize(("k", "threshold", "block"), [(3, 0.6, 1 << 14), (3, 0.6, 3), (5, 0.8, 1 << 14)])
+@pytest.mark.parametrize(("k", "threshold", "block"), [(3, 0.6, 1 << 14), (3, 0.6, 3), (5, 0.8, 1 << 14), (3, 0.3, 1 << 14), (2, 0.4, 5), (3, 0.5, 1 << 14)])
 def test_pairs_equal_brute_force(spark, k, threshold, block):
     rows = corpus()
     df = spark.createDataFrame([(*r, "c", "s", "r", "i") for r in rows], SCHEMA)
