@@ -180,7 +180,8 @@ def shingle_frequencies(own: DataFrame, k: int) -> Frequencies:
         if 16 * inserts > MAX_FILTER_BITS:
             break
         least = level
-    index = build_filter(levels.filter(F.col("level") >= least), filter_bits(min(inserts, MAX_FILTER_BITS // 16), MAX_FILTER_BITS), _add_levels)
+    # few tasks, each of which makes a whole filter of its own
+    index = build_filter(levels.filter(F.col("level") >= least).coalesce(2), filter_bits(min(inserts, MAX_FILTER_BITS // 16), MAX_FILTER_BITS), _add_levels)
     return Frequencies(index, bits, not sizes or least == min(sizes))
 
 
