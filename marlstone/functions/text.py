@@ -12,48 +12,56 @@ BYTES_PER_TOKEN = 3
 STOPWORDS = ["the", "a", "an", "and", "or", "of", "to", "in", "is", "it", "for", "on", "with", "as", "at", "by", "be", "are", "was", "this", "that", "from"]
 MAX_TERM_BYTES = 64
 
+#: Noncharacters that mark, while a text is converted, where a tag begins and ends, and where a line must have ended.
+_OPEN, _CLOSE, _LINE = "\ufdd0", "\ufdd1", "\ufdd2"
 _BLOCKS = "p|div|ul|ol|blockquote|h[1-6]"
-#: Pattern and replacement of each step from HTML to text, in order; valid in Java and RE2.
-HTML_RULES = [
-    (r"(?is)<script\b[^>]*>.*?</script[^>]*>", ""),
-    (r"(?is)<style\b[^>]*>.*?</style[^>]*>", ""),
-    (r"(?i)\n?<pre\b[^>]*>(?:<code\b[^>]*>)?", f"\n{FENCE}\n"),
-    (r"(?i)(?:</code>)?\n?</pre>", f"\n{FENCE}\n"),
-    (r"(?i)</?code\b[^>]*>", "`"),
-    (r"(?i)<br\b[^>]*>", "\n"),
-    (r"(?i)\n?<li\b[^>]*>", "\n- "),
-    (r"(?i)</tr>", " |\n"),
-    (r"(?i)\n?<(?:tr|table)\b[^>]*>", "\n"),
-    (r"(?i)</t[dh]>", " "),
-    (r"(?i)<t[dh]\b[^>]*>", "| "),
-    (rf"(?i)\n?</(?:{_BLOCKS})>", "\n\n"),
-    (rf"(?i)\n?(?:<(?:{_BLOCKS})\b[^>]*>)+", "\n"),
-    (r"<(?:[A-Za-z]|/[A-Za-z]|!|\?)[^>]*>", ""),
-]
-_FENCE_LINE = r"(?:^|\n)[ \t]*```[^\n]*(?:\n|$)"
+#: White space but for line feeds.
+_BLANK = r"[\s&&[^\n]]"
+
+
+def _tag(names: str, slash: str = "/?") -> str:
+    return f"(?i){_OPEN}{slash}(?:{names})(?![a-z0-9])[^{_CLOSE}]*{_CLOSE}"
+
+
+def _dropped(name: str) -> str:
+    return rf"{name}(?![a-z0-9])[^{_CLOSE}]*{_CLOSE}.*?(?:{_OPEN}/{name}(?![a-z0-9])[^{_CLOSE}]*{_CLOSE}|\z)"
 
 
 def html_to_text(html: Column) -> Column:
     """HTML as plain text: code blocks fenced, inline code ticked, list items, table rows and paragraphs kept apart, scripts and styles dropped.
 
-    Entities stay as they are. A '<' that opens no tag stays text. Outside fences lines are trimmed and runs of blanks
-    collapsed; inside, indentation is kept. At most one blank line follows another. Null stays null."""
-    out = html
-    for pattern, by in HTML_RULES:
-        out = F.regexp_replace(out, F.lit(pattern), F.lit(by))
-    return normalize_text(out)
+    Tags are found from left to right, a '<' that opens none stays text; scripts and styles go up to their end tag, or to
+    the text's end. What a tag stands for is written with a mark where a line must have ended, and marks become line feeds
+    where there is none. Code tags between a block of code's tags are no ticks. Entities stay as they are. Outside fences
+    lines are trimmed and runs of blanks collapsed; inside, indentation is kept. At most one blank line follows another.
+    Three noncharacters (U+FDD0 to U+FDD2) become U+FFFD. Null stays null."""
+    x = F.translate(html, _OPEN + _CLOSE + _LINE, "\ufffd" * 3)
+    x = F.regexp_replace(x, "<((?:/?[A-Za-z]|[!?])[^>]*)>", f"{_OPEN}$1{_CLOSE}")
+    x = F.regexp_replace(x, f"(?is){_OPEN}/?(?:{_dropped('script')}|{_dropped('style')})", "")
+    # every part but the first begins with a tag of a block of code, which says whether it lies in one
+    parts = F.split(x, f"(?i)(?={_OPEN}/?pre(?![a-z0-9]))")
+    inside = rf"(?i)\A{_OPEN}pre(?![a-z0-9])"
+    x = F.array_join(F.transform(parts, lambda part: F.when(part.rlike(inside), F.regexp_replace(part, _tag("code"), "")).otherwise(F.regexp_replace(part, _tag("code"), "`"))), "")
+    for names, slash, by in (
+        ("pre", "/?", f"{_LINE}{FENCE}\n"), ("br", "/?", "\n"), (_BLOCKS, "", _LINE), (_BLOCKS, "/", _LINE + "\n"), ("li", "", f"{_LINE}- "),
+        ("tr", "", _LINE), ("tr", "/", " |\n"), ("td|th", "", "| "), ("td|th", "/", " "), ("table", "/?", _LINE),
+    ):
+        x = F.regexp_replace(x, F.lit(_tag(names, slash)), F.lit(by))
+    x = F.regexp_replace(x, f"{_OPEN}[^{_CLOSE}]*{_CLOSE}", "")
+    return normalize_text(F.regexp_replace(x, f"\n?{_LINE}+", "\n"))
 
 
 def normalize_text(text: Column) -> Column:
-    """The white-space part of html_to_text."""
-    parts = F.split(text, _FENCE_LINE)
+    """The white-space part of html_to_text. A line that begins with a fence is one, whatever follows on it."""
+    parts = F.split(text, rf"(?mdU)^{_BLANK}*{FENCE}[^\n]*(?:\n|\z)")
 
     def tidy(part: Column, i: Column) -> Column:
-        prose = F.regexp_replace(F.regexp_replace(part, r"(?m)^[ \t\r]+|[ \t\r]+$", ""), r"[ \t]{2,}", " ")
-        return F.when(i % 2 == 0, prose).otherwise(F.regexp_replace(part, r"(?m)[ \t\r]+$", ""))
+        right = rf"(?<!{_BLANK}){_BLANK}++$"
+        prose = F.regexp_replace(F.regexp_replace(part, rf"(?mdU)^{_BLANK}++|{right}", ""), r"[ \t]{2,}", " ")
+        return F.when(i % 2 == 0, prose).otherwise(F.regexp_replace(part, rf"(?mdU)^{_BLANK}++$|{right}", ""))
 
-    joined = F.array_join(F.transform(parts, tidy), f"\n{FENCE}\n")
-    return F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
+    joined = F.array_join(F.transform(parts, tidy), f"{FENCE}\n")
+    return F.regexp_replace(F.regexp_replace(joined, r"(?U)\A\s++|(?<!\s)\s++\z", ""), r"\n{3,}", "\n\n")
 
 
 def has_code(text: Column) -> Column:

@@ -20,8 +20,9 @@ def scan_stats(posts: DataFrame) -> DataFrame:
         F.count_if(F.contains(body, F.lit("<code"))).alias("with_code"),
         F.sum(F.octet_length(body)).alias("body_bytes"),
     )
+    # the few columns are read a second time, for the tags alone
     tags = posts.select(F.explode(parse_tags(F.col("tags"))).alias("tag")).agg(F.countDistinct("tag").alias("distinct_tags"))
-    return flat.join(F.broadcast(tags))
+    return flat.crossJoin(F.broadcast(tags))
 
 
 def tag_histogram(posts: DataFrame, n: int | None = None) -> DataFrame:
@@ -59,13 +60,29 @@ def code_share(docs: DataFrame, text: str) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n_docs"), F.count_if(has_code(F.col(text))).alias("with_code"))
 
 
-def chunk_stats(chunks: DataFrame, limit: int = 512, small: int = 50) -> DataFrame:
-    """One row about chunks (doc_id, element_type, token_count): documents, chunks, code share, tokens, over and under size, most chunks of a document."""
+#: Bytes of a stored vector's component, and of a graph's edges a vector.
+FLOAT_BYTES, GRAPH_BYTES = 4, 128
+
+
+def chunk_stats(chunks: DataFrame, limit: int = 512, small: int = 50, dim: int = 384) -> DataFrame:
+    """One row about chunks (doc_id, element_type, token_count): documents, chunks, tokens and chunks a document by percentile (the sorted values at floor((n - 1) * q)), over and under size, code, with percentages, and the bytes of an index of them.
+
+    Percentiles come from counts of values, so nothing is sorted but a few hundred rows."""
     per_doc = chunks.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("element_type") == "code").alias("code"), F.sum("token_count").alias("tokens"), F.max("token_count").alias("most"),
         F.count_if(F.col("token_count") > limit).alias("over"), F.count_if(F.col("token_count") < small).alias("under"),
     )
-    return per_doc.agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_chunks"), F.max("n").alias("most_per_doc"), F.sum("code").alias("n_code"), F.sum("tokens").alias("n_tokens"),
-        F.max("most").alias("most_tokens"), F.sum("over").alias("n_over"), F.sum("under").alias("n_under"),
+    total = per_doc.agg(
+        F.count(F.lit(1)).alias("n_docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_chunks"), F.max("n").alias("most_per_doc"), F.coalesce(F.sum("code"), F.lit(0)).alias("n_code"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("n_tokens"),
+        F.max("most").alias("most_tokens"), F.coalesce(F.sum("over"), F.lit(0)).alias("n_over"), F.coalesce(F.sum("under"), F.lit(0)).alias("n_under"),
     )
+    percent = {f"pct_{c}": F.round(100.0 * F.col(f"n_{c}") / F.greatest(F.col("n_chunks"), F.lit(1)), 3) for c in ("code", "over", "under")}
+    sizes = {"float_bytes": F.col("n_chunks") * dim * FLOAT_BYTES, "byte_bytes": F.col("n_chunks") * dim, "graph_bytes": F.col("n_chunks") * GRAPH_BYTES, "resident_bytes": F.col("n_chunks") * (dim + GRAPH_BYTES)}
+    return total.withColumns(percent | sizes).crossJoin(F.broadcast(_percentiles(chunks, "token_count", "tokens"))).crossJoin(F.broadcast(_percentiles(per_doc, "n", "per_doc")))
+
+
+def _percentiles(df: DataFrame, value: str, name: str) -> DataFrame:
+    """One row p50_name, p95_name, p99_name: null without values."""
+    counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
+    ranked = counts.withColumn("upto", F.sum("c").over(Window.orderBy(value))).withColumn("total", F.sum("c").over(Window.partitionBy()))
+    return ranked.agg(*[F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) * q), F.col(value))).alias(f"p{round(q * 100):d}_{name}") for q in (0.5, 0.95, 0.99)])

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 RECALL_AT = (1, 5, 10, 50, 100)
 
 
-def current_posts(posts: DataFrame) -> DataFrame:
-    """The latest delivery of every post id."""
-    fields = [c for c in posts.columns if c not in ("id", "ingested_at")]
-    return posts.filter(F.col("id").isNotNull()).groupBy("id").agg(F.max_by(F.struct(*fields), F.struct("ingested_at", F.coalesce("score", F.lit(-(1 << 62))))).alias("p")).select("id", "p.*")
+def current_posts(posts: DataFrame, *columns: str) -> DataFrame:
+    """The latest delivery of every post id, with the columns named (all without names): only these are shuffled."""
+    fields = list(columns) or [c for c in posts.columns if c not in ("id", "ingested_at")]
+    latest = F.max_by(F.struct(*fields), F.struct("ingested_at", F.coalesce("score", F.lit(-(1 << 62)))))
+    return posts.filter(F.col("id").isNotNull()).groupBy("id").agg(latest.alias("p")).select("id", "p.*")
 
 
 def duplicate_links(links: DataFrame) -> DataFrame:
@@ -25,7 +26,7 @@ def label_pairs(posts: DataFrame, links: DataFrame, min_score: int = 1, min_titl
 
     In this order: missing_post, chained (the gold post is itself a duplicate of another), no_title, low_score,
     short_title, repeated_query (not the query's first link)."""
-    p = current_posts(posts).select("id", "title", "score", "body")
+    p = current_posts(posts, "title", "score", "body")
     pairs = duplicate_links(links)
     query = p.select(F.col("id").alias("post_id"), F.lit(True).alias("q_there"), F.col("title").alias("query_title"), F.col("body").alias("query_body"))
     gold = p.select(F.col("id").alias("related_post_id"), F.lit(True).alias("g_there"), F.col("title").alias("gold_title"), F.col("score").alias("gold_score"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from marlstone.functions.text import BYTES_PER_TOKEN, HTML_RULES, STOPWORDS
+from marlstone.functions.text import BYTES_PER_TOKEN, STOPWORDS
 from marlstone.operators.measures import LATENCY_BOUNDS
 
 _CUR = "p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY ingested_at DESC, coalesce(score, -9000000000000000000) DESC) AS rn FROM posts) WHERE rn = 1)"
@@ -12,16 +12,36 @@ def _quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+_WS = r"\s\x{0B}\x{85}\p{Z}"
+
+
 def _clean(column: str) -> str:
-    """html_to_text in SQL, from the same rules."""
-    out = column
-    for pattern, by in HTML_RULES:
-        out = f"regexp_replace({out}, {_quote(pattern)}, {_quote(by)}, 'g')"
-    fence = _quote(r"(?:^|\n)[ \t]*```[^\n]*(?:\n|$)")
-    prose = r"regexp_replace(regexp_replace(x, '(?m)^[ \t\r]+|[ \t\r]+$', '', 'g'), '[ \t]{2,}', ' ', 'g')"
-    code = r"regexp_replace(x, '(?m)[ \t\r]+$', '', 'g')"
-    joined = f"array_to_string(list_transform(string_split_regex({out}, {fence}), lambda x, i: CASE WHEN i % 2 = 1 THEN {prose} ELSE {code} END), {_quote(chr(10) + '```' + chr(10))})"
-    return rf"regexp_replace(regexp_replace({joined}, '\n{{3,}}', {_quote(chr(10) * 2)}, 'g'), '^\s+|\s+$', '', 'g')"
+    """HTML to text as a state machine over tokens: what was written (o), whether in a block of code (pre), what end tag is waited for (skip)."""
+    token = "regexp_extract_all({}, '<(?:/?[A-Za-z]|[!?])[^>]*>|[^<]+|<')".format(column)
+    # a tag's row: its text, whether it closes, its name after a colon; other text has no name
+    rows = f"list_transform({token}, lambda t: {{'o': t, 'pre': starts_with(t, '</'), 'skip': CASE WHEN length(t) > 1 AND starts_with(t, '<') THEN ':' || lower(regexp_extract(t, '^</?([A-Za-z0-9]*)', 1)) ELSE '' END}})"
+    line = "CASE WHEN ends_with(s.o, chr(10)) THEN s.o ELSE s.o || chr(10) END"
+
+    def put(o: str, pre: str = "s.pre", skip: str = "s.skip") -> str:
+        return f"{{'o': {o}, 'pre': {pre}, 'skip': {skip}}}"
+
+    step = f"""CASE WHEN s.skip <> '' THEN CASE WHEN t.skip = s.skip AND t.pre THEN {put('s.o', skip="''")} ELSE s END
+    WHEN t.skip = '' THEN {put('s.o || t.o')}
+    WHEN t.skip IN (':script', ':style') THEN {put('s.o', skip='t.skip')}
+    WHEN t.skip = ':pre' THEN {put(f"{line} || '```' || chr(10)", pre='NOT t.pre')}
+    WHEN t.skip = ':code' THEN {put("CASE WHEN s.pre THEN s.o ELSE s.o || '`' END")}
+    WHEN t.skip = ':br' THEN {put('s.o || chr(10)')}
+    WHEN t.skip IN (':p', ':div', ':ul', ':ol', ':blockquote', ':h1', ':h2', ':h3', ':h4', ':h5', ':h6') THEN {put(f"{line} || CASE WHEN t.pre THEN chr(10) ELSE '' END")}
+    WHEN t.skip = ':li' AND NOT t.pre THEN {put(f"{line} || '- '")}
+    WHEN t.skip = ':tr' THEN {put(f"CASE WHEN t.pre THEN s.o || ' |' || chr(10) ELSE {line} END")}
+    WHEN t.skip IN (':td', ':th') THEN {put("s.o || CASE WHEN t.pre THEN ' ' ELSE '| ' END")}
+    WHEN t.skip = ':table' THEN {put(line)} ELSE s END"""
+    written = f"list_reduce({rows}, lambda s, t: {step}, {{'o': '', 'pre': false, 'skip': ''}}).o"
+    lines = f"list_transform(string_split({written}, chr(10)), lambda l: {{'o': l, 'f': false}})"
+    prose = rf"regexp_replace(regexp_replace(l.o, '^[{_WS}]+|[{_WS}]+$', '', 'g'), '[ \t]{{2,}}', ' ', 'g')"
+    tidy = rf"""CASE WHEN regexp_matches(l.o, '^[{_WS}]*```') THEN {{'o': s.o || '```' || chr(10), 'f': NOT s.f}}
+    WHEN s.f THEN {{'o': s.o || regexp_replace(l.o, '[{_WS}]+$', '') || chr(10), 'f': s.f}} ELSE {{'o': s.o || {prose} || chr(10), 'f': s.f}} END"""
+    return rf"CASE WHEN {column} IS NOT NULL THEN regexp_replace(regexp_replace(list_reduce({lines}, lambda s, l: {tidy}, {{'o': '', 'f': false}}).o, '^[{_WS}]+|[{_WS}]+$', '', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g') END"
 
 
 def _tags(column: str) -> str:
@@ -83,6 +103,14 @@ _ENTRIES = """e AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seq
 v AS (SELECT seq, tenant, CAST(embedding AS DOUBLE[]) AS v FROM e WHERE len(embedding) = 64)"""
 _COS = "CASE WHEN list_dot_product(a.v, a.v) = 0 OR list_dot_product(b.v, b.v) = 0 THEN 0 ELSE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) END"
 _KEY = r"sha256(coalesce(tenant, '') || chr(10) || lower(trim(regexp_replace(query, '[\s\p{Z}]+', ' ', 'g'))))"
+#: Lookups of a twentieth of the entries against what was inserted before each.
+_RULE = r"regexp_matches(lower(query), '(^|[^\p{L}\p{N}_])(20[0-9]{2}|today|yesterday|latest|current|not|don''t|never|without|no|[0-9]+(\.[0-9]+)* ?(gb|mb|tb|ms|%)|port [0-9]+)($|[^\p{L}\p{N}_])')"
+_OUTCOMES = f"""WITH {_ENTRIES}, k AS (SELECT seq, {_KEY} AS key, inserted_at FROM e WHERE tenant IS NOT NULL AND query IS NOT NULL),
+l AS (SELECT e.*, k.key, {_RULE} AS refuse FROM e JOIN k USING (seq) WHERE seq % 20 = 0),
+x AS (SELECT l.seq, arg_max(k.seq, (k.inserted_at, k.seq)) AS exact_seq FROM l JOIN k ON k.key = l.key AND k.inserted_at < l.inserted_at GROUP BY l.seq),
+c AS (SELECT a.seq, b.seq AS near_seq, {_COS} AS c FROM v a JOIN v b ON a.tenant = b.tenant JOIN e ea ON ea.seq = a.seq JOIN e eb ON eb.seq = b.seq WHERE a.seq % 20 = 0 AND eb.inserted_at < ea.inserted_at),
+n AS (SELECT seq, near_seq, round(round(c, 9), 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY seq ORDER BY round(c, 9) DESC, near_seq) AS r FROM c) WHERE r = 1 AND round(round(c, 9), 6) >= 0.95),
+o AS (SELECT l.seq AS query_id, tenant, CASE WHEN exact_seq IS NOT NULL THEN 'exact' WHEN refuse THEN 'miss' WHEN near_seq IS NOT NULL THEN 'semantic' ELSE 'miss' END AS outcome, exact_seq, near_seq, similarity AS s, exact_seq IS NULL AND refuse AS refused FROM l LEFT JOIN x USING (seq) LEFT JOIN n USING (seq))"""
 _STAGES = "st AS (SELECT event_type AS stage, CAST(floor(value * 1000) AS BIGINT) AS micros FROM events)"
 _LABELS = f"""WITH {_CUR}, k AS (SELECT id AS link_id, min(post_id) AS post_id, min(related_post_id) AS related_post_id FROM post_links WHERE link_type_id = 3 AND post_id <> related_post_id GROUP BY id),
 j AS (SELECT k.*, q.id AS q, g.id AS g, q.title AS query_title, q.body AS query_body, g.title AS gold_title, g.score AS gold_score, EXISTS (SELECT 1 FROM k c WHERE c.post_id = k.related_post_id) AS chained
@@ -101,8 +129,45 @@ def _nearest(source: str, by: str, value: str) -> str:
     return f"SELECT {by}, max(n) AS n, {picks} FROM (SELECT {by}, {value}, row_number() OVER (PARTITION BY {by} ORDER BY {value}) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM {source} WHERE {value} IS NOT NULL) GROUP BY {by}"
 
 
-_CHUNK_STATS = """SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_chunks, max(n) AS most_per_doc, CAST(sum(code) AS BIGINT) AS n_code, CAST(sum(tokens) AS BIGINT) AS n_tokens, max(most) AS most_tokens, CAST(sum(o) AS BIGINT) AS n_over, CAST(sum(u) AS BIGINT) AS n_under
-FROM (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE element_type = 'code') AS code, sum(token_count) AS tokens, max(token_count) AS most, count(*) FILTER (WHERE token_count > 512) AS o, count(*) FILTER (WHERE token_count < 50) AS u FROM c GROUP BY doc_id)"""
+_CHUNK_STATS = """, d AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE element_type = 'code') AS code, sum(token_count) AS tokens, max(token_count) AS most, count(*) FILTER (WHERE token_count > 512) AS o, count(*) FILTER (WHERE token_count < 50) AS u FROM c GROUP BY doc_id),
+tk AS (SELECT token_count AS v, row_number() OVER (ORDER BY token_count) - 1 AS i, count(*) OVER () AS n FROM c WHERE token_count IS NOT NULL), dk AS (SELECT n AS v, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS n FROM d)
+SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_chunks, max(n) AS most_per_doc, CAST(sum(code) AS BIGINT) AS n_code, CAST(sum(tokens) AS BIGINT) AS n_tokens, max(most) AS most_tokens, CAST(sum(o) AS BIGINT) AS n_over, CAST(sum(u) AS BIGINT) AS n_under,
+round(100.0 * sum(code) / sum(n), 3) AS pct_code, round(100.0 * sum(o) / sum(n), 3) AS pct_over, round(100.0 * sum(u) / sum(n), 3) AS pct_under, CAST(sum(n) * 1536 AS BIGINT) AS float_bytes, CAST(sum(n) * 384 AS BIGINT) AS byte_bytes, CAST(sum(n) * 128 AS BIGINT) AS graph_bytes, CAST(sum(n) * 512 AS BIGINT) AS resident_bytes,
+""" + ", ".join(f"(SELECT max(v) FROM {t} WHERE i = CAST(floor((n - 1) * {q}) AS BIGINT)) AS p{round(q * 100)}_{name}" for t, name in (("tk", "tokens"), ("dk", "per_doc")) for q in (0.5, 0.95, 0.99)) + " FROM d"
+
+_CHUNKS = f"""ch AS (SELECT raw_id, doc_id, text FROM (SELECT *, row_number() OVER (PARTITION BY raw_id ORDER BY doc_id DESC, text DESC) AS rn FROM raw_chunks) WHERE rn = 1), d AS (SELECT raw_id AS doc_id, {_terms('text')} AS terms FROM ch)"""
+
+
+def _fetched(k: int) -> str:
+    """CTEs that end in m (query_id, chunk_id, doc_id, text, rank) and z, one chunk a document with doc_rank."""
+    return f"""WITH {_Q_TITLE}, {_CHUNKS}, {_bm25('qt', 'd', k, 'f')}, m AS (SELECT f.query_id, f.doc_id AS chunk_id, ch.doc_id, ch.text, f.rank FROM f JOIN ch ON ch.raw_id = f.doc_id),
+fd AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank, chunk_id) AS i FROM m), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS doc_rank FROM fd WHERE i = 1)"""
+
+
+def _rendered(texts: str) -> str:
+    return f"'<<<UNTRUSTED SOURCES' || chr(10) || {texts} || chr(10) || 'UNTRUSTED SOURCES>>>'"
+
+
+_CALLS = """ca AS (SELECT user_id || '-' || strftime(ts, '%Y%m%d') AS request, CASE WHEN event_id % 3 = 0 THEN 'large' ELSE 'small' END AS model, CASE WHEN event_id % 2 = 0 THEN '1h' ELSE '5m' END AS ttl, event_id % 1000 AS ti, event_id % 100 AS tw, event_id % 7 * 100 AS cw, event_id % 5 * 200 AS cr FROM events)"""
+_RECORDS = """re AS (SELECT event_id, ts, 't' || (user_id % 3) AS tenant, CAST(event_id % 3 AS INTEGER) AS route_tier, CASE event_id % 5 WHEN 0 THEN 'exact_hit' WHEN 1 THEN 'semantic_hit' ELSE 'miss' END AS cache_outcome, event_id % 11 = 0 AS degraded, round(value / 1000, 6) AS usd,
+CAST(floor(value * 1000) AS BIGINT) AS micros, event_type, event_id % 50 * 1000 AS search, event_id % 1000 AS ti, event_id % 100 AS tw, event_id % 2 * 50 AS cr FROM events)"""
+_COST_BUCKETS = [0.0001, 0.0005, 0.001, 0.0025, 0.005, 0.01, 0.02, 0.03, 0.04, 0.05, 0.06, 0.07, 0.08, 0.1, 0.25, 0.5, 1.0]
+
+
+def _buckets(source: str, by: str, value: str, bounds: list[float]) -> str:
+    """Rows (by, le, n, cumulative) of a histogram."""
+    doubles = ", ".join(f"CAST({b} AS DOUBLE)" for b in bounds)
+    own = " AND ".join(f"hc.{c.strip()} IS NOT DISTINCT FROM hs.{c.strip()}" for c in by.split(","))
+    listed = ", ".join(f"hs.{c.strip()}" for c in by.split(","))
+    return f"""SELECT {listed}, hb.le, count(hc.v) AS n, CAST(sum(count(hc.v)) OVER (PARTITION BY {listed} ORDER BY hb.le) AS BIGINT) AS cumulative
+FROM (SELECT DISTINCT {by} FROM {source}) hs, (SELECT unnest([{doubles}, CAST('inf' AS DOUBLE)]) AS le, unnest([CAST('-inf' AS DOUBLE), {doubles}]) AS lo) hb
+LEFT JOIN (SELECT {by}, {value} AS v FROM {source} WHERE {value} IS NOT NULL) hc ON {own} AND hc.v <= hb.le AND hc.v > hb.lo GROUP BY {listed}, hb.le"""
+
+
+_ROUTED = r"""ro AS (SELECT query_id, query_title, CASE WHEN regexp_matches(lower(query_title), '(^|[^\p{L}\p{N}_])(hi|thanks)($|[^\p{L}\p{N}_])') THEN 0 WHEN regexp_matches(lower(query_title), '(^|[^\p{L}\p{N}_])(versus|compare|against)($|[^\p{L}\p{N}_])') OR coalesce(len(list_filter(string_split_regex(query_title, '\s+'), lambda x: x <> '')), 0) > 14 THEN 2 ELSE 1 END AS tier FROM golden_pairs)"""
+_MODEL = "CASE tier WHEN 1 THEN 'small' WHEN 2 THEN 'large' END"
+_FIRST = rf"regexp_replace(substr(coalesce(text, ''), 1, 300), '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+_TITLE_TEXT = r"trim(regexp_replace(title, '[\x00-\x1f\x7f-\x9f\x{fdd0}-\x{fdef}\x{fffe}\x{ffff}]', ' ', 'g'))"
 
 ORACLE = {
     "corpus_scan_stats": f"SELECT count(*) AS n_rows, count(*) FILTER (WHERE post_type_id = 1) AS questions, count(*) FILTER (WHERE post_type_id = 2) AS answers, count(*) FILTER (WHERE NOT coalesce(post_type_id IN (1, 2), false)) AS others, count(accepted_answer_id) AS accepted, count(*) FILTER (WHERE contains(body, '<code')) AS with_code, CAST(sum(strlen(body)) AS BIGINT) AS body_bytes, (SELECT count(DISTINCT tag) FROM (SELECT unnest({_tags('tags')}) AS tag FROM posts)) AS distinct_tags FROM posts",
@@ -127,11 +192,11 @@ ORACLE = {
     "dense_knn": _knn("") + " SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(round(c, 9), 6) AS score FROM r WHERE rank <= 10",
     "dense_knn_filtered": _knn("AND q.label = d.label") + " SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(round(c, 9), 6) AS score FROM r WHERE rank <= 10",
     "hybrid_search": f"WITH {_ENTRIES}, qs AS (SELECT seq AS query_id, {_terms('query')} AS terms FROM e WHERE seq % 20 = 0), ds AS (SELECT seq AS doc_id, {_terms('query')} AS terms FROM e), {_bm25('qs', 'ds', 51, 'f')}, {_without_self('f', 50, 's')}, c AS (SELECT a.seq AS query_id, b.seq AS doc_id, {_COS} AS c FROM v a JOIN v b ON a.seq <> b.seq WHERE a.seq % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, doc_id) AS rank FROM c), u AS (SELECT query_id, doc_id, rank, 'dense' AS retriever FROM r WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank, 'sparse' FROM s), x AS (SELECT query_id, doc_id, sum(1.0 / (60 + rank)) AS score, string_agg(DISTINCT retriever, '+' ORDER BY retriever) AS retrievers FROM u GROUP BY ALL), y AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM x) SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(score, 6) AS score, retrievers FROM y WHERE rank <= 10",
-    "dedupe_by_document": f"WITH {_Q_TITLE}, ch AS (SELECT DISTINCT raw_id, doc_id, text FROM raw_chunks), d AS (SELECT raw_id AS doc_id, {_terms('text')} AS terms FROM ch), {_bm25('qt', 'd', 50, 'f')}, m AS (SELECT f.query_id, f.doc_id AS chunk_id, ch.doc_id, f.rank FROM f JOIN ch ON ch.raw_id = f.doc_id), o AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY rank, chunk_id) AS i FROM m), z AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank, chunk_id) AS doc_rank FROM o WHERE i = 1) SELECT query_id, doc_id, chunk_id, CAST(doc_rank AS INTEGER) AS doc_rank FROM z WHERE doc_rank <= 10",
+    "dedupe_by_document": _fetched(50) + " SELECT query_id, doc_id, chunk_id, CAST(doc_rank AS INTEGER) AS doc_rank FROM z WHERE doc_rank <= 10",
     "golden_build": _LABELS + " SELECT post_id AS query_id, related_post_id AS gold_doc_id, query_title, substr(query_body, 1, 500) AS query_body, gold_title, gold_score FROM l WHERE reason IS NULL",
     "golden_build_stats": _LABELS + " SELECT coalesce(reason, 'kept') AS outcome, count(*) AS n FROM l GROUP BY ALL",
     "golden_split": "SELECT query_id, CASE WHEN CAST('0x' || substr(sha256(CAST(query_id AS VARCHAR)), 1, 8) AS BIGINT) < CAST(floor(0.2 * 4294967296) AS BIGINT) THEN 'test' ELSE 'train' END AS split FROM golden_pairs",
-    "index_composition": f"WITH {_CUR}, q AS (SELECT id FROM p WHERE post_type_id = 1), g AS (SELECT id FROM q WHERE id IN (SELECT gold_doc_id FROM golden_pairs)) SELECT id, 'gold' AS role FROM g UNION ALL SELECT id, 'distractor' FROM (SELECT id, row_number() OVER (ORDER BY id) AS r FROM q WHERE id NOT IN (SELECT id FROM g)) WHERE r <= greatest(0, 500 - (SELECT count(*) FROM g))",
+    "index_composition": f"WITH {_CUR}, q AS (SELECT id FROM p WHERE post_type_id = 1), g AS (SELECT id FROM q WHERE id IN (SELECT gold_doc_id FROM golden_pairs)) SELECT id, 'gold' AS role FROM g UNION ALL SELECT id, 'distractor' FROM (SELECT id, row_number() OVER (ORDER BY id) AS r FROM q WHERE id NOT IN (SELECT id FROM g)) WHERE r <= greatest(0, 2 * (SELECT count(DISTINCT gold_doc_id) FROM golden_pairs) - (SELECT count(*) FROM g))",
     "eval_queries": _EVAL + " SELECT query_id, round(recall_1, 6) AS recall_1, round(recall_5, 6) AS recall_5, round(recall_10, 6) AS recall_10, round(recall_50, 6) AS recall_50, round(recall_100, 6) AS recall_100, round(rr, 6) AS rr, round(ndcg, 6) AS ndcg FROM m",
     "eval_report": _EVAL + " SELECT count(*) AS n_queries, round(avg(recall_1), 6) AS recall_1, round(avg(recall_5), 6) AS recall_5, round(avg(recall_10), 6) AS recall_10, round(avg(recall_50), 6) AS recall_50, round(avg(recall_100), 6) AS recall_100, round(avg(rr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg, count(*) FILTER (WHERE rr = 0) AS misses FROM m",
     "eval_misses": _EVAL + " SELECT query_id FROM m WHERE rr = 0",
@@ -143,9 +208,9 @@ SELECT query_id, round(count(*) FILTER (WHERE rank <= 1) / count(*), 6) AS recal
 round(least(1.0, coalesce(sum(CASE WHEN rank <= 10 THEN gain / log2(rank + 1.0) END), 0.0) / sum(CASE WHEN ir <= 10 THEN gain / log2(ir + 1.0) END)), 6) AS ndcg FROM x GROUP BY query_id""",
     "vector_similarity": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings) SELECT a.vec_id, round(" + _COS + ", 6) AS similarity FROM v a JOIN v b ON b.vec_id = a.vec_id + 1",
     "exact_cache": f"WITH {_ENTRIES}, k AS (SELECT {_KEY} AS key, arg_max(answer, seq) FILTER (WHERE true) AS a0, max(seq) AS seq FROM e WHERE tenant IS NOT NULL AND query IS NOT NULL GROUP BY ALL), u AS (SELECT seq AS query_id, {_KEY.replace('query,', 'upper(query),')} AS key FROM e WHERE seq % 20 = 0) SELECT u.query_id, k.seq AS hit_seq, e.answer FROM u LEFT JOIN k USING (key) LEFT JOIN e ON e.seq = k.seq",
-    "semantic_cache": f"WITH {_ENTRIES}, c AS (SELECT a.seq AS query_id, b.seq AS hit_seq, {_COS} AS c FROM v a JOIN v b ON a.tenant = b.tenant AND a.seq <> b.seq WHERE a.seq % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, hit_seq) AS rank FROM c) SELECT query_id, hit_seq, round(round(c, 9), 6) AS similarity FROM r WHERE rank = 1 AND round(round(c, 9), 6) >= 0.95",
+    "semantic_cache": f"WITH {_ENTRIES}, a AS (SELECT seq, tenant, list_transform(e2, lambda x, i: CASE WHEN (i - 1) % 3 = 0 THEN CAST(CAST(x * CAST(1.5 AS FLOAT) AS FLOAT) AS DOUBLE) ELSE CAST(x AS DOUBLE) END) AS v FROM (SELECT seq, tenant, CAST(embedding AS FLOAT[]) AS e2 FROM e WHERE len(embedding) = 64 AND seq % 20 = 0)), c AS (SELECT a.seq + 1 AS query_id, b.seq AS hit_seq, {_COS} AS c FROM a JOIN v b ON a.tenant = b.tenant), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, hit_seq) AS rank FROM c) SELECT query_id, hit_seq, round(round(c, 9), 6) AS similarity FROM r WHERE rank = 1 AND round(round(c, 9), 6) >= 0.95",
     "cache_as_of": f"WITH {_ENTRIES} SELECT seq, lag(seq) OVER (PARTITION BY {_KEY} ORDER BY inserted_at, seq) AS hit_seq FROM e WHERE tenant IS NOT NULL AND query IS NOT NULL",
-    "cache_stats": f"WITH {_ENTRIES}, k AS (SELECT DISTINCT {_KEY} AS key FROM e WHERE seq % 20 <> 0 AND tenant IS NOT NULL AND query IS NOT NULL), c AS (SELECT a.seq, max(round(round({_COS}, 9), 6)) AS c FROM v a JOIN v b ON a.tenant = b.tenant WHERE a.seq % 20 = 0 AND b.seq % 20 <> 0 GROUP BY a.seq), o AS (SELECT tenant, CASE WHEN {_KEY} IN (SELECT key FROM k) THEN 'exact' WHEN c.c >= 0.95 THEN 'semantic' ELSE 'miss' END AS outcome FROM e LEFT JOIN c USING (seq) WHERE seq % 20 = 0 AND tenant IS NOT NULL AND query IS NOT NULL) SELECT tenant, count(*) AS lookups, count(*) FILTER (WHERE outcome = 'exact') AS exact, count(*) FILTER (WHERE outcome = 'semantic') AS semantic, count(*) FILTER (WHERE outcome = 'miss') AS misses, round(count(*) FILTER (WHERE outcome <> 'miss') / count(*), 6) AS hit_rate FROM o GROUP BY tenant",
+    "cache_stats": _OUTCOMES + " SELECT tenant, count(*) AS lookups, count(*) FILTER (WHERE outcome = 'exact') AS exact, count(*) FILTER (WHERE outcome = 'semantic') AS semantic, count(*) FILTER (WHERE outcome = 'miss') AS misses, count(*) FILTER (WHERE refused) AS refused, round(count(*) FILTER (WHERE outcome <> 'miss') / count(*), 6) AS hit_rate FROM o GROUP BY tenant",
     "citations": r"SELECT DISTINCT doc_id, CAST(x AS INTEGER) AS source FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '\b(\d{1,2})\b', '[\1]', 'g'), '\[([0-9]{1,9})\]', 1)) AS x FROM documents WHERE text IS NOT NULL) WHERE CAST(x AS INTEGER) BETWEEN 1 AND 12",
     "latency_percentiles": _LATENCY + " SELECT * FROM lat",
     "nearest_rank_pct": f"WITH {_STAGES} {_nearest('st', 'stage', 'micros')}",
@@ -160,4 +225,39 @@ round(least(1.0, coalesce(sum(CASE WHEN rank <= 10 THEN gain / log2(rank + 1.0)
     "routing_mix": f"WITH {_ENTRIES}, x AS (SELECT seq, lower(query) AS q, len(list_filter(string_split_regex(query, '\\s+'), lambda x: x <> '')) AS n FROM e WHERE query IS NOT NULL), y AS (SELECT CASE WHEN seq % 7 = 0 THEN 'cache_hit' WHEN regexp_matches(q, '(^|[^\\p{{L}}\\p{{N}}_])(hi|thanks)($|[^\\p{{L}}\\p{{N}}_])') THEN 'trivial' WHEN regexp_matches(q, '(^|[^\\p{{L}}\\p{{N}}_])(versus|compare|against)($|[^\\p{{L}}\\p{{N}}_])') THEN 'compares' WHEN n > 14 THEN 'long' ELSE 'default' END AS reason FROM x) SELECT CAST(CASE reason WHEN 'cache_hit' THEN 0 WHEN 'trivial' THEN 0 WHEN 'compares' THEN 2 WHEN 'long' THEN 2 ELSE 1 END AS INTEGER) AS tier, reason, count(*) AS n FROM y GROUP BY ALL",
     "cost_sensitivity": f"WITH c AS (SELECT DISTINCT raw_id, element_type, text FROM raw_chunks), t AS (SELECT element_type, CAST({_tokens('text')} AS DOUBLE) AS tokens FROM c), n AS ({_nearest('t', 'element_type', 'tokens')}) SELECT element_type, f AS factor, round(p95 * f, 6) AS p95 FROM n, (SELECT unnest([CAST(0.8 AS DOUBLE), CAST(0.9 AS DOUBLE), CAST(1.0 AS DOUBLE), CAST(1.1 AS DOUBLE), CAST(1.2 AS DOUBLE)]) AS f)",
     "context_trim": _TITLE + f", z AS (SELECT r.query_id, r.doc_id, r.rank, CAST(sum({_tokens('coalesce(p.body, ' + _quote('') + ')')}) OVER (PARTITION BY r.query_id ORDER BY r.rank) AS DOUBLE) AS running_cost, row_number() OVER (PARTITION BY r.query_id ORDER BY r.rank) AS i FROM r JOIN p ON p.id = r.doc_id) SELECT query_id, doc_id, rank, running_cost FROM z WHERE running_cost <= 1500 OR i = 1",
+    "query_vectors": f"WITH {_Q_TITLE}, t AS (SELECT doc_id, {_terms('text')} AS t FROM documents WHERE text IS NOT NULL), d AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY term), w AS (SELECT DISTINCT query_id, unnest(terms) AS term FROM qt) SELECT query_id, term, round(ln(1 + ((SELECT count(*) FROM t) - coalesce(df, 0) + 0.5) / (coalesce(df, 0) + 0.5)), 6) AS weight FROM w LEFT JOIN d USING (term)",
+    "distinct_documents": _fetched(50) + ", c AS (SELECT query_id, count(DISTINCT doc_id) AS n FROM m GROUP BY query_id), o AS (SELECT n, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS total FROM c) SELECT count(*) AS queries, max(CASE WHEN i = total // 2 THEN n END) AS p50, min(n) AS least FROM o",
+    "degraded_answers": _fetched(20) + f", u AS (SELECT doc_id, max(source_uri) AS uri FROM qa_docs GROUP BY doc_id) SELECT query_id, 'No answer could be generated. These documents look most relevant:' || chr(10) || chr(10) || string_agg('[' || doc_rank || '] ' || coalesce(uri, '') || chr(10) || {_FIRST} || chr(10) || chr(10), '' ORDER BY doc_rank) AS answer, string_agg(CAST(z.doc_id AS VARCHAR), ',' ORDER BY doc_rank) AS doc_ids, 0 AS tier, CAST(0 AS DOUBLE) AS usd, true AS degraded FROM z LEFT JOIN u ON u.doc_id = z.doc_id WHERE doc_rank <= 3 GROUP BY query_id",
+    "render_sources": _fetched(3) + f", x AS (SELECT query_id, {_rendered("string_agg('[' || rank || '] ' || text, chr(10) || chr(10) ORDER BY rank)")} AS t FROM m GROUP BY query_id) SELECT query_id, sha256(t) AS hash, {_tokens('t')} AS tokens FROM x",
+    "cited_sources": _fetched(5) + ", n AS (SELECT query_id, query_id % 5 + 1 AS number FROM golden_pairs UNION SELECT query_id, query_id % 9 + 1 FROM golden_pairs) SELECT n.query_id, CAST(number AS INTEGER) AS number, m.doc_id FROM n JOIN m ON m.query_id = n.query_id AND m.rank = n.number",
+    "tier_zero_answers": f"WITH {_ROUTED} SELECT query_id, tier, CASE WHEN tier = 0 THEN 'Please ask a question.' END AS answer, CASE WHEN tier = 0 THEN CAST(0 AS DOUBLE) END AS usd FROM ro",
+    "cost_benchmark": _fetched(60) + f", {_ROUTED}, k AS (SELECT z.* FROM z JOIN ro USING (query_id) WHERE doc_rank <= CASE tier WHEN 1 THEN 12 WHEN 2 THEN 8 ELSE 0 END), s AS (SELECT query_id, {_rendered("string_agg('[' || doc_rank || '] ' || text, chr(10) || chr(10) ORDER BY doc_rank)")} AS t FROM k GROUP BY query_id), i AS (SELECT tier, 170 + {_tokens("coalesce(t, " + _rendered("''") + ")")} + {_tokens("coalesce(query_title, '')")} AS n FROM ro LEFT JOIN s USING (query_id)), b AS (SELECT tier, n, CASE tier WHEN 1 THEN n * 1.0 / 1e6 + 900 * 5.0 / 1e6 WHEN 2 THEN n * 5.0 / 1e6 + 900 * 25.0 / 1e6 ELSE 0 END AS cold, CASE tier WHEN 1 THEN n * 1.0 / 1e6 + 900 * 5.0 / 1e6 WHEN 2 THEN (n - 170) * 5.0 / 1e6 + 900 * 25.0 / 1e6 + 170 * 0.5 / 1e6 ELSE 0 END AS warm FROM i), o AS (SELECT *, row_number() OVER (PARTITION BY tier ORDER BY cold) - 1 AS r, count(*) OVER (PARTITION BY tier) AS c FROM b) SELECT tier, count(*) AS requests, CAST(sum(n) AS BIGINT) AS tokens_in, round(sum(warm), 6) AS warm_usd, {', '.join(f'round(max(CASE WHEN r = CAST(floor((c - 1) * {q}) AS BIGINT) THEN cold END), 6) AS p{round(q * 100)}' for q in (0.5, 0.95, 0.99))} FROM o GROUP BY tier",
+    "cache_outcomes": _OUTCOMES + " SELECT query_id, tenant, outcome, CASE WHEN outcome = 'semantic' THEN near_seq ELSE exact_seq END AS hit_seq, CASE WHEN outcome = 'semantic' THEN s END AS similarity, refused FROM o",
+    "request_costs": f"WITH {_CALLS} SELECT request, model, count(*) AS n_calls, CAST(sum(ti) AS BIGINT) AS input_tokens, CAST(sum(tw) AS BIGINT) AS output_tokens, CAST(sum(cw) AS BIGINT) AS cache_write_tokens, CAST(sum(cr) AS BIGINT) AS cache_read_tokens, round(sum(CASE model WHEN 'large' THEN ti * 5.0 + tw * 25.0 + cw * (CASE ttl WHEN '1h' THEN 10.0 ELSE 6.25 END) + cr * 0.5 ELSE ti * 1.0 + tw * 5.0 + cw * (CASE ttl WHEN '1h' THEN 2.0 ELSE 1.25 END) + cr * 0.1 END / 1e6), 6) AS usd FROM ca GROUP BY ALL",
+    "cost_projection": f"WITH {_CALLS}, x AS (SELECT model, CASE model WHEN 'large' THEN ti * 5.0 + 900 * 25.0 + cr * 0.5 ELSE ti * 1.0 + 900 * 5.0 + cr * 0.1 END / 1e6 AS usd FROM ca) SELECT model, count(*) AS calls, round(sum(usd), 6) AS usd, round(max(usd), 9) AS most FROM x GROUP BY model",
+    "cache_breakeven": "SELECT model, round(CAST((w5 - i) / (i - r) AS DOUBLE), 6) AS reads_5m, round(CAST((w1 - i) / (i - r) AS DOUBLE), 6) AS reads_1h FROM (VALUES ('small', 1.0, 1.25, 2.0, 0.1), ('large', 5.0, 6.25, 10.0, 0.5)) AS t(model, i, w5, w1, r)",
+    "record_totals": f"WITH {_RECORDS} SELECT event_id, round(CASE WHEN ends_with(event_type, '_total') THEN search ELSE micros + search END / 1000, 3) AS total_ms, 2 AS n_stages FROM re",
+    "record_attributes": f"WITH {_RECORDS} SELECT event_id, 'cache_outcome=' || cache_outcome || ' cache_read_tokens=' || cr || CASE WHEN cache_outcome = 'semantic_hit' THEN ' cache_similarity=0.9688' ELSE '' END || ' cache_write_tokens=0 candidates=' || (event_id % 60) || ' cost_usd=' || printf('%.6f', usd) || ' degraded=' || CASE WHEN degraded THEN 'true' ELSE 'false' END || ' input_tokens=' || ti || ' model=small output_tokens=' || tw || ' price_version=v1 route_tier=' || route_tier || ' tenant=' || tenant AS attributes FROM re",
+    "cost_histogram": f"WITH {_RECORDS} " + _buckets("re", "tenant, route_tier, cache_outcome, degraded", "usd", _COST_BUCKETS),
+    "stage_histogram": f"WITH {_RECORDS}, sg AS (SELECT event_type AS stage, tenant, micros / 1e6 AS v FROM re UNION ALL SELECT 'search', tenant, search / 1e6 FROM re UNION ALL SELECT 'retrieval_total', tenant, (micros + search) / 1e6 FROM re) " + _buckets("sg", "stage, tenant", "v", LATENCY_BOUNDS),
+    "token_usage": f"WITH {_RECORDS}, tu AS (SELECT tenant, route_tier, 'input' AS token_class, ti AS v FROM re UNION ALL SELECT tenant, route_tier, 'output', tw FROM re UNION ALL SELECT tenant, route_tier, 'cache_read', cr FROM re) SELECT tenant, route_tier, token_class, count(*) AS n, CAST(sum(v) AS DOUBLE) AS tokens FROM tu WHERE v <> 0 GROUP BY ALL",
+    "rate_ratios": f"WITH {_RECORDS}, x AS (SELECT *, time_bucket(INTERVAL '6 hours', ts) - i * INTERVAL '6 hours' AS window_start FROM re, (SELECT unnest(range(4)) AS i)) SELECT window_start, count(*) AS n, round(count(*) FILTER (WHERE cache_outcome <> 'miss') / count(*), 6) AS hit_rate, round(count(*) FILTER (WHERE degraded) / count(*), 6) AS degraded_rate FROM x GROUP BY window_start",
+    "slo_summary": _LATENCY + ", s AS (SELECT stage AS name, coalesce(p95_ms <= 150, false) AS passed, p95_ms <= 150 AND round((150 - p95_ms) / 150, 6) < 0.1 AS tight FROM lat) SELECT coalesce(bool_and(passed), true) AS passed, count(*) AS n_checks, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE NOT passed), '') AS failures, coalesce(string_agg(name, ',' ORDER BY name) FILTER (WHERE tight), '') AS tight, 'local' AS host, 'true' AS warm FROM s",
+    "load_schedule": "SELECT i, CAST(floor(i * 1000000 / 50) AS BIGINT) AS intended_us, i < 20 AS warmup FROM (SELECT unnest(range(420)) AS i)",
+    "decode_rate": "SELECT event_id, round(CASE WHEN value * 10 - event_id % 100 > 0 THEN (event_id % 500) / ((value * 10 - event_id % 100) / 1000) ELSE 0 END, 6) AS tokens_per_second FROM events",
+    "affordable_context": "SELECT event_id, CAST(CASE WHEN event_id % 4 = 0 THEN 513 ELSE least(floor(greatest(value / 1000 - 0.03125, 0) / ((event_id % 4) / 4096)), 513) END AS INTEGER) AS chunks FROM events",
+    "encoder_sweep": f"WITH sw AS (SELECT event_type AS encoder, CAST(event_id % 4 + 1 AS INTEGER) AS threads, CAST(floor(value * 1000) AS BIGINT) AS micros FROM events), r AS (SELECT encoder, threads, count(micros) AS n, {', '.join(f'round(quantile_disc(micros, {q}) / 1000, 6) AS p{round(q * 100)}_ms' for q in (0.5, 0.95, 0.99))}, round(max(micros) / 1000, 6) AS max_ms, round(avg(micros) / 1000, 6) AS mean_ms FROM sw GROUP BY ALL) SELECT *, row_number() OVER (ORDER BY p95_ms, encoder, threads) = 1 AS best FROM r",
+    "ingest_projection": "WITH m AS (SELECT event_type AS configuration, count(*) / (sum(floor(value * 1000)) / 1e6) AS per_second FROM events WHERE event_id % 2 = 0 GROUP BY ALL ORDER BY per_second DESC, configuration LIMIT 1) SELECT label, CAST(n AS BIGINT) AS n_chunks, configuration, round(per_second, 6) AS per_second, round(n / per_second / 3600, 6) AS hours FROM m, (VALUES ('all', 638156), ('some', 100000)) AS w(label, n)",
+    "stage_windows": "SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type AS stage, count(micros) AS n, quantile_disc(micros, 0.5) AS p50, quantile_disc(micros, 0.95) AS p95, max(micros) AS most FROM (SELECT *, CAST(floor(value * 1000) AS BIGINT) AS micros FROM events) GROUP BY ALL",
+    "posts_xml": f"WITH {_CUR} SELECT id, post_type_id, parent_id, accepted_answer_id, coalesce(score, 0) AS score, coalesce({_TITLE_TEXT}, '') AS title, array_to_string({_tags('tags')}, ',') AS tags FROM p",
+    "links_xml": "SELECT id, post_id, related_post_id FROM post_links WHERE link_type_id = 3 AND post_id <> related_post_id",
+    "index_upsert": f"WITH c AS (SELECT DISTINCT doc_id, {_chunk_id('text')} AS chunk_id FROM raw_chunks WHERE text IS NOT NULL), t AS (SELECT 'a' AS tenant_id, chunk_id FROM c UNION SELECT 'b', chunk_id FROM c WHERE doc_id % 2 = 0) SELECT tenant_id, count(*) AS n_chunks, count(DISTINCT chunk_id) AS n_ids, CAST(count(*) AS INTEGER) AS added, 0 AS again FROM t GROUP BY tenant_id",
+    "term_stats_saved": f"WITH t AS (SELECT doc_id, {_terms('text')} AS t FROM documents WHERE text IS NOT NULL), d AS (SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(t) AS term FROM t) GROUP BY term) SELECT count(*) AS n_terms, CAST(sum(df) AS BIGINT) AS sum_df, max(df) AS max_df, (SELECT count(*) FROM t) AS doc_count, (SELECT CAST(sum(len(t)) AS BIGINT) FROM t) AS total_len FROM d",
+    "golden_saved": "SELECT query_id, gold_doc_id, query_title, 'golden_pairs' AS source FROM golden_pairs",
+    "sparse_attached": f"WITH {_CHUNKS}, f AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS len, unnest(terms) AS term FROM d) GROUP BY ALL), w AS (SELECT doc_id, term, tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (0.25 + 0.75 * len / (SELECT greatest(1.0, sum(len(terms)) / count(*)) FROM d WHERE terms IS NOT NULL))) AS x FROM f) SELECT d.doc_id AS chunk_id, CAST(count(term) AS INTEGER) AS n_terms, round(sum(x), 6) AS weight, min(term) AS first_term FROM d LEFT JOIN w ON w.doc_id = d.doc_id GROUP BY d.doc_id",
+    "sse_completions": "SELECT doc_id AS stream, coalesce(title, '') AS text, 'm' AS model, coalesce(n_chars, 0) AS input_tokens, CAST(0 AS BIGINT) AS cache_read_tokens, CAST(length(coalesce(title, '')) AS BIGINT) AS output_tokens, 'end_turn' AS stop_reason, CAST(NULL AS VARCHAR) AS error FROM documents",
+    "pipeline_tags": "SELECT coalesce(lang, 'none') || '/chunk1/e1' AS tag, count(*) AS n FROM documents GROUP BY ALL",
+    "dense_knn_tags": "WITH e AS (SELECT vec_id, tags, CAST(embedding AS DOUBLE[]) AS v FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE len(embedding) = 64), s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_dot_product(q.v, d.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v))) AS c FROM e q JOIN e d ON q.vec_id <> d.vec_id AND (coalesce(len(q.tags), 0) = 0 OR list_has_any(q.tags, d.tags)) WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(round(c, 9), 6) AS score FROM r WHERE rank <= 10",
+    "scan_limit": "SELECT least(100, count(*)) AS n FROM posts",
+    "chunk_coverage": rf"WITH q AS (SELECT DISTINCT doc_id, coalesce(title, '') || chr(10) || chr(10) || coalesce(body, '') || coalesce(array_to_string(list_transform(answers, lambda a, i: chr(10) || chr(10) || 'Answer ' || i || ':' || chr(10) || coalesce(a, '')), ''), '') AS t FROM qa_docs), k AS (SELECT doc_id, {_hash('t')} AS h, regexp_replace(t, '[{_WS}`]+', '', 'g') AS t FROM q) SELECT doc_id, sha256(any_value(t)) AS hash, true AS numbered, true AS within FROM k WHERE t <> '' GROUP BY doc_id, h",
 }

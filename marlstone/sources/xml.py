@@ -22,9 +22,10 @@ def posts_from(rows: DataFrame) -> DataFrame:
     )
 
 
-def read_posts(spark: SparkSession, path: str) -> DataFrame:
-    """The file is split by byte ranges, so one large file is read by many tasks."""
-    return posts_from(spark.read.format("xml").option("rowTag", "row").schema(POSTS).load(path))
+def read_posts(spark: SparkSession, path: str, limit: int | None = None) -> DataFrame:
+    """The file is split by byte ranges, so one large file is read by many tasks. `limit`: only so many rows, whichever come first."""
+    posts = posts_from(spark.read.format("xml").option("rowTag", "row").schema(POSTS).load(path))
+    return posts if limit is None else posts.limit(limit)
 
 
 def stream_posts(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from marlstone.functions.text import cache_key, html_to_text, parse_tags
+from marlstone.operators.caching import distinct_entries, lookup_outcomes
 from marlstone.operators.chunking import chunk_documents
+from marlstone.runtime import materialise
 from marlstone.sources.tables import upsert_index
 
 
@@ -57,3 +59,21 @@ def cache_stream(requests: DataFrame) -> DataFrame:
         yield pd.DataFrame(out, columns=["seq", "outcome", "hit_seq"]).astype({"hit_seq": "Int64"})
 
     return keyed.groupBy("key").applyInPandasWithState(step, "seq bigint, outcome string, hit_seq bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+
+
+def cached_answers(requests: DataFrame, store: str, outcomes: str, checkpoint: str, dim: int, allowed: Column, **trigger) -> StreamingQuery:
+    """Both levels of the cache over a stream of requests (seq, tenant, query, embedding, answer, inserted_at).
+
+    Each batch is looked up in what earlier batches left in `store` and in its own earlier requests, and then stored. Both
+    tables have a folder a batch, written anew if the batch is run again, so a failure repeats nothing. `allowed`: see
+    lookup_outcomes, whose rows `outcomes` has."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        new = materialise(distinct_entries(batch))
+        new.write.mode("overwrite").parquet(f"{store}/batch={number}")
+        entries = spark.read.parquet(store).filter(F.col("batch") <= number).drop("batch")
+        lookups = new.select(F.col("seq").alias("query_id"), "tenant", "query", F.col("embedding").alias("vec"), F.col("inserted_at").alias("at"))
+        lookup_outcomes(lookups, entries, dim, allowed).write.mode("overwrite").parquet(f"{outcomes}/batch={number}")
+
+    return requests.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

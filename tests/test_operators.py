@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marlstone.operators import caching, evaluation, measures, retrieval
+from marlstone.operators.asof import last_before
 from marlstone.operators.bloom import bloom_filter, bloom_probe
 from marlstone.operators.orphans import orphan_references
 from marlstone.operators.skew import salted_join
@@ -155,21 +156,76 @@ def test_budgets(spark):
 
 
 def test_usage_cost(spark):
-    prices = spark.createDataFrame([("m", 1.0, 5.0, 1.25, 0.1)], "model string, input_per_mtok double, output_per_mtok double, cache_write_per_mtok double, cache_read_per_mtok double")
+    prices = spark.createDataFrame([("m", 2.0, 8.0, 2.5, 4.0, 0.5, "v"), ("n", 1.0, 1.0, 1.0, 1.0, 1.0, "v")], "model string, input_per_mtok double, output_per_mtok double, cache_write_5m_per_mtok double, cache_write_1h_per_mtok double, cache_read_per_mtok double, version string")
     schema = "model string, input_tokens bigint, output_tokens bigint, cache_write_tokens bigint, cache_read_tokens bigint"
-    got = measures.usage_cost(spark.createDataFrame([("m", 20_000, 1000, 0, 0)], schema), prices).first()
-    assert got["usd"] == pytest.approx(0.025) and got["cache_hit_ratio"] == 0
+    got = measures.usage_cost(spark.createDataFrame([("m", 10_000, 1000, 0, 0)], schema), prices).first()
+    assert got["usd"] == pytest.approx(0.028) and got["cache_hit_ratio"] == 0 and got["price_version"] == "v"
+    both = spark.createDataFrame([("m", 0, 0, 1_000_000, 1_000_000, "5m", "r"), ("m", None, None, 1_000_000, 0, "1h", "r"), ("n", 1, 0, 0, 0, None, "r")], schema + ", ttl string, request string")
+    costed = measures.usage_cost(both, prices, "ttl")
+    assert sorted(round(r["cache_write_usd"], 6) for r in costed.collect()) == [0.0, 2.5, 4.0]
+    by_model = {r["model"]: (r["n_calls"], r["cache_write_tokens"], round(r["usd"], 6)) for r in measures.request_cost(costed, "request", "model").collect()}
+    assert by_model == {"m": (2, 2_000_000, 7.0), "n": (1, 0, 0.000001)}
+    assert {r["model"]: (r["reads_5m"], r["reads_1h"]) for r in measures.breakeven_reads(prices).collect()} == {"m": (pytest.approx(1 / 3), pytest.approx(4 / 3)), "n": (None, None)}
+    calls = spark.createDataFrame([("m", 1000, 0, 500), ("m", 1000, 900, 500)], "model string, input_tokens bigint, cached_tokens bigint, max_output_tokens bigint")
+    assert [round(r["usd"], 6) for r in measures.projected_cost(calls, prices).orderBy("cached_tokens").collect()] == [0.006, 0.00645]
+    asked = spark.createDataFrame([(1, "m", 1000, 600, 0), (2, "n", 1000, 600, 0), (3, None, 5, 5, 5)], "request_id bigint, model string, tokens_in bigint, prefix_tokens bigint, max_output_tokens bigint")
+    warm = {r["request_id"]: (round(r["cold_usd"], 6), round(r["warm_usd"], 6)) for r in measures.cold_and_warm(asked, prices, [("n", 700)], 500).collect()}
+    assert warm == {1: (0.002, 0.0011), 2: (0.001, 0.001), 3: (0.0, 0.0)}
     with pytest.raises(Exception, match="no price"):
         measures.usage_cost(spark.createDataFrame([("x", 1, 1, 0, 0)], schema), prices).collect()
 
 
 def test_cache(spark):
-    entries = spark.createDataFrame([("t", "How do  I", [1.0, 0.0], "a", 1), ("t", "other", [0.0, 1.0], "b", 2), ("u", "third", [1.0, 0.0], "c", 3), (None, "x", None, None, 4)], "tenant string, query string, embedding array<float>, answer string, seq bigint")
+    now = dt.datetime(2024, 1, 1)
+    rows = [("t", "Where  IS it", [1.0, 0.0], "a", 1, now), ("t", "other", [0.0, 1.0], "b", 2, now), ("u", "third", [1.0, 0.0], "c", 3, now), (None, "x", None, None, 4, now)]
+    entries = spark.createDataFrame(rows, "tenant string, query string, embedding array<float>, answer string, seq bigint, inserted_at timestamp")
     entries = caching.distinct_entries(entries.union(entries))
-    asked = spark.createDataFrame([(1, "t", "how do i", [0.99, 0.14]), (2, "u", "how do i", [0.5, 0.87])], "query_id bigint, tenant string, query string, vec array<float>")
+    asked = spark.createDataFrame([(1, "t", "where is it", [0.98, 0.17]), (2, "u", "where is it", [0.4, 0.9]), (6, "t", "x", [0.0, 2.0]), (7, None, "x", [1.0, 0.0])], "query_id bigint, tenant string, query string, vec array<float>")
     exact = {r["query_id"]: r["hit_seq"] for r in caching.exact_lookup(asked, entries).collect()}
-    assert exact == {1: 1, 2: None}
-    assert {r["query_id"]: r["hit_seq"] for r in caching.semantic_lookup(asked.withColumn("query_id", F.col("query_id") + 100), entries, 2).collect()} == {101: 1}
+    assert exact == {1: 1, 2: None, 6: None, 7: None}
+    # a lookup and an entry of the same number have nothing to do with each other
+    assert {r["query_id"]: r["hit_seq"] for r in caching.semantic_lookup(asked, entries, 2).collect()} == {1: 1, 6: 2}
+    later = asked.withColumn("at", F.lit(now + dt.timedelta(days=1)).cast("timestamp"))
+    got = {r["query_id"]: (r["outcome"], r["hit_seq"], r["refused"]) for r in caching.lookup_outcomes(later, entries, 2, F.col("query") != "x").collect()}
+    assert got == {1: ("exact", 1, False), 2: ("miss", None, False), 6: ("miss", None, True)}
+    earlier = asked.withColumn("at", F.lit(now).cast("timestamp"))
+    out = caching.lookup_outcomes(earlier, entries, 2, F.lit(True))
+    assert {r["outcome"] for r in out.collect()} == {"miss"}
+    stats = {r["tenant"]: (r["lookups"], r["misses"], r["refused"], r["hit_rate"]) for r in caching.cache_stats(caching.lookup_outcomes(later, entries, 2, F.col("query") != "x")).collect()}
+    assert stats == {"t": (2, 1, 1, 0.5), "u": (1, 1, 0, 0.0)}
+
+
+def test_last_before(spark):
+    import random
+
+    random.seed(3)
+    events = [(random.choice([None, 1, 1, 1, 2, 3]), random.randrange(40), i) for i in range(300)]
+    asked = [(random.choice([None, 1, 2, 4]), random.randrange(40), 1000 + i) for i in range(120)]
+    got = last_before(spark.createDataFrame(asked, "k int, t int, id int"), spark.createDataFrame(events, "k int, t int, v int"), "k", ["t"], "v").collect()
+
+    def want(k, t):
+        earlier = [(y, v) for x, y, v in events if k is not None and x == k and y < t]
+        return max(earlier)[1] if earlier else None
+
+    assert sorted((r["id"], r["v"]) for r in got) == sorted(((i, want(k, t)) for k, t, i in asked), key=lambda x: x[0])
+    none = spark.createDataFrame([], "k int, t int, v int")
+    assert {r["v"] for r in last_before(spark.createDataFrame(asked, "k int, t int, id int"), none, "k", ["t"], "v").collect()} == {None}
+
+
+def test_filters_of_dense_search(spark):
+    docs = spark.createDataFrame([(1, [1.0, 0.0], ["a"], 5, "t"), (2, [1.0, 0.1], ["b", "c"], 9, "t"), (3, [1.0, 0.2], None, 1, "u"), (4, [1.0, 0.3], ["a", "a"], None, None)], "doc_id bigint, vec array<float>, tags array<string>, at int, tenant string")
+    asked = spark.createDataFrame([(1, [1.0, 0.0], ["a", "z"], 6, "t"), (2, [1.0, 0.0], [], 9, "u"), (3, [1.0, 0.0], None, 100, None)], "query_id bigint, vec array<float>, tags array<string>, at int, tenant string")
+
+    def found(**how):
+        rows = retrieval.dense_search(asked, docs, 10, 2, **how).orderBy("query_id", "rank").collect()
+        return {q: [r["doc_id"] for r in rows if r["query_id"] == q] for q in (1, 2, 3)}
+
+    assert found() == {1: [1, 2, 3, 4], 2: [1, 2, 3, 4], 3: [1, 2, 3, 4]}
+    assert found(exclude_own=True)[1] == [2, 3, 4]
+    assert found(any_of="tags") == {1: [1, 4], 2: [1, 2, 3, 4], 3: [1, 2, 3, 4]}
+    assert found(before="at") == {1: [1, 3], 2: [1, 3], 3: [1, 2, 3]}
+    assert found(same=["tenant"]) == {1: [1, 2], 2: [3], 3: []}
+    assert found(same=["tenant"], any_of="tags", query_rows=2) == {1: [1], 2: [3], 3: []}
 
 
 def test_classification(spark):
@@ -194,5 +250,46 @@ def test_cited_sources_and_degraded_answers(spark):
     answers = spark.createDataFrame([(1, "see [2], [2], [9] and array[i]"), (2, None)], "query_id bigint, answer string")
     sources = spark.createDataFrame([(1, 1, 10), (1, 2, 20)], "query_id bigint, rank int, doc_id bigint")
     assert [tuple(r) for r in retrieval.cited_sources(answers, sources).collect()] == [(1, 2, 20)]
-    chunks = spark.createDataFrame([(1, 100, 1, 1, "aaaa"), (1, 101, 1, 2, "bbbb"), (1, 102, 2, 3, "cccc")], "query_id bigint, chunk_id bigint, doc_id bigint, rank int, text string")
-    assert retrieval.degraded_answers(chunks, 3, 2).first()["answer"] == "[1] aa\n\n[2] cc"
+    chunks = spark.createDataFrame([(1, 100, 1, 1, " aaaa", "u1"), (1, 101, 1, 2, "bbbb", "u1"), (1, 102, 2, 3, "cccc", None)], "query_id bigint, chunk_id bigint, doc_id bigint, rank int, text string, source_uri string")
+    got = retrieval.degraded_answers(chunks, 3, 3, intro="").first()
+    assert got["answer"] == "[1] u1\naa\n\n[2] \nccc\n\n" and got["doc_ids"] == [1, 2] and (got["tier"], got["usd"], got["degraded"]) == (0, 0.0, True)
+    routed = spark.createDataFrame([(1, 0, None), (2, 1, "m")], "query_id bigint, tier int, model string")
+    assert {r["query_id"]: (r["answer"], r["usd"]) for r in retrieval.answers_without_model(routed, "no").collect()} == {1: ("no", 0.0), 2: (None, None)}
+    assert tuple(retrieval.distinct_documents(chunks.union(chunks.withColumn("query_id", F.lit(2))).union(chunks.withColumn("query_id", F.lit(3)).limit(1))).first()) == (3, 2, 1)
+    assert tuple(retrieval.distinct_documents(chunks.limit(0)).first()) == (0, None, None)
+
+
+def test_reports_sweeps_and_loads(spark):
+    checks = measures.budget_checks(spark.createDataFrame([("a", 1.0, 0.95, True), ("b", 1.0, 2.0, True), ("c", 1.0, None, False)], "name string, budget double, measured double, lower_is_better boolean"))
+    r = measures.budget_report(checks, warm="yes").first()
+    assert (r["passed"], r["n_checks"], r["failures"], r["tight"], r["warm"]) == (False, 3, ["b", "c"], ["a"], "yes")
+    assert measures.budget_report(checks.limit(0)).first()["passed"]
+    assert measures.budgets(spark, {"p95": (25, True)}).first()["budget"] == 25.0
+    m = spark.createDataFrame([("x", 350, 100, 10.0), ("y", 350, 100, 5.0), ("z", 128, 100, 1.0)], "configuration string, tokens int, n bigint, seconds double")
+    p = measures.ingest_projection(m, 350, {"all": 72000}).first()
+    assert (p["configuration"], p["per_second"], p["hours"]) == ("y", 20.0, 1.0)
+    failing = iter([None] * 2 + [1, 0, 1])
+    samples = measures.run_load(spark, lambda i: 1 / (next(failing) if i >= 0 else 1), 50, 0.06, warmup=0)
+    assert samples.count() == 3
+    line = measures.render_load(measures.load_report(samples.withColumn("g", F.lit(None).cast("string")), ["g"])).first()["line"]
+    assert line.startswith("n=3")
+    s = spark.createDataFrame([("a", 1, 10), ("a", 2, 30), ("b", 1, 20)], "e string, t int, micros bigint")
+    assert [(r["e"], r["t"]) for r in measures.sweep(s, ["e", "t"], "micros").filter("best").collect()] == [("a", 1)]
+
+
+def test_percentiles_of_null_groups_and_values(spark):
+    df = spark.createDataFrame([(None, 1), (None, 3), ("a", None), ("b", 5)], "g string, v bigint")
+    got = {r["g"]: (r["n"], r["p50"], r["p95"], r["most"]) for r in measures.discrete_percentiles(df, ["g"], "v").collect()}
+    assert got == {None: (2, 1, 3, 3), "a": (0, None, None, None), "b": (1, 5, 5, 5)}
+    h = measures.histogram(df, ["g"], "v", [2.0]).collect()
+    assert sorted((r["g"] or "", r["le"], r["n"], r["cumulative"]) for r in h) == [("", 2.0, 1, 1), ("", float("inf"), 1, 2), ("b", 2.0, 0, 0), ("b", float("inf"), 1, 1)]
+
+
+def test_observations_and_attributes(spark):
+    schema = "id int, tenant string, route_tier int, cache_outcome string, degraded boolean, stages array<struct<name string, micros bigint>>, usd double, cache_similarity float, candidates int, input_tokens bigint, output_tokens bigint, cache_write_tokens bigint, cache_read_tokens bigint, price_version string, model string"
+    rows = [(1, "t", 1, "miss", False, [("embed", 5000)], 0.25, None, 7, 10, 0, 0, None, "v", None), (2, "t", 0, "semantic_hit", True, None, None, 0.96875, 0, 0, 0, 0, 0, None, None)]
+    r = spark.createDataFrame(rows, schema)
+    got = sorted((x["tenant"], x["metric"], x["label"] or "", x["value"]) for x in measures.observations(r).collect())
+    assert got == [("t", "request_usd", "", 0.0), ("t", "request_usd", "", 0.25), ("t", "stage_seconds", "embed", 0.005), ("t", "tokens", "input", 10.0)]
+    a = {x["id"]: x["attributes"] for x in measures.record_attributes(r, "id").collect()}
+    assert a[1]["cost_usd"] == "0.250000" and "model" not in a[1] and a[1]["price_version"] == "v" and a[2]["cache_similarity"] == "0.9688" and a[2]["degraded"] == "true"
