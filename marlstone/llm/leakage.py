@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,12 +10,15 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marlstone.llm.textvec import chunked, mix, prefix_hash, window_hash, word_hashes
+from marlstone.llm.filters import Filter, build_filter, filter_bits
+from marlstone.llm.textvec import char_prefix, chunked, code_points, mix, prefix_hash, span_hash, window_hash, words
+from marlstone.operators.skew import salted_join
+from marlstone.runtime import materialise
 
 #: Words of a passage, and of a shingle.
 PASSAGE, SHINGLE = 13, 5
-#: Passages of test items that are broadcast at once (28 bytes each); more are searched for in several blocks of items.
-BLOCK_PASSAGES = 1 << 20
+#: The largest filter of the items' signatures: 64 MB, whatever their number; a fuller one lets more through, never less.
+MAX_FILTER_BITS = 1 << 29
 
 
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -36,96 +37,107 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[:n], ahead[width - 1 : width - 1 + n])
 
 
-def _signatures(words: np.ndarray, doc: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of every passage of `size` words that lies in one text: where it begins, its own hash, and the min-hash of its shingles."""
-    prefix = prefix_hash(words)
+class _Words:
+    """The words of a run of texts: hashes and text numbers, and any span of them as a string."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = [t.lower() for t in texts]
+        cps, self.starts = code_points(self.texts)
+        self.begin, self.end, self.doc = words(cps, self.starts)
+        self.hash = span_hash(char_prefix(cps), self.begin, self.end)
+
+    def phrase(self, first: int, last: int) -> str:
+        """Words first to last, of one text, one blank between them."""
+        text, base = self.texts[self.doc[first]], int(self.starts[self.doc[first]])
+        return " ".join([text[b - base : e - base] for b, e in zip(self.begin[first : last + 1].tolist(), self.end[first : last + 1].tolist(), strict=True)])
+
+
+def _passages(w: _Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The passages of `size` words that lie in one text: their first words, own hashes, and signatures.
+
+    The signature of a passage is the least hash of its word shingles, and the size class."""
     k = min(size, SHINGLE)
-    whole = window_hash(prefix, size)
-    least = _sliding_min(mix(window_hash(prefix, k)), size - k + 1)
-    ok = doc[: len(whole)] == doc[size - 1 :] if len(whole) else np.zeros(0, bool)
+    prefix = prefix_hash(w.hash)
+    whole, least = window_hash(prefix, size), _sliding_min(mix(window_hash(prefix, k)), size - k + 1)
+    ok = w.doc[: len(whole)] == w.doc[size - 1 :] if len(whole) else np.zeros(0, bool)
     at = np.flatnonzero(ok)
-    return at, whole[at], least[at]
+    return at, mix(whole[at] ^ np.uint64(size)), mix(least[at] + np.uint64(size))
+
+
+def _rows(ids: np.ndarray, w: _Words, size: int, at: np.ndarray, whole: np.ndarray, signature: np.ndarray) -> pa.RecordBatch:
+    """Each passage of a text once, with its words."""
+    once = np.unique(np.stack([w.doc[at].astype(np.uint64), whole]), axis=1, return_index=True)[1] if len(at) else at
+    columns = [whole[once].view(np.int64), signature[once].view(np.int64), np.full(len(once), size, np.int32), ids[w.doc[at[once]]]]
+    phrases = [w.phrase(i, i + size - 1) for i in at[once].tolist()]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(phrases, pa.string())], names=["whole", "signature", "size", "id", "phrase"])
 
 
 def _items(batches: Iterator[pa.RecordBatch], passage: int) -> Iterator[pa.RecordBatch]:
-    """Passages of the test items: of `passage` words, or, of shorter items, the item itself."""
-    for batch in batches:
-        texts = [t or "" for t in batch["text"].to_pylist()]
-        ids = batch["id"].to_numpy(zero_copy_only=False)
-        for first, run in chunked(texts):
-            words, doc = word_hashes(run)
-            n = np.bincount(doc, minlength=len(run))
-            for size in np.unique(np.minimum(n, passage)).tolist():
-                if size:
-                    at, whole, least = _signatures(words, doc, size)
-                    own = np.minimum(n[doc[at]], passage) == size
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[first + doc[at[own]]]), pa.array(np.full(int(own.sum()), size, np.int32)), pa.array(whole[own].view(np.int64)), pa.array(least[own].view(np.int64))], names=["query_id", "size", "whole", "least"])
-
-
-class Passages:
-    """Test passages by size class: the sorted min-hashes to probe with, and the passages with the items that hold them."""
-
-    def __init__(self, query_id: np.ndarray, size: np.ndarray, whole: np.ndarray, least: np.ndarray):
-        self.classes = []
-        for s in np.unique(size).tolist():
-            own = np.flatnonzero(size == s)
-            own = own[np.argsort(whole[own], kind="stable")]
-            self.classes.append((int(s), np.unique(least[own]), whole[own], query_id[own]))
-
-    def find(self, words: np.ndarray, doc: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """(text, query id) of texts that hold a passage."""
-        for size, signatures, wholes, query in self.classes:
-            at, whole, least = _signatures(words, doc, size)
-            if not len(at):
-                continue
-            # a min-hash stays the same over many neighbouring passages, so only its changes are looked up
-            change = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
-            place = np.minimum(np.searchsorted(signatures, least[change]), len(signatures) - 1)
-            candidate = np.flatnonzero(np.repeat(signatures[place] == least[change], np.diff(np.r_[change, len(least)])))
-            # verified by the passage's exact word sequence
-            low = np.searchsorted(wholes, whole[candidate], side="left")
-            n = np.searchsorted(wholes, whole[candidate], side="right") - low
-            texts = np.repeat(doc[at[candidate]], n)
-            total = np.cumsum(n)
-            if len(total) and total[-1]:
-                yield texts, query[np.repeat(low - (total - n), n) + np.arange(int(total[-1]))]
-
-
-def _search(batches: Iterator[pa.RecordBatch], passages: Broadcast) -> Iterator[pa.RecordBatch]:
+    """Passages of the test items by size class: of `passage` words, or, of shorter items, the item itself."""
     for batch in batches:
         ids = batch["id"].to_numpy(zero_copy_only=False)
         for first, run in chunked(t or "" for t in batch["text"].to_pylist()):
-            found = list(passages.value.find(*word_hashes(run)))
-            if found:
-                pairs = np.unique(np.stack([np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found])]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[first + pairs[0]]), pa.array(pairs[1])], names=["doc_id", "query_id"])
+            w = _Words(run)
+            own = np.minimum(np.bincount(w.doc, minlength=len(run)), passage)
+            for size in np.unique(own[own > 0]).tolist():
+                at, whole, signature = _passages(w, size)
+                mine = own[w.doc[at]] == size
+                yield _rows(ids[first:], w, size, at[mine], whole[mine], signature[mine])
+
+
+def _adder(column: str):
+    def add(own: Filter, batch: pa.RecordBatch) -> None:
+        own.add(batch[column].to_numpy().view(np.uint64))
+
+    return add
 
 
-def leaked_items(documents: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, passage: int = PASSAGE, block: int = BLOCK_PASSAGES) -> DataFrame:
+def _probe(batches: Iterator[pa.RecordBatch], index: Broadcast, sizes: list[int]) -> Iterator[pa.RecordBatch]:
+    """Passages of the documents, for each size class, whose signature an item may have, and then whose own hash one may have."""
+    signatures, wholes = index.value
+    for batch in batches:
+        ids = batch["id"].to_numpy(zero_copy_only=False)
+        for first, run in chunked(t or "" for t in batch["text"].to_pylist()):
+            w = _Words(run)
+            for size in sizes:
+                at, whole, signature = _passages(w, size)
+                if not len(at):
+                    continue
+                # a signature stays the same over many neighbouring passages, so only its changes are looked up
+                change = np.flatnonzero(np.r_[True, signature[1:] != signature[:-1]])
+                hit = np.zeros(len(change), bool)
+                hit[signatures.find(signature[change])] = True
+                near = np.flatnonzero(np.repeat(hit, np.diff(np.r_[change, len(signature)])))
+                near = near[wholes.find(whole[near])]
+                if len(near):
+                    yield _rows(ids[first:], w, size, at[near], whole[near], signature[near])
+
+
+def leaked_items(documents: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, passage: int = PASSAGE) -> DataFrame:
     """(doc_id, query_id): texts that hold `passage` consecutive words of an item, or all words of a shorter item.
 
     Containment search, partitioned by size: a test item is the set of its passages, and passages fall into size classes
-    (items of `passage` words or more; shorter ones by their length). The signature of a passage is the min-hash of its
-    word shingles. A document is probed, for each class, with the min-hash of each of its windows of that size, a
-    sliding minimum; a window that contains the passage has the passage's min-hash, so no contained passage is missed.
-    Matches are verified by the exact word sequence. (Min-hashes of whole documents would miss 13 words in 1,000.)
-
-    The items' signatures are broadcast in blocks of at most `block` passages, one after the other; documents are read
-    once a block, and never shuffled, whatever their skew; only the pairs found are made distinct.
+    (items of `passage` words or more; shorter ones each by their length). The signature of a passage is the min-hash of
+    its word shingles. A document is probed, for each class, with the min-hash of each of its windows of that size, a
+    sliding minimum; a window that contains the passage has the passage's min-hash, so none is missed. (A min-hash of a
+    whole document would miss 13 words in 1,000.) The items' signatures are broadcast as a Bloom filter of bounded size,
+    with one of the passages' own hashes; only windows that pass both leave the documents, and meet the items' passages in
+    a join that spreads frequent ones. A pair counts if the passages, shingles of the class's size, have the same words.
+    Documents are read once, however many items there are, and never shuffled; a full filter costs time, never pairs.
 
     Words are runs of letters and digits after lower-casing. Null, empty and wordless texts and items match nothing;
     rows without key are left out; repeated rows, and equal texts under several keys, give each key its pairs once;
     other columns are ignored; empty tables give an empty result.
     """
-    spark = documents.sparkSession
+    schema = "whole bigint, signature bigint, size int, id bigint, phrase string"
     own = documents.filter(F.col(doc_key).isNotNull()).select(F.col(doc_key).cast("bigint").alias("id"), F.col(text).alias("text"))
     tests = items.filter(F.col(item_key).isNotNull()).select(F.col(item_key).cast("bigint").alias("id"), F.col(item_text).alias("text"))
-    signatures = tests.mapInArrow(lambda b: _items(b, passage), "query_id bigint, size int, whole bigint, least bigint").distinct()
-    n_blocks = max(1, math.ceil(signatures.count() / block))
-    found = []
-    for i in range(n_blocks):
-        part = signatures if n_blocks == 1 else signatures.filter(F.pmod(F.xxhash64("whole"), F.lit(n_blocks)) == i)
-        t = part.toArrow()
-        passages = spark.sparkContext.broadcast(Passages(t["query_id"].to_numpy(), t["size"].to_numpy(), t["whole"].to_numpy().view(np.uint64), t["least"].to_numpy().view(np.uint64)))
-        found.append(own.mapInArrow(lambda b, p=passages: _search(b, p), "doc_id bigint, query_id bigint"))
-    return reduce(DataFrame.union, found).distinct()
+    passages = materialise(tests.mapInArrow(lambda b: _items(b, passage), schema))
+    by_size = {r["size"]: r["n"] for r in passages.groupBy("size").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes, bits = sorted(by_size), filter_bits(sum(by_size.values()), MAX_FILTER_BITS)
+    index = documents.sparkSession.sparkContext.broadcast(tuple(build_filter(passages, bits, _adder(c)) for c in ("signature", "whole")))
+    found = materialise(own.mapInArrow(lambda b: _probe(b, index, sizes), schema))
+    index.destroy()
+    wanted = passages.select("whole", F.col("id").alias("query_id"), F.col("phrase").alias("other")).distinct()
+    pairs = salted_join(found.select("whole", F.col("id").alias("doc_id"), "phrase"), wanted, "whole", "inner")
+    return pairs.filter("phrase = other").select("doc_id", "query_id").distinct()

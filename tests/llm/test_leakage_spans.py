@@ -6,6 +6,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from marlstone.llm import leakage
 from marlstone.llm.leakage import _sliding_min, leaked_items
 from marlstone.llm.spans import shared_share, shared_spans
 
@@ -36,8 +37,9 @@ def leaks(docs, items, n=13):
     return out
 
 
-@pytest.mark.parametrize("block", [1 << 20, 40])
-def test_leaks_equal_brute_force(spark, block):
+@pytest.mark.parametrize("bits", [1 << 29, 1 << 15])
+def test_leaks_equal_brute_force(spark, monkeypatch, bits):
+    monkeypatch.setattr(leakage, "MAX_FILTER_BITS", bits)
     random.seed(4)
     v = [f"w{i}" for i in range(60)] + ["Über", "日本"]
     items = [(i, " ".join(random.choice(v) for _ in range(random.choice([1, 2, 4, 7, 12, 13, 14, 30])))) for i in range(40)] + [(100, None), (101, ""), (102, " -- "), (None, "w1"), (3, "w1 w2 w3")]
@@ -52,10 +54,19 @@ def test_leaks_equal_brute_force(spark, block):
     docs += [(200, None), (201, ""), (None, "w1"), (5, docs[5][1]), (202, docs[0][1])]
     df = spark.createDataFrame([(d, t, 1, "q") for d, t in docs], "doc bigint, body string, size int, query_id string")
     tests = spark.createDataFrame([(q, t, 0) for q, t in items if q != 3], "q bigint, t string, id int")
-    got = [tuple(r) for r in leaked_items(df, "doc", "body", tests, "q", "t", block=block).collect()]
+    got = [tuple(r) for r in leaked_items(df, "doc", "body", tests, "q", "t").collect()]
     assert len(got) == len(set(got)) and set(got) == leaks(docs, [x for x in items if x[0] != 3])
 
 
+def test_a_passage_of_a_third_of_all(spark):
+    """The same words open a third of the items and of the documents; only those that go on alike for 13 words count."""
+    intro = "how can i configure the following on my server"
+    items = [(i, (intro + " " if i % 3 == 0 else "") + " ".join(f"i{i}x{j}" for j in range(20))) for i in range(300)]
+    docs = [(i, (intro + " " if i % 3 == 0 else "") + " ".join(f"{'i' if i % 30 == 0 else 'd'}{i}x{j}" for j in range(30))) for i in range(300)]
+    got = leaked_items(spark.createDataFrame(docs, "d bigint, t string"), "d", "t", spark.createDataFrame(items, "q bigint, t string"), "q", "t")
+    assert {tuple(r) for r in got.collect()} == leaks(docs, items) == {(i, i) for i in range(0, 300, 30)}
+
+
 def test_no_leaks(spark):
     docs, none = spark.createDataFrame([(1, "a b")], "d bigint, t string"), spark.createDataFrame([], "q bigint, t string")
     assert leaked_items(docs, "d", "t", none, "q", "t").count() == 0
