@@ -45,8 +45,8 @@ def _rank(v: np.ndarray, seed: int) -> np.ndarray:
     return mix(v.astype(np.int64).view(np.uint64) + np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % (1 << 64))).view(np.int64)
 
 
-def _cells(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBatch]:
-    """Union-find over the edges of each grid cell; rows come cell by cell, and a cell has a bounded number of edges."""
+def _cells(batches: Iterator[pa.RecordBatch], seed: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Union-find over the edges of each grid cell; rows come cell by cell. No more than `most` edges are held: what a cell has beyond counts as another cell."""
 
     def solve(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if parts:
@@ -55,15 +55,18 @@ def _cells(batches: Iterator[pa.RecordBatch], seed: int) -> Iterator[pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(r), pa.array(_rank(r, seed))], names=["vertex", "rep", "rank"])
 
     held: list[pa.RecordBatch] = []
-    cell = None
+    cell, rows = None, 0
     for batch in batches:
         c = batch["cell"].to_numpy()
         cuts = np.r_[0, np.flatnonzero(c[1:] != c[:-1]) + 1, len(c)] if len(c) else np.zeros(1, int)
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if c[a] != cell:
-                yield from solve(held)
-                held, cell = [], c[a]
-            held.append(batch.slice(a, b - a))
+            for low in range(a, b, most):
+                n = min(most, b - low)
+                if c[a] != cell or rows + n > most:
+                    yield from solve(held)
+                    held, cell, rows = [], c[a], 0
+                held.append(batch.slice(low, n))
+                rows += n
     yield from solve(held)
 
 
@@ -75,7 +78,8 @@ def connected_components(pairs: DataFrame, a: str, b: str, cell_edges: int = CEL
     """(group_id, member): every vertex of `pairs` with the smallest vertex of its component.
 
     Two-dimensional grid: vertices are hashed into blocks and edge (u, v) goes to cell (block of u, block of v), so the
-    edges of a hub are spread over a whole row of cells. Each cell runs a union-find of its own; a vertex then takes the
+    edges of a hub are spread over a whole row of cells; cells that still have more than cell_edges are split by edge, into
+    tasks of about that many. Each cell runs a union-find of its own; a vertex then takes the
     best of the representatives that its row and column of cells found for it, and the representatives' remaining
     differences are the edges of the next round, until none is left. Ranks are hashes of vertices with another seed each
     round, so any chain, sorted or not, is expected to shrink by a constant share a round. Parents of all rounds are then resolved backwards.
@@ -94,9 +98,13 @@ def connected_components(pairs: DataFrame, a: str, b: str, cell_edges: int = CEL
         # a cell holds about 2 * count / blocks**2 edges
         blocks = max(min_blocks if turn == 0 else 1, math.ceil(math.sqrt(2 * count / cell_edges)))
         i, j = _block(F.col("u"), blocks, turn), _block(F.col("v"), blocks, turn)
-        cells = edges.withColumn("cell", F.least(i, j) * blocks + F.greatest(i, j))
-        tasks = min(blocks * (blocks + 1) // 2, max(1, math.ceil(count / (cell_edges / 8)), blocks))
-        solve = partial(_cells, seed=turn)
+        cells = edges.withColumn("cell", (F.least(i, j) * blocks + F.greatest(i, j)).cast("bigint"))
+        if count > cell_edges:  # the crowded cells are at most one in cell_edges edges, so their list is short
+            crowded = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > cell_edges)
+            part = F.pmod(F.xxhash64("u", "v"), F.ceil(F.coalesce("n", F.lit(1)) / cell_edges))
+            cells = cells.join(F.broadcast(crowded), "cell", "left").withColumn("cell", F.col("cell") * (1 << 32) + part).drop("n")
+        tasks = max(1, math.ceil(count / (cell_edges / 8)), min(blocks, blocks * (blocks + 1) // 2))
+        solve = partial(_cells, seed=turn, most=cell_edges)
         found = materialise(cells.repartition(tasks, "cell").sortWithinPartitions("cell").mapInArrow(solve, "vertex bigint, rep bigint, rank bigint"))
         # exchange: the representative of least rank wins, as in the cells
         parents = materialise(found.groupBy("vertex").agg(F.min(F.struct("rank", "rep"))["rep"].alias("parent")))
