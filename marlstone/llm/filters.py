@@ -7,18 +7,17 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from marlstone.llm.textvec import mix
 
-#: Bytes of one row of a filter that is put together by bitmap_or_agg.
-_ROW = 4096
+#: Bytes of one row of a filter as it is sent, compressed.
+_ROW = 1 << 16
 _PROBES = 3
 
 
 def filter_bits(n: int, most: int) -> int:
     """Bits, a power of two, for n hashes at 16 bits each; never above `most`."""
-    bits = _ROW * 8
+    bits = 1 << 15
     while bits < 16 * n and bits < most:
         bits *= 2
     return bits
@@ -31,10 +30,8 @@ def _probe_bits(h: np.ndarray, bits: int, i: int) -> np.ndarray:
 class Filter:
     """What it says is the same for the same content, so texts agree on it."""
 
-    def __init__(self, bits: int, rows: list | None = None):
+    def __init__(self, bits: int):
         self.bits, self.bytes = bits, np.zeros(bits // 8, np.uint8)
-        for i, data in rows or []:
-            self.bytes[i * _ROW : (i + 1) * _ROW] = np.frombuffer(data, np.uint8)
 
     def add(self, h: np.ndarray) -> None:
         for i in range(_PROBES):
@@ -50,10 +47,21 @@ class Filter:
             left, h = hit if left is None else left[hit], h[hit]
         return left
 
-    def rows(self) -> pa.RecordBatch:
-        parts = self.bytes.reshape(-1, _ROW)
-        some = np.flatnonzero(parts.any(axis=1))
-        return pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([parts[i].tobytes() for i in some], pa.binary())], names=["row", "data"])
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """Its parts that aren't empty: a filter with few bits set takes about two bytes for each."""
+        for i in range(0, len(self.bytes), _ROW):
+            part = self.bytes[i : i + _ROW]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pa.compress(part, "zstd", asbytes=True)], pa.binary())], names=["at", "data"])
+
+    def merge(self, at: int, data: bytes) -> None:
+        """Adds a part of another filter of the same size."""
+        part = self.bytes[at : at + _ROW]
+        part |= np.frombuffer(pa.decompress(data, len(part), "zstd"), np.uint8)
+
+    def share(self) -> float:
+        """The share of its bits that are set; the chance that it lets a hash through wrongly is the cube of that."""
+        return float(np.bitwise_count(self.bytes).sum(dtype=np.int64)) / self.bits
 
 
 def build_filter(hashes: DataFrame, bits: int, add: Callable[[Filter, pa.RecordBatch], None]) -> Filter:
@@ -63,7 +71,18 @@ def build_filter(hashes: DataFrame, bits: int, add: Callable[[Filter, pa.RecordB
         own = Filter(bits)
         for batch in batches:
             add(own, batch)
-        yield own.rows()
+        yield from own.rows()
 
-    merged = hashes.mapInArrow(run, "row int, data binary").groupBy("row").agg(F.bitmap_or_agg("data").alias("data"))
-    return Filter(bits, merged.collect())
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for at, data in zip(batch["at"].to_pylist(), batch["data"].to_pylist(), strict=True):
+                part = np.frombuffer(pa.decompress(data, min(_ROW, bits // 8), "zstd"), np.uint8)
+                parts[at] = parts[at] | part if at in parts else part
+        for at, part in parts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([pa.compress(part, "zstd", asbytes=True)], pa.binary())], names=["at", "data"])
+
+    out = Filter(bits)
+    for row in hashes.mapInArrow(run, "at bigint, data binary").repartition("at").mapInArrow(merge, "at bigint, data binary").toLocalIterator():
+        out.merge(row["at"], row["data"])
+    return out

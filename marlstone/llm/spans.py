@@ -15,8 +15,8 @@ from marlstone.llm.textvec import char_prefix, chunked, code_points, mix, span_h
 from marlstone.operators.skew import salted_join
 from marlstone.runtime import materialise
 
-#: The largest filter: 8 MB, whatever the size of the corpus.
-MAX_FILTER_BITS = 1 << 26
+#: The largest filter: 64 MB, whatever the size of the corpus. A full one lets more windows through: up to one anchor in 75 positions, but no wrong ones.
+MAX_FILTER_BITS = 1 << 29
 #: Different contexts of one anchor that one task compares in memory; above that they are compared by shuffle.
 GROUP_CONTEXTS = 1 << 17
 
@@ -197,16 +197,21 @@ def shared_spans(df: DataFrame, key: str, text: str, least: int = 300, group_con
 
     found = own.mapInArrow(lambda b: _context_rows(b, index, repeated, least), "anchor bigint, context bigint, id bigint, low int, shift int, data string")
     found = materialise(found)
-    contexts = found.groupBy("anchor", "context").agg(F.min("id").alias("id_min"), F.max("id").alias("id_max"), F.first("shift").alias("shift"), F.first("data").alias("data"))
-    counted = contexts.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("anchor")))
+    # anchors of more contexts than a task may hold: at most one in group_contexts rows, so their list is bounded by that share
+    hot = found.groupBy("anchor", "context").agg(F.first("shift")).groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > group_contexts).select("anchor", F.lit(True).alias("hot"))
+    marked = found.join(F.broadcast(hot), "anchor", "left")
+    merged = [F.min("id").alias("id_min"), F.max("id").alias("id_max"), F.first("shift").alias("shift"), F.first("data").alias("data")]
     interval = "anchor bigint, context bigint, begin int, end int"
-    small = counted.filter(F.col("n") <= group_contexts).drop("n").mapInArrow(lambda b: _compare(b, least), interval)
-    rows = materialise(counted.filter(F.col("n") > group_contexts).drop("n").mapInArrow(lambda b: _window_rows(b, least), "key bigint, anchor bigint, context bigint, id_min bigint, id_max bigint, start int"))
+    # equal contexts become one row before they are shuffled, so that a passage of a third of all texts doesn't gather
+    alike = marked.filter("hot IS NULL").groupBy("anchor", "context").agg(*merged)
+    small = alike.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(lambda b: _compare(b, least), interval)
+    crowded = marked.filter("hot").groupBy("anchor", "context").agg(*merged)
+    rows = materialise(crowded.mapInArrow(lambda b: _window_rows(b, least), "key bigint, anchor bigint, context bigint, id_min bigint, id_max bigint, start int"))
     windows = rows.groupBy("key").agg(F.min("id_min").alias("lo"), F.max("id_max").alias("hi")).filter("lo < hi").select("key")
     large = salted_join(rows, windows, "key", "inner").select("anchor", "context", F.col("start").alias("begin"), F.col("start").alias("end"))
-    shared = small.union(large)
+    shared = small.union(large).select(F.struct("anchor", "context").alias("place"), "begin", "end")
 
-    spans = found.select("anchor", "context", "id", "low").join(shared, ["anchor", "context"]).select("id", (F.col("low") + F.col("begin")).alias("s"), (F.col("low") + F.col("end") + least).alias("e"))
+    spans = salted_join(found.select(F.struct("anchor", "context").alias("place"), "id", "low"), shared, "place", "inner").select("id", (F.col("low") + F.col("begin")).alias("s"), (F.col("low") + F.col("end") + least).alias("e"))
     before = Window.partitionBy("id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, -1)
     opened = spans.withColumn("new", F.when(F.col("s") <= F.max("e").over(before), 0).otherwise(1))
     stretch = Window.partitionBy("id").orderBy("s", "e").rowsBetween(Window.unboundedPreceding, 0)
