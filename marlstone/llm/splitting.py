@@ -25,17 +25,14 @@ def item_ranges(df: DataFrame, name: str, key: str, text: str, max_tokens: int =
     different texts of one id apart. Null texts, and texts within the limit, give no range.
     """
     halo = _halo(max_tokens)
-    raw = F.encode(F.col(text), "UTF-8")
-    own = df.filter(F.octet_length(text) > max_tokens * BYTES_PER_TOKEN).select(F.lit(name).alias("item_table"), F.col(key).cast("bigint").alias("item_id"), F.xxhash64(text).alias("version"), F.octet_length(text).cast("bigint").alias("n_bytes"), raw.alias("raw"))
-    count = F.ceil(F.col("n_bytes") / range_bytes).cast("int")
-
-    def cut(i):
-        low = i.cast("bigint") * range_bytes
-        begin = F.greatest(low - halo, F.lit(0)).cast("int")
-        return F.struct(i.alias("r"), low.alias("low"), F.substring(F.col("raw"), begin + 1, (low - begin + range_bytes + halo).cast("int")).alias("data"))
-
-    parts = own.withColumn("part", F.explode(F.transform(F.sequence(F.lit(0), count - 1), cut)))
-    return parts.select("item_table", "item_id", "version", "n_bytes", "part.r", "part.low", "part.data")
+    own = df.filter(F.octet_length(text) > max_tokens * BYTES_PER_TOKEN).select(F.lit(name).alias("item_table"), F.col(key).cast("bigint").alias("item_id"), F.xxhash64(text).alias("version"), F.octet_length(text).cast("bigint").alias("n_bytes"), F.encode(F.col(text), "UTF-8").alias("raw"))
+    # offsets first: the ranges of an item are rows of their own before any bytes are taken, and only one slice is made at a time
+    listed = own.withColumn("r", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n_bytes") / range_bytes) - 1).cast("int")))).withColumn("low", F.col("r").cast("bigint") * range_bytes)
+    begin = F.greatest(F.col("low") - halo, F.lit(0)).cast("int")
+    cut = listed.select("item_table", "item_id", "version", "n_bytes", "r", "low", F.substring("raw", begin + 1, (F.col("low") - begin + range_bytes + halo).cast("int")).alias("data"))
+    # items of one range stay where they are, the ranges of larger ones are spread
+    one = F.col("n_bytes") <= range_bytes
+    return cut.filter(one).unionByName(cut.filter(~one).repartition("item_table", "item_id", "version", "r"))
 
 
 def file_ranges(spark: SparkSession, paths: list[str], max_tokens: int = MAX_TOKENS, range_bytes: int = RANGE_BYTES) -> DataFrame:
