@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -46,24 +47,26 @@ def segments(text: str) -> Iterator[tuple[str, str]]:
         yield "code" if code else "prose", "\n".join(lines)
 
 
+#: A sentence: a character, then all up to a stop or a line's end, or to the end of the text.
+_SENTENCE = re.compile(r"(?s:.)[^.!?\n]*(?:[.!?\n]|\Z)")
+
+
 def _sentences(text: str) -> list[str]:
-    out, start = [], 0
-    for i, c in enumerate(text):
-        if c in ".!?\n" and i > start:
-            out.append(text[start : i + 1])
-            start = i + 1
-    return out + [text[start:]] * (start < len(text))
+    return _SENTENCE.findall(text)
 
 
 def hard_split(text: str, count: Counter, limit: int) -> list[str]:
-    """Pieces of a text without boundaries; nothing is lost."""
+    """Pieces of a text without boundaries; nothing is lost. Only about a piece at a time is counted, however long the text."""
     out = []
-    while text:
-        size = len(text)
-        while size > 1 and count(text[:size]) > limit:
-            size = max(1, min(size - 1, size * limit // count(text[:size])))
-        out.append(text[:size])
-        text = text[size:]
+    at, size = 0, 4 * limit
+    while at < len(text):
+        size = min(size, len(text) - at)
+        while at + size < len(text) and count(text[at : at + size]) <= limit:
+            size = min(2 * size, len(text) - at)
+        while size > 1 and (n := count(text[at : at + size])) > limit:
+            size = max(1, min(size - 1, size * limit // n))
+        out.append(text[at : at + size])
+        at += size
     return out
 
 
