@@ -60,8 +60,9 @@ def _automaton() -> tuple[np.ndarray, np.ndarray]:
 def _states(symbols: np.ndarray, width: int = 128) -> np.ndarray:
     """The state before every symbol, by an associative scan of transition functions.
 
-    Blocks of `width` symbols are composed into one function each, all blocks side by side; the functions are applied in
-    order to give each block's entry state, and every block is run from its own, again side by side."""
+    Blocks of `width` symbols are composed into one function each, all blocks side by side; the functions of all blocks up
+    to each are composed in steps of doubling distance, which gives every block's entry state; and every block is run from
+    its own, again side by side."""
     step, _ = _automaton()
     n = len(symbols)
     blocks = -(-n // width)
@@ -71,11 +72,12 @@ def _states(symbols: np.ndarray, width: int = 128) -> np.ndarray:
     function = np.repeat(np.arange(_STATES, dtype=np.uint8)[:, None], blocks, axis=1)
     for row in columns:
         function = step[function * np.uint8(_SYMBOLS) + row]
-    entry = np.empty(blocks, np.uint8)
-    state = _S_DONE
-    for i, f in enumerate(function.T.tolist()):
-        entry[i] = state
-        state = f[state]
+    reach = 1
+    while reach < blocks:
+        function = np.concatenate([function[:, :reach], np.take_along_axis(function[:, reach:], function[:, :-reach], axis=0)], axis=1)
+        reach *= 2
+    entry = np.full(blocks, _S_DONE, np.uint8)
+    entry[1:] = function[_S_DONE, :-1]
     before = np.empty((width, blocks), np.uint8)
     now = entry
     for i, row in enumerate(columns):
@@ -120,7 +122,7 @@ class Encoder:
     def __init__(self, path: str):
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.merge = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.merge = tiktoken.Encoding("ranks", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.token_bytes = {i: t for t, i in ranks.items()}
         self.cache: dict[str, list[int]] = {}
 
@@ -129,7 +131,7 @@ class Encoder:
         if ids is None:
             if len(self.cache) >= CACHE:
                 self.cache.clear()
-            ids = self.merge(piece.encode())
+            ids = self.merge(piece)
             if len(piece) < 64:
                 self.cache[piece] = ids
         return ids
