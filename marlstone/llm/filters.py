@@ -30,8 +30,8 @@ def _probe_bits(h: np.ndarray, bits: int, i: int) -> np.ndarray:
 class Filter:
     """What it says is the same for the same content, so texts agree on it."""
 
-    def __init__(self, bits: int):
-        self.bits, self.bytes = bits, np.zeros(bits // 8, np.uint8)
+    def __init__(self, bits: int, data: np.ndarray):
+        self.bits, self.bytes = bits, data
 
     def add(self, h: np.ndarray) -> None:
         for i in range(_PROBES):
@@ -47,42 +47,47 @@ class Filter:
             left, h = hit if left is None else left[hit], h[hit]
         return left
 
-    def rows(self) -> Iterator[pa.RecordBatch]:
-        """Its parts that aren't empty: a filter with few bits set takes about two bytes for each."""
-        for i in range(0, len(self.bytes), _ROW):
-            part = self.bytes[i : i + _ROW]
-            if part.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pa.compress(part, "zstd", asbytes=True)], pa.binary())], names=["at", "data"])
-
-    def merge(self, at: int, data: bytes) -> None:
-        """Adds a part of another filter of the same size."""
-        part = self.bytes[at : at + _ROW]
-        part |= np.frombuffer(pa.decompress(data, len(part), "zstd"), np.uint8)
-
     def share(self) -> float:
         """The share of its bits that are set; the chance that it lets a hash through wrongly is the cube of that."""
         return float(np.bitwise_count(self.bytes).sum(dtype=np.int64)) / self.bits
 
 
-def build_filter(hashes: DataFrame, bits: int, add: Callable[[Filter, pa.RecordBatch], None]) -> Filter:
-    """The filter of all partitions: each makes one of its own, these are or-ed, and bits / 8 bytes at most reach the driver."""
+def build_bytes(df: DataFrame, size: int, add: Callable[[np.ndarray, pa.RecordBatch], None], combine: np.ufunc) -> np.ndarray:
+    """`size` bytes that every partition fills for itself and that are then combined, or-ed or the greatest taken: no more than that reaches the driver.
+
+    Parts that are empty aren't sent, the others compressed: a partition that sets few bytes sends few."""
+
+    def rows(own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for i in range(0, size, _ROW):
+            part = own[i : i + _ROW]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int64()), pa.array([pa.compress(part, "zstd", asbytes=True)], pa.binary())], names=["at", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Filter(bits)
+        own = np.zeros(size, np.uint8)
         for batch in batches:
             add(own, batch)
-        yield from own.rows()
+        yield from rows(own)
+
+    def opened(at: int, data: bytes) -> np.ndarray:
+        return np.frombuffer(pa.decompress(data, min(_ROW, size - at), "zstd"), np.uint8)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, np.ndarray] = {}
         for batch in batches:
             for at, data in zip(batch["at"].to_pylist(), batch["data"].to_pylist(), strict=True):
-                part = np.frombuffer(pa.decompress(data, min(_ROW, bits // 8), "zstd"), np.uint8)
-                parts[at] = parts[at] | part if at in parts else part
+                part = opened(at, data)
+                parts[at] = combine(parts[at], part) if at in parts else part
         for at, part in parts.items():
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([pa.compress(part, "zstd", asbytes=True)], pa.binary())], names=["at", "data"])
 
-    out = Filter(bits)
-    for row in hashes.mapInArrow(run, "at bigint, data binary").repartition("at").mapInArrow(merge, "at bigint, data binary").toLocalIterator():
-        out.merge(row["at"], row["data"])
+    out = np.zeros(size, np.uint8)
+    for row in df.mapInArrow(run, "at bigint, data binary").repartition("at").mapInArrow(merge, "at bigint, data binary").toLocalIterator():
+        part = opened(row["at"], row["data"])
+        out[row["at"] : row["at"] + len(part)] = part
     return out
+
+
+def build_filter(hashes: DataFrame, bits: int, add: Callable[[Filter, pa.RecordBatch], None]) -> Filter:
+    """The filter of all partitions' hashes."""
+    return Filter(bits, build_bytes(hashes, bits // 8, lambda own, batch: add(Filter(bits, own), batch), np.bitwise_or))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from marlstone.llm.bkforest import BKForest, hamming
 from marlstone.llm.components import connected_components
-from marlstone.llm.filters import Filter, build_filter, filter_bits
+from marlstone.llm.filters import build_bytes
 from marlstone.llm.textvec import chunked, distinct_per_text, mix, shingles, word_hashes
 from marlstone.operators.bloom import bloom_blocks, bloom_filter, bloom_probe
 from marlstone.operators.skew import salted_join
@@ -26,10 +26,10 @@ from marlstone.runtime import materialise
 WORDS = 4
 #: Codes that one tree should hold; a shard with more is cut into several trees, each probed by the whole shard.
 BLOCK = 1 << 14
-#: Bits of the filter that knows how frequent shingles are: 64 MB at most. It changes the work only, never the pairs.
-MAX_FILTER_BITS = 1 << 29
-#: Frequencies are known by their power of two, written in so many bits.
-_LEVEL_BITS = 5
+#: Bytes of the table that knows how frequent shingles are: 64 MB at most. It changes the work only, never the pairs.
+MAX_TABLE = 1 << 26
+#: Places that a shingle has in that table.
+_PLACES = 3
 
 _TAG = re.compile(r"<[^>]*>")
 
@@ -135,53 +135,52 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from solve(held)
 
 
-def _salted(keys: np.ndarray, salt: int) -> np.ndarray:
-    return mix((keys << np.uint64(3)) + np.uint64(salt))
+def _places(keys: np.ndarray, size: int) -> Iterator[np.ndarray]:
+    for i in range(_PLACES):
+        yield mix(keys * np.uint64(2 * i + 1) + np.uint64(i)) & np.uint64(size - 1)
 
 
-def _add_levels(own: Filter, batch: pa.RecordBatch) -> None:
-    for level, n, data in zip(batch["level"].to_pylist(), batch["n"].to_pylist(), batch["keys"].to_pylist(), strict=True):
-        keys = _unpack_sorted(data, n)
-        own.add(_salted(keys, 0))
-        for b in range(_LEVEL_BITS):
-            if level >> b & 1:
-                own.add(_salted(keys, b + 1))
+def _add_levels(own: np.ndarray, batch: pa.RecordBatch) -> None:
+    for level, n, data in sorted(zip(batch["level"].to_pylist(), batch["n"].to_pylist(), batch["keys"].to_pylist(), strict=True)):
+        for at in _places(_unpack_sorted(data, n), len(own)):
+            own[at] = np.maximum(own[at], np.uint8(level))
 
 
 class Frequencies:
-    """How many records have a shingle, as a power of two; 0 for one record, or for few where the filter couldn't hold all.
+    """How many records have a shingle, as a power of two; 0 for one record, or for few where the table couldn't hold all.
 
-    Kept in a filter, so a rare shingle may seem frequent, but the same everywhere: as an order it is sound."""
+    A shingle's places in the table hold at least its level, each, and the least of them is taken. So a rare shingle may
+    seem frequent, never the other way round, and the same everywhere: as an order it is sound."""
 
-    def __init__(self, index: Filter, bits: int, complete: bool):
-        self.index, self.bits, self.complete = index, bits, complete
+    def __init__(self, table: np.ndarray, bits: int, complete: bool):
+        self.table, self.bits, self.complete = table, bits, complete
 
     def level(self, shingles: np.ndarray) -> np.ndarray:
-        keys = shingles >> np.uint64(48 - self.bits)
-        some = self.index.find(_salted(keys, 0))
-        level, keys = np.zeros(len(shingles), np.int64), keys[some]
-        for b in range(_LEVEL_BITS):
-            level[some[self.index.find(_salted(keys, b + 1))]] |= 1 << b
-        level[some] = np.maximum(level[some], 1)
+        first, *rest = _places(shingles >> np.uint64(48 - self.bits), len(self.table))
+        level = self.table[first]
+        for at in rest:
+            np.minimum(level, self.table[at], out=level)
         return level
 
 
 def shingle_frequencies(own: DataFrame, k: int) -> Frequencies:
-    """Exact counts, by shuffle of packed keys, of all records' shingles (of keys of so many bits that few collide), put into a filter of bounded size."""
+    """Exact counts, by shuffle of packed keys, of all records' shingles (of keys of so many bits that few collide), put into a table of bounded size."""
     rows = max(1, own.count())
     bits = min(48, max(24, 16 + 7 + math.ceil(math.log2(rows))))
     slices = max(8, math.ceil(rows / (1 << 16)))
     runs = own.mapInArrow(lambda b: _counted(b, k, bits, slices), "slice int, n int, keys binary, counts binary")
     levels = materialise(runs.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(_levels, "level int, n bigint, keys binary"))
     sizes = {r["level"]: r["n"] for r in levels.groupBy("level").agg(F.sum("n").alias("n")).collect()}
-    least, inserts = 32, 0
-    for level in sorted(sizes, reverse=True):  # the most frequent first, as many as the filter holds
-        inserts += sizes[level] * (1 + level.bit_count())
-        if 16 * inserts > MAX_FILTER_BITS:
+    least, keys = 64, 0
+    for level in sorted(sizes, reverse=True):  # the most frequent first, as many as the table holds
+        keys += sizes[level]
+        if 2 * _PLACES * keys > MAX_TABLE:
             break
         least = level
-    index = build_filter(levels.filter(F.col("level") >= least), filter_bits(min(inserts, MAX_FILTER_BITS // 16), MAX_FILTER_BITS), _add_levels)
-    return Frequencies(index, bits, not sizes or least == min(sizes))
+    size = 1 << 12
+    while size < min(2 * _PLACES * keys, MAX_TABLE):
+        size *= 2
+    return Frequencies(build_bytes(levels.filter(F.col("level") >= least), size, _add_levels, np.maximum), bits, not sizes or least == min(sizes))
 
 
 def _codes(values: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
@@ -222,8 +221,8 @@ def _filed(batches: Iterator[pa.RecordBatch], k: int, threshold: float, known: B
             once = np.unique(set_a, return_index=True)[1]
             own = np.repeat(np.arange(len(some)), size)
             level = frequencies.level(values)
-            order = np.lexsort((values, level, own))
-            ordered, level = values[order], level[order]
+            order = np.argsort(own << 6 | level, kind="stable")  # shingles of a set are in order already
+            ordered, level = values[order], level[order].astype(np.int64)
             place = np.arange(len(values)) - np.repeat(at, size)
             first = np.zeros(len(some), bool)
             first[once] = True
@@ -386,7 +385,7 @@ def near_duplicate_pairs(records: DataFrame, key: str, title: str, body: str, k:
     whatever the threshold: nothing but equal hashes of different content (48 bits a shingle, 64 a set) could lose one.
 
     Shingles are ordered from rare to frequent, by the power of two of the number of records that have them (exact counts,
-    kept in a filter of bounded size; any order is right, this one makes small shards), and a class is filed in a shard
+    kept in a table of bounded size; any order is right, this one makes small shards), and a class is filed in a shard
     for each of its first size - ceil(threshold * size) + 1 that another record has as well: two classes that reach the
     threshold have one of these in common, the first shingle that they share. A shard is a BK-tree on codes, children
     keyed by integer Hamming distance to their parent; each shingle toggles one of the code's bits, so codes differ in no
