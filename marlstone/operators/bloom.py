@@ -18,8 +18,8 @@ def _bits(key: Column) -> list[Column]:
     return [F.pmod(F.xxhash64(key, F.lit(i + 1)), F.lit(BLOCK_BITS)).cast("bigint") for i in range(HASHES)]
 
 
-def bloom_blocks(n_keys: int, bits_per_key: int = 16, max_blocks: int = 4096) -> int:
-    """Number of 4 KB bitmaps for n_keys; never above max_blocks (16 MB by default), so the broadcast is bounded at any size."""
+def bloom_blocks(n_keys: int, bits_per_key: int = 16, max_blocks: int = 16384) -> int:
+    """Number of 4 KB bitmaps for n_keys; never above max_blocks (64 MB by default, 16 bits for each of 33 million keys), so the broadcast is bounded at any size."""
     return max(1, min(max_blocks, -(-n_keys * bits_per_key // BLOCK_BITS)))
 
 

@@ -41,7 +41,7 @@ def references(delivered: DataFrame, links: DataFrame) -> DataFrame:
     return of_posts.unionByName(of_links).filter(F.col("target").isNotNull())
 
 
-def orphan_references(posts: DataFrame, links: DataFrame, removed: DataFrame, max_blocks: int = 4096) -> DataFrame:
+def orphan_references(posts: DataFrame, links: DataFrame, removed: DataFrame, max_blocks: int = 16384) -> DataFrame:
     """Orphans among the references of posts and links: ref_table, ref_field, ref_id, ref_month, orphan_kind.
 
     A Bloom filter of all ids that were delivered or removed, bounded by max_blocks bitmaps of 4 KB and broadcast, proves
