@@ -1,12 +1,13 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from marlstone.llm.bkforest import BKForest, hamming
-from marlstone.llm.near_duplicates import all_pairs, near_duplicate_groups, near_duplicate_pairs, plain
+from marlstone.llm.near_duplicates import _code_bytes, all_pairs, near_duplicate_groups, near_duplicate_pairs, plain, search_shards
 from marlstone.llm.textvec import WHITE_SPACE, class_table, code_points, words
 
 SCHEMA = "id bigint, title string, body string, code_a string, shard string, rep string, _id string"
@@ -109,3 +110,22 @@ def test_no_pair_is_lost_at_the_threshold(spark):
     df = spark.createDataFrame(rows, "id bigint, title string, body string")
     pairs, _ = near_duplicate_pairs(df, "id", "title", "body", 3, 0.6)
     assert {tuple(r) for r in pairs.collect()} == {(2 * i, 2 * i + 1, 0.6) for i in range(1500)}
+
+
+def test_trees_prune_groups_of_similar_texts():
+    """A shard of 40 groups of 50 texts of 100 shingles that differ in 4: a probe passes by over a third of the nodes."""
+    rng = np.random.default_rng(9)
+    sets = []
+    for _ in range(40):
+        base = rng.integers(0, 1 << 48, 100, np.uint64)
+        for _ in range(50):
+            edited = base.copy()
+            edited[rng.choice(100, 4, replace=False)] = rng.integers(0, 1 << 48, 4, np.uint64)
+            sets.append(edited)
+    values, at = np.concatenate(sets), np.arange(0, 200_000, 100)
+    n = len(sets)
+    facts = np.full(n, 100 << 32, np.int64)
+    t = pa.table({"shard": np.zeros(n, np.int64), "facts": facts, "set_a": np.arange(n), "code": pa.array(_code_bytes(values, at, np.full(n, 100)), pa.binary())})
+    a, b, visited, nodes = search_shards(t, 0.8)
+    assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for i in range(n) for j in range(i + 1, n) if i // 50 == j // 50}
+    assert nodes == n * n and visited < 0.7 * nodes
