@@ -11,6 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a partition of the global sort should hold.
+ROWS = 1 << 20
+
+
 def _positions(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
     """Of a sorted partition, the first n rows of each group with their position, and one row per group with its count.
 
@@ -96,5 +100,7 @@ def best_answers(posts: DataFrame, n: int = 3) -> DataFrame:
     answers = current.filter("post_type_id = 2 AND parent_id IS NOT NULL").select("id", "parent_id", "score")
     flagged = answers.join(named, ["id", "parent_id"], "left").select("parent_id", F.col("id").alias("answer_id"), F.coalesce("named", F.lit(False)).alias("named"), F.coalesce("score", F.lit(0)).alias("score"))
     order = [F.when(F.col("named"), 0).otherwise(1), -F.col("score").cast("decimal(20,0)"), F.col("answer_id")]
-    ranked = top_n_per_group(flagged, "parent_id", order, "answer_id", n)
+    # as many partitions as keep each to about ROWS; the count comes from the files' footers
+    partitions = max(int(posts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-posts.count() // ROWS))
+    ranked = top_n_per_group(flagged, "parent_id", order, "answer_id", n, partitions)
     return ranked.join(questions.select(F.col("id").alias("parent_id")), "parent_id", "left_semi")
