@@ -16,6 +16,16 @@ TARGET, OVERLAP = 512, 51
 Counter = Callable[[str], int]
 
 
+#: The code points of Unicode's White_Space property.
+WHITE_SPACE = [9, 10, 11, 12, 13, 32, 133, 160, 5760, 8192, 8193, 8194, 8195, 8196, 8197, 8198, 8199, 8200, 8201, 8202, 8232, 8233, 8239, 8287, 12288]
+_BLANK = "".join(map(chr, WHITE_SPACE))
+_WORD = re.compile(f"[^{_BLANK}]+")
+
+
+def _strip(text: str) -> str:
+    return text.strip(_BLANK)
+
+
 def approximate_tokens(text: str) -> int:
     return -(-len(text.encode()) // 3)
 
@@ -33,17 +43,17 @@ def segments(text: str) -> Iterator[tuple[str, str]]:
     lines: list[str] = []
     code = False
     for line in text.split("\n"):
-        fence = line.strip() == FENCE
+        fence = _strip(line) == FENCE
         if fence and code:
             yield "code", "\n".join([*lines, line])
             lines, code = [], False
         elif fence:
-            if any(x.strip() for x in lines):
+            if any(map(_strip, lines)):
                 yield "prose", "\n".join(lines)
             lines, code = [line], True
         else:
             lines.append(line)
-    if any(x.strip() for x in lines):
+    if any(map(_strip, lines)):
         yield "code" if code else "prose", "\n".join(lines)
 
 
@@ -56,17 +66,22 @@ def _sentences(text: str) -> list[str]:
 
 
 def hard_split(text: str, count: Counter, limit: int) -> list[str]:
-    """Pieces of a text without boundaries; nothing is lost. Only about a piece at a time is counted, however long the text."""
+    """A text without boundaries in the longest prefixes that keep the limit, a character at least; nothing is lost.
+
+    Only about a piece at a time is counted, however long the text."""
     out = []
-    at, size = 0, 4 * limit
+    at, step = 0, limit
     while at < len(text):
-        size = min(size, len(text) - at)
-        while at + size < len(text) and count(text[at : at + size]) <= limit:
-            size = min(2 * size, len(text) - at)
-        while size > 1 and (n := count(text[at : at + size])) > limit:
-            size = max(1, min(size - 1, size * limit // n))
-        out.append(text[at : at + size])
-        at += size
+        good, bad = 1, step + 1
+        while at + bad <= len(text) and count(text[at : at + bad]) <= limit:
+            good, bad = bad, 2 * bad
+        bad = min(bad, len(text) - at + 1)
+        while bad - good > 1:
+            middle = (good + bad) // 2
+            good, bad = (middle, bad) if count(text[at : at + middle]) <= limit else (good, middle)
+        out.append(text[at : at + good])
+        at += good
+        step = good
     return out
 
 
@@ -92,33 +107,33 @@ def split_prose(text: str, count: Counter, limit: int) -> list[str]:
     """Paragraphs, else sentences, else words, else characters, packed under the limit."""
 
     def by_word(s: str) -> list[str]:
-        return _packed(s.split(), " ", count, limit, lambda w: hard_split(w, count, limit)) or [""]
+        return _packed(_WORD.findall(s), " ", count, limit, lambda w: hard_split(w, count, limit)) or [""]
 
     def by_sentence(s: str) -> list[str]:
         return _packed(_sentences(s), "", count, limit, by_word)
 
-    return [x for x in _packed(text.split("\n\n"), "\n\n", count, limit, by_sentence) if x.strip()]
+    return [x for x in _packed(text.split("\n\n"), "\n\n", count, limit, by_sentence) if _strip(x)]
 
 
 def split_code(text: str, count: Counter, limit: int) -> list[str]:
     """Lines packed under the limit, each part fenced again."""
-    lines = [x for x in text.split("\n") if x.strip() != FENCE]
+    lines = [x for x in text.split("\n") if _strip(x) != FENCE]
     room = max(16, limit - 8)
     parts = _packed(lines, "\n", count, room, lambda s: hard_split(s, count, room))
-    return [f"{FENCE}\n{x}\n{FENCE}" for x in parts if x.strip()]
+    return [f"{FENCE}\n{x}\n{FENCE}" for x in parts if _strip(x)]
 
 
 def tail(text: str, count: Counter, limit: int) -> str:
     """As many of the last lines, else words, as keep the limit; may be empty."""
-    for units, joiner in ((text.split("\n"), "\n"), (text.split(), " ")):
+    for units, joiner in ((text.split("\n"), "\n"), (_WORD.findall(text), " ")):
         kept = ""
         for unit in reversed(units):
             longer = unit + joiner + kept if kept else unit
             if count(longer) > limit:
                 break
             kept = longer
-        if kept.strip():
-            return kept.strip()
+        if _strip(kept):
+            return _strip(kept)
     return ""
 
 
@@ -142,19 +157,19 @@ def chunk_text(text: str, count: Counter = approximate_tokens, target: int = TAR
 
     def flush() -> None:
         nonlocal held, held_code
-        body = held.strip()
+        body = _strip(held)
         if body:
             kind = "code" if held_code else "prose"
             parts = [body] if count(body) <= target else (split_code if held_code else split_prose)(body, count, target)
-            out.extend(Piece(x.strip(), kind, count(x.strip()), False) for x in parts)
+            out.extend(Piece(_strip(x), kind, count(_strip(x)), False) for x in parts)
         held, held_code = "", False
 
     for kind, body, split in units:
         if split:
             flush()
-            out.append(Piece(body.strip(), kind, count(body.strip()), True))
+            out.append(Piece(_strip(body), kind, count(_strip(body)), True))
             continue
-        if held.strip() and count(held + body) > target:
+        if _strip(held) and count(held + body) > target:
             carry = "" if kind == "code" or held_code else tail(held, count, overlap)
             flush()
             held = carry + "\n" if carry else ""

@@ -129,6 +129,96 @@ def _nearest(source: str, by: str, value: str) -> str:
     return f"SELECT {by}, max(n) AS n, {picks} FROM (SELECT {by}, {value}, row_number() OVER (PARTITION BY {by} ORDER BY {value}) - 1 AS i, count(*) OVER (PARTITION BY {by}) AS n FROM {source} WHERE {value} IS NOT NULL) GROUP BY {by}"
 
 
+def _strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{_WS}]+|[{_WS}]+$', '', 'g')"
+
+
+def _toks(x: str) -> str:
+    return f"ceil(strlen({x}) / 3.0)"
+
+
+def _greedy(units: str, joiner: str, limit: int, weaker, name: str) -> str:
+    """A list of strings packed under the limit, as a fold: out is done, held goes on. weaker makes the SQL that splits one unit."""
+    s, u, w = f"s{name}", f"u{name}", f"w{name}"
+    joined = f"CASE WHEN {s}.held IS NULL THEN {u}.held ELSE {s}.held || {joiner} || {u}.held END"
+    done = f"CASE WHEN {s}.held IS NULL THEN {s}.out ELSE list_append({s}.out, {s}.held) END"
+    split = f"list_transform([{weaker(u + '.held')}], lambda {w}: {{'out': list_concat({done}, {w}[1:len({w}) - 1]), 'held': {w}[len({w})]}})[1]" if weaker else f"{{'out': {done}, 'held': {u}.held}}"
+    none = "CAST([] AS VARCHAR[])"
+    step = f"CASE WHEN {_toks(joined)} <= {limit} THEN {{'out': {s}.out, 'held': {joined}}} WHEN {_toks(u + '.held')} <= {limit} THEN {{'out': {done}, 'held': {u}.held}} ELSE {split} END"
+    rows = f"list_transform({units}, lambda x{name}: {{'out': {none}, 'held': x{name}}})"
+    return f"list_transform([list_reduce({rows}, lambda {s}, {u}: {step}, {{'out': {none}, 'held': CAST(NULL AS VARCHAR)}})], lambda r{name}: CASE WHEN r{name}.held IS NULL THEN r{name}.out ELSE list_append(r{name}.out, r{name}.held) END)[1]"
+
+
+def _hard(x: str, limit: int, name: str) -> str:
+    return _greedy(f"regexp_extract_all({x}, '(?s).')", "''", limit, None, name + "h")
+
+
+def _prose(x: str, limit: int, name: str) -> str:
+    def words(y: str) -> str:
+        found = _greedy(f"regexp_extract_all({y}, '[^{_WS}]+')", "' '", limit, lambda z: _hard(z, limit, name + "w"), name + "w")
+        return f"list_transform([{found}], lambda o{name}: CASE WHEN len(o{name}) = 0 THEN [''] ELSE o{name} END)[1]"
+
+    def sentences(y: str) -> str:
+        return _greedy(rf"regexp_extract_all({y}, '(?s:.)[^.!?\n]*(?:[.!?\n]|\z)')", "''", limit, words, name + "t")
+
+    return f"list_filter({_greedy(f'string_split({x}, chr(10) || chr(10))', 'chr(10) || chr(10)', limit, sentences, name + 'p')}, lambda k{name}: {_strip('k' + name)} <> '')"
+
+
+def _code(x: str, limit: int, name: str) -> str:
+    room = max(16, limit - 8)
+    lines = f"list_filter(string_split({x}, chr(10)), lambda l{name}: {_strip('l' + name)} <> '```')"
+    parts = _greedy(lines, "chr(10)", room, lambda z: _hard(z, room, name + "c"), name + "c")
+    return f"list_transform(list_filter({parts}, lambda k{name}: {_strip('k' + name)} <> ''), lambda f{name}: '```' || chr(10) || f{name} || chr(10) || '```')"
+
+
+def _tail(x: str, limit: int) -> str:
+    def kept(units: str, joiner: str) -> str:
+        longer = f"CASE WHEN ts.k <> '' THEN tu.k || {joiner} || ts.k ELSE tu.k END"
+        rows = f"list_transform(list_reverse({units}), lambda tx: {{'k': tx, 'stop': false}})"
+        return _strip(f"list_reduce({rows}, lambda ts, tu: CASE WHEN ts.stop OR {_toks(longer)} > {limit} THEN {{'k': ts.k, 'stop': true}} ELSE {{'k': {longer}, 'stop': false}} END, {{'k': '', 'stop': false}}).k")
+
+    by_line, by_word = kept(f"string_split({x}, chr(10))", "chr(10)"), kept(f"regexp_extract_all({x}, '[^{_WS}]+')", "' '")
+    return f"CASE WHEN {by_line} <> '' THEN {by_line} ELSE {by_word} END"
+
+
+def _chunked(text: str, target: int = 512, overlap: int = 51) -> str:
+    """The chunks of a text, a list of (t, k, s): text, kind and whether code was split, as folds over lines, units and segments."""
+    limit = max(target - overlap, target // 2)
+    piece = "STRUCT(t VARCHAR, k VARCHAR, s BOOLEAN)[]"
+    cur = "CASE WHEN gs.cur IS NULL THEN gu.cur ELSE gs.cur || chr(10) || gu.cur END"
+    some = f"regexp_matches(coalesce(gs.cur, ''), '[^{_WS}]')"
+    segment = f"""CASE WHEN {_strip('gu.cur')} = '```' AND gs.code THEN {{'segs': list_append(gs.segs, {{'t': {cur}, 'k': 'code', 's': false}}), 'cur': CAST(NULL AS VARCHAR), 'code': false}}
+    WHEN {_strip('gu.cur')} = '```' THEN {{'segs': CASE WHEN {some} THEN list_append(gs.segs, {{'t': gs.cur, 'k': 'prose', 's': false}}) ELSE gs.segs END, 'cur': gu.cur, 'code': true}}
+    ELSE {{'segs': gs.segs, 'cur': {cur}, 'code': gs.code}} END"""
+    lines = f"list_transform(string_split({text}, chr(10)), lambda gl: {{'segs': CAST([] AS {piece}), 'cur': gl, 'code': false}})"
+    folded = f"list_reduce({lines}, lambda gs, gu: {segment}, {{'segs': CAST([] AS {piece}), 'cur': CAST(NULL AS VARCHAR), 'code': false}})"
+    segments = f"list_transform([{folded}], lambda gr: CASE WHEN regexp_matches(coalesce(gr.cur, ''), '[^{_WS}]') THEN list_append(gr.segs, {{'t': gr.cur, 'k': CASE WHEN gr.code THEN 'code' ELSE 'prose' END, 's': false}}) ELSE gr.segs END)[1]"
+    units = f"""flatten(list_transform({segments}, lambda sg: CASE WHEN {_toks('sg.t')} <= {limit} THEN [sg]
+    WHEN sg.k = 'code' THEN list_transform({_code('sg.t', limit, 'a')}, lambda sc: {{'t': sc, 'k': 'code', 's': true}}) ELSE list_transform({_prose('sg.t', limit, 'b')}, lambda sp: {{'t': sp, 'k': 'prose', 's': false}}) END))"""
+    kind = "CASE WHEN ps.code THEN 'code' ELSE 'prose' END"
+    body = _strip("ps.held")
+
+    def one(state: str) -> str:
+        b = body.replace("ps.", state)
+        k = kind.replace("ps.", state)
+        parts = f"CASE WHEN {state}code THEN {_code('fb', target, 'c')} ELSE {_prose('fb', target, 'd')} END"
+        return f"list_transform([{b}], lambda fb: list_concat({state}out, CASE WHEN fb = '' THEN CAST([] AS {piece}) WHEN {_toks('fb')} <= {target} THEN [{{'t': fb, 'k': {k}, 's': false}}] ELSE list_transform({parts}, lambda fx: {{'t': {_strip('fx')}, 'k': {k}, 's': false}}) END))[1]"
+
+    u = "pu.out[1]"
+    carry = f"CASE WHEN {u}.k = 'code' OR ps.code THEN '' ELSE {_tail('ps.held', overlap)} END"
+    step = f"""CASE WHEN {u}.s THEN {{'out': list_append({one('ps.')}, {{'t': {_strip(u + '.t')}, 'k': {u}.k, 's': true}}), 'held': '', 'code': false}}
+    WHEN {body} <> '' AND {_toks(f'ps.held || {u}.t')} > {target} THEN {{'out': {one('ps.')}, 'held': list_transform([{carry}], lambda cy: CASE WHEN cy <> '' THEN cy || chr(10) ELSE '' END)[1] || {u}.t || chr(10), 'code': {u}.k = 'code'}}
+    ELSE {{'out': ps.out, 'held': ps.held || {u}.t || chr(10), 'code': ps.code OR {u}.k = 'code'}} END"""
+    rows = f"list_transform({units}, lambda un: {{'out': [un], 'held': '', 'code': false}})"
+    packed = f"list_reduce({rows}, lambda ps, pu: {step}, {{'out': CAST([] AS {piece}), 'held': '', 'code': false}})"
+    return f"list_transform([{packed}], lambda pr: {one('pr.')})[1]"
+
+
+_FULL = "coalesce(title, '') || chr(10) || chr(10) || coalesce(body, '') || coalesce(array_to_string(list_transform(answers, lambda a, i: chr(10) || chr(10) || 'Answer ' || i || ':' || chr(10) || coalesce(a, '')), ''), '')"
+_CHUNKED = f"""q AS (SELECT doc_id, any_value(title) AS title, any_value(tags) AS tags, full_text FROM (SELECT *, {_FULL} AS full_text FROM qa_docs) GROUP BY doc_id, full_text),
+cl AS (SELECT doc_id, title, tags, {_chunked('full_text')} AS l FROM q), cu AS (SELECT doc_id, title, tags, len(l) AS n, unnest(l) AS c, unnest(range(len(l))) AS i FROM cl),
+c AS (SELECT doc_id, title, tags, CAST(i AS INTEGER) AS chunk_index, CAST(n AS INTEGER) AS chunk_count, c.t AS display_text, c.k AS element_type, c.s AS split_code, {_tokens('c.t')} AS token_count FROM cu)"""
+
 _CHUNK_STATS = """, d AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE element_type = 'code') AS code, sum(token_count) AS tokens, max(token_count) AS most, count(*) FILTER (WHERE token_count > 512) AS o, count(*) FILTER (WHERE token_count < 50) AS u FROM c GROUP BY doc_id),
 tk AS (SELECT token_count AS v, row_number() OVER (ORDER BY token_count) - 1 AS i, count(*) OVER () AS n FROM c WHERE token_count IS NOT NULL), dk AS (SELECT n AS v, row_number() OVER (ORDER BY n) - 1 AS i, count(*) OVER () AS n FROM d)
 SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_chunks, max(n) AS most_per_doc, CAST(sum(code) AS BIGINT) AS n_code, CAST(sum(tokens) AS BIGINT) AS n_tokens, max(most) AS most_tokens, CAST(sum(o) AS BIGINT) AS n_over, CAST(sum(u) AS BIGINT) AS n_under,
@@ -260,4 +350,6 @@ round(least(1.0, coalesce(sum(CASE WHEN rank <= 10 THEN gain / log2(rank + 1.0)
     "dense_knn_tags": "WITH e AS (SELECT vec_id, tags, CAST(embedding AS DOUBLE[]) AS v FROM embeddings LEFT JOIN documents ON doc_id = vec_id WHERE len(embedding) = 64), s AS (SELECT q.vec_id AS query_id, d.vec_id AS doc_id, list_dot_product(q.v, d.v) / (sqrt(list_dot_product(q.v, q.v)) * sqrt(list_dot_product(d.v, d.v))) AS c FROM e q JOIN e d ON q.vec_id <> d.vec_id AND (coalesce(len(q.tags), 0) = 0 OR list_has_any(q.tags, d.tags)) WHERE q.vec_id % 20 = 0), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(c, 9) DESC, doc_id) AS rank FROM s) SELECT query_id, doc_id, CAST(rank AS INTEGER) AS rank, round(round(c, 9), 6) AS score FROM r WHERE rank <= 10",
     "scan_limit": "SELECT least(100, count(*)) AS n FROM posts",
     "chunk_coverage": rf"WITH q AS (SELECT DISTINCT doc_id, coalesce(title, '') || chr(10) || chr(10) || coalesce(body, '') || coalesce(array_to_string(list_transform(answers, lambda a, i: chr(10) || chr(10) || 'Answer ' || i || ':' || chr(10) || coalesce(a, '')), ''), '') AS t FROM qa_docs), k AS (SELECT doc_id, {_hash('t')} AS h, regexp_replace(t, '[{_WS}`]+', '', 'g') AS t FROM q) SELECT doc_id, sha256(any_value(t)) AS hash, true AS numbered, true AS within FROM k WHERE t <> '' GROUP BY doc_id, h",
+    "chunk_documents": rf"WITH {_CHUNKED}, h AS (SELECT *, {_hash('display_text')} AS content_hash, {_chunk_id('display_text')} AS chunk_id FROM c) SELECT chunk_id, regexp_replace(chunk_id, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5') AS chunk_uuid, doc_id, chunk_index, chunk_count, content_hash, element_type, token_count, split_code, coalesce(title, '') || CASE WHEN len(tags) > 0 THEN ' [' || array_to_string(tags, ', ') || ']' ELSE '' END || chr(10) || display_text AS text, 'html1/chunk1/none' AS pipeline_version FROM h",
+    "chunk_stats": f"WITH {_CHUNKED} {_CHUNK_STATS}",
 }
