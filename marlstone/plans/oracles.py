@@ -352,4 +352,11 @@ round(least(1.0, coalesce(sum(CASE WHEN rank <= 10 THEN gain / log2(rank + 1.0)
     "chunk_coverage": rf"WITH q AS (SELECT DISTINCT doc_id, coalesce(title, '') || chr(10) || chr(10) || coalesce(body, '') || coalesce(array_to_string(list_transform(answers, lambda a, i: chr(10) || chr(10) || 'Answer ' || i || ':' || chr(10) || coalesce(a, '')), ''), '') AS t FROM qa_docs), k AS (SELECT doc_id, {_hash('t')} AS h, regexp_replace(t, '[{_WS}`]+', '', 'g') AS t FROM q) SELECT doc_id, sha256(any_value(t)) AS hash, true AS numbered, true AS within FROM k WHERE t <> '' GROUP BY doc_id, h",
     "chunk_documents": rf"WITH {_CHUNKED}, h AS (SELECT *, {_hash('display_text')} AS content_hash, {_chunk_id('display_text')} AS chunk_id FROM c) SELECT chunk_id, regexp_replace(chunk_id, '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\1-\2-\3-\4-\5') AS chunk_uuid, doc_id, chunk_index, chunk_count, content_hash, element_type, token_count, split_code, coalesce(title, '') || CASE WHEN len(tags) > 0 THEN ' [' || array_to_string(tags, ', ') || ']' ELSE '' END || chr(10) || display_text AS text, 'html1/chunk1/none' AS pipeline_version FROM h",
     "chunk_stats": f"WITH {_CHUNKED} {_CHUNK_STATS}",
+    "links_fingerprint": "SELECT count(*) AS n_rows, CAST(sum(CAST(CAST('0x' || substr(md5(concat_ws('|', coalesce('=' || id, '~'), coalesce('=' || post_id, '~'), coalesce('=' || related_post_id, '~'), coalesce('=' || link_type_id, '~'), coalesce('=' || creation_date, '~'))), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS fingerprint FROM post_links",
+    "slo_budgets": _LATENCY + ", b AS (SELECT * FROM (VALUES ('click', 150), ('error', 60), ('view', 90)) AS t(name, budget)) SELECT name, CAST(budget AS DOUBLE) AS budget, true AS lower_is_better, p95_ms AS measured, p95_ms <= budget AS passed, round((budget - p95_ms) / budget, 6) AS headroom, p95_ms <= budget AND round((budget - p95_ms) / budget, 6) < 0.1 AS tight FROM b JOIN lat ON lat.stage = b.name",
+    "embedded_documents": rf"WITH x AS (SELECT doc_id, CASE WHEN regexp_matches(coalesce(text, ''), '[^{_WS}\x1c-\x1f]') THEN 'Represent this sentence for searching relevant passages: ' || text END AS t FROM documents) SELECT doc_id, CAST(length(t) AS DOUBLE) AS n_chars, CAST(length(t) - length(replace(t, ' ', '')) AS DOUBLE) AS n_blanks, CAST(length(t) - length(replace(t, chr(10), '')) AS DOUBLE) AS n_lines FROM x",
+    "streamed_documents": rf"SELECT DISTINCT id AS doc_id, 'public' AS tenant_id, true AS once FROM posts WHERE post_type_id = 1 AND regexp_matches(coalesce(title, '') || coalesce({_clean('body')}, ''), '[^{_WS}]')",
+    "cache_streamed": _OUTCOMES.replace("WHERE seq % 20 = 0", "WHERE e.inserted_at IS NOT NULL").replace("WHERE a.seq % 20 = 0 AND", "WHERE") + " SELECT query_id, tenant, outcome, CASE WHEN outcome = 'semantic' THEN near_seq ELSE exact_seq END AS hit_seq, CASE WHEN outcome = 'semantic' THEN s END AS similarity, refused FROM o",
+    "cache_exact_streamed": f"WITH {_ENTRIES}, k AS (SELECT seq, lag(seq) OVER (PARTITION BY {_KEY} ORDER BY seq) AS hit_seq FROM e WHERE tenant IS NOT NULL AND query IS NOT NULL) SELECT seq, CASE WHEN hit_seq IS NULL THEN 'miss' ELSE 'exact' END AS outcome, hit_seq FROM k",
+    "load_lines": "WITH x AS (SELECT event_type, (event_id % 13) * 5000 AS delay, CASE WHEN event_id % 50 <> 0 THEN CAST(floor(value * 1000) AS BIGINT) END AS good FROM events), r AS (SELECT event_type, count(*) AS n, quantile_disc(good + delay, 0.95) / 1000 AS c, quantile_disc(good, 0.95) / 1000 AS b, max(delay) / 1000 AS d, 100 * round((count(*) - count(good)) / count(*), 6) AS e FROM x GROUP BY event_type) SELECT event_type, printf('n=%-6d err %5.2f%%  corrected p95 %8.2f ms  naive p95 %8.2f ms  max delay %8.2f ms', n, e, c, b, d) || CASE WHEN d > 50 THEN '  << fell behind' ELSE '' END AS line FROM r",
 }

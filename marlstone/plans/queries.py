@@ -589,6 +589,65 @@ def scan_limit(spark, sf_dir):
     return xml.read_posts(spark, path, 100).agg(F.count(F.lit(1)).alias("n"))
 
 
+def links_fingerprint(spark, sf_dir):
+    return tables.fingerprint(table(spark, sf_dir, "post_links").select("id", "post_id", "related_post_id", "link_type_id", "creation_date"))
+
+
+def slo_budgets(spark, sf_dir):
+    """Declared budgets of some stages against what was measured; a stage without budget isn't checked."""
+    declared = measures.budgets(spark, {"click": (150.0, True), "error": (60.0, True), "view": (90.0, True), "none": (1.0, False)})
+    measured = latency_percentiles(spark, sf_dir).select(F.col("stage").alias("name"), F.col("p95_ms").alias("measured"))
+    return measures.budget_checks(declared.join(measured, "name"))
+
+
+def embedded_documents(spark, sf_dir):
+    """Vectors of an encoder that counts characters, blanks and line feeds, of texts with an encoder's query prefix."""
+
+    def encode(texts: list[str]) -> list[list[float]]:
+        return [[float(len(t)), float(t.count(" ")), float(t.count("\n"))] for t in texts]
+
+    e = tables.embed(table(spark, sf_dir, "documents"), "doc_id", "text", encode, tables.query_prefix("bge-small-en-v1.5"), dim=3)
+    return e.select("doc_id", *[F.col("embedding")[i].cast("double").alias(c) for i, c in enumerate(("n_chars", "n_blanks", "n_lines"))])
+
+
+def _finished(query) -> None:
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
+def streamed_documents(spark, sf_dir):
+    """Posts streamed into a chunk index, the whole stream twice: which documents it has, and that no chunk is there twice."""
+    path = _scratch(spark)
+    source = table(spark, sf_dir, "posts")
+    for k in range(2):
+        stream = spark.readStream.schema(source.schema).parquet(f"{sf_dir}/posts.parquet*")
+        _finished(ingest.ingest_stream(stream, f"{path}/index", f"{path}/checkpoint{k}"))
+    index = spark.read.parquet(f"{path}/index")
+    return index.groupBy("doc_id", "tenant_id").agg((F.count(F.lit(1)) == F.countDistinct("chunk_id")).alias("once"))
+
+
+def cache_streamed(spark, sf_dir):
+    """All entries as a stream of requests in three batches, in the order of their times, against both levels of the cache."""
+    path = _scratch(spark)
+    entries = caching.distinct_entries(table(spark, sf_dir, "cache_entries")).filter("inserted_at IS NOT NULL")
+    # a few files in the order of time, one a batch
+    entries.repartitionByRange(3, "inserted_at").write.parquet(f"{path}/requests")
+    stream = spark.readStream.schema(spark.read.parquet(f"{path}/requests").schema).parquet(f"{path}/requests")
+    _finished(ingest.cached_answers(stream, f"{path}/store", f"{path}/outcomes", f"{path}/checkpoint", DIM, C.first_match(F.col("query"), RULES).isNull()))
+    return spark.read.parquet(f"{path}/outcomes").drop("batch")
+
+
+def cache_exact_streamed(spark, sf_dir):
+    """The exact level alone, kept as state by key, over a stream of all entries."""
+    path = _scratch(spark)
+    entries = caching.distinct_entries(table(spark, sf_dir, "cache_entries")).select("seq", "tenant", "query")
+    entries.write.parquet(f"{path}/requests")
+    stream = spark.readStream.schema(entries.schema).parquet(f"{path}/requests")
+    _finished(ingest.cache_stream(stream).writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start())
+    return spark.read.parquet(f"{path}/out")
+
+
 def chunk_coverage(spark, sf_dir):
     """What chunks without overlap keep of each document: its characters other than white space and ticks, in order, and whether any chunk is over the limit or out of order."""
     chunks = chunking.chunk_documents(_qa_docs(spark, sf_dir), overlap=0, contextualize=False)
@@ -635,6 +694,7 @@ QUERIES = {f.__name__: f for f in (
     query_vectors, distinct_documents, degraded_answers, render_sources, cited_sources, tier_zero_answers, cost_benchmark, cache_outcomes, request_costs, cost_projection, cache_breakeven, record_totals,
     record_attributes, cost_histogram, stage_histogram, token_usage, rate_ratios, slo_summary, load_schedule, load_lines, decode_rate, affordable_context, encoder_sweep, ingest_projection, stage_windows,
     posts_xml, links_xml, index_upsert, term_stats_saved, golden_saved, sparse_attached, sse_completions, pipeline_tags, dense_knn_tags, scan_limit, chunk_coverage,
+    links_fingerprint, slo_budgets, embedded_documents, streamed_documents, cache_streamed, cache_exact_streamed,
 )}
 
 from marlstone.plans.oracles import ORACLE  # noqa: E402, F401
