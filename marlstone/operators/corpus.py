@@ -22,7 +22,7 @@ def scan_stats(posts: DataFrame) -> DataFrame:
     )
     # the few columns are read a second time, for the tags alone
     tags = posts.select(F.explode(parse_tags(F.col("tags"))).alias("tag")).agg(F.countDistinct("tag").alias("distinct_tags"))
-    return flat.crossJoin(F.broadcast(tags))
+    return flat.withColumn("distinct_tags", tags.scalar())
 
 
 def tag_histogram(posts: DataFrame, n: int | None = None) -> DataFrame:
@@ -78,11 +78,12 @@ def chunk_stats(chunks: DataFrame, limit: int = 512, small: int = 50, dim: int =
     )
     percent = {f"pct_{c}": F.round(100.0 * F.col(f"n_{c}") / F.greatest(F.col("n_chunks"), F.lit(1)), 3) for c in ("code", "over", "under")}
     sizes = {"float_bytes": F.col("n_chunks") * dim * FLOAT_BYTES, "byte_bytes": F.col("n_chunks") * dim, "graph_bytes": F.col("n_chunks") * GRAPH_BYTES, "resident_bytes": F.col("n_chunks") * (dim + GRAPH_BYTES)}
-    return total.withColumns(percent | sizes).crossJoin(F.broadcast(_percentiles(chunks, "token_count", "tokens"))).crossJoin(F.broadcast(_percentiles(per_doc, "n", "per_doc")))
+    ranks = {"_t": _percentiles(chunks, "token_count", "tokens").scalar(), "_d": _percentiles(per_doc, "n", "per_doc").scalar()}
+    return total.withColumns(percent | sizes | ranks).select("*", "_t.*", "_d.*").drop("_t", "_d")
 
 
 def _percentiles(df: DataFrame, value: str, name: str) -> DataFrame:
-    """One row p50_name, p95_name, p99_name: null without values."""
+    """One row of a struct (p50_name, p95_name, p99_name): null without values."""
     counts = df.filter(F.col(value).isNotNull()).groupBy(value).agg(F.count(F.lit(1)).alias("c"))
     ranked = counts.withColumn("upto", F.sum("c").over(Window.orderBy(value))).withColumn("total", F.sum("c").over(Window.partitionBy()))
-    return ranked.agg(*[F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) * q), F.col(value))).alias(f"p{round(q * 100):d}_{name}") for q in (0.5, 0.95, 0.99)])
+    return ranked.agg(F.struct(*[F.min(F.when(F.col("upto") > F.floor((F.col("total") - 1) * q), F.col(value))).alias(f"p{round(q * 100):d}_{name}") for q in (0.5, 0.95, 0.99)]).alias("p"))

@@ -92,7 +92,7 @@ def load_report(samples: DataFrame, by: list[str]) -> DataFrame:
     out = s.groupBy(*by).agg(F.count(F.lit(1)).alias("sent"), F.round(F.max("delay") / 1000, 6).alias("max_delay_ms"), (F.max("delay") > 50000).alias("fell_behind"), F.round(F.count_if(~F.col("ok")) / F.count(F.lit(1)), 6).alias("error_rate"))
     for c, x in zip(("corrected", "good"), p95, strict=True):
         same = [out[b].eqNullSafe(x[f"_{c}_{b}"]) for b in by]
-        out = out.join(F.broadcast(x), reduce(Column.__and__, same)).drop(*[f"_{c}_{b}" for b in by])
+        out = out.join(x, reduce(Column.__and__, same)).drop(*[f"_{c}_{b}" for b in by])
     return out
 
 
@@ -225,9 +225,9 @@ def cold_and_warm(requests: DataFrame, prices: DataFrame, rules: list[tuple[str,
 def ingest_projection(measured: DataFrame, tokens: int, n_chunks: dict[str, int]) -> DataFrame:
     """(label, n_chunks, configuration, per_second, hours): of measurements (configuration, tokens, n, seconds) the fastest at the length that occurs, and what it takes for so many chunks."""
     rate = measured.filter((F.col("tokens") == tokens) & (F.col("seconds") > 0)).select("configuration", (F.col("n") / F.col("seconds")).alias("per_second"))
-    best = rate.orderBy(F.desc("per_second"), "configuration").limit(1)
+    best = rate.orderBy(F.desc("per_second"), "configuration").limit(1).select(F.struct("configuration", "per_second").alias("b"))
     wanted = measured.sparkSession.createDataFrame(list(n_chunks.items()), "label string, n_chunks bigint")
-    return wanted.crossJoin(F.broadcast(best)).withColumn("hours", F.col("n_chunks") / F.col("per_second") / 3600)
+    return wanted.withColumn("b", best.scalar()).select("label", "n_chunks", "b.*").withColumn("hours", F.col("n_chunks") / F.col("per_second") / 3600)
 
 
 def sweep(samples: DataFrame, by: list[str], micros: str) -> DataFrame:

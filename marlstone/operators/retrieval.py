@@ -36,15 +36,14 @@ def idf(df: Column, doc_count: Column) -> Column:
 
 
 def bm25_idf(docs: DataFrame, terms: str) -> DataFrame:
-    return document_frequencies(docs, terms).crossJoin(F.broadcast(bm25_stats(docs, terms))).select("term", "df", idf(F.col("df"), F.col("doc_count")).alias("idf"))
+    return document_frequencies(docs, terms).select("term", "df", idf(F.col("df"), docs.agg(F.count(F.lit(1))).scalar()).alias("idf"))
 
 
 def bm25_vectors(docs: DataFrame, key: str, terms: str) -> DataFrame:
     """(key, term, tf, weight): saturated, length-normalised term frequencies. The inverse document frequency is the query's part, so a grown corpus leaves them as they are but for the average length."""
-    stats = F.broadcast(bm25_stats(docs, terms).select("avg_len"))
     tf = docs.select(key, F.size(terms).alias("len"), F.explode(terms).alias("term")).groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
-    return tf.crossJoin(stats).select(key, "term", "tf", weight.alias("weight"))
+    weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / bm25_stats(docs, terms).select("avg_len").scalar()))
+    return tf.select(key, "term", "tf", weight.alias("weight"))
 
 
 class _Top:
@@ -128,8 +127,8 @@ def sparse_search(queries: DataFrame, docs: DataFrame, k: int, query_rows: int =
 def query_vector(queries: DataFrame, frequencies: DataFrame, stats: DataFrame) -> DataFrame:
     """(query_id, term, weight): the distinct terms of queries (query_id, terms) with their inverse document frequency by (term, df) and (doc_count); unseen terms have df 0."""
     wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
-    known = wanted.join(frequencies.select("term", "df"), "term", "left").crossJoin(F.broadcast(stats.select("doc_count")))
-    return known.select("query_id", "term", idf(F.coalesce("df", F.lit(0)), F.col("doc_count")).alias("weight"))
+    known = wanted.join(frequencies.select("term", "df"), "term", "left")
+    return known.select("query_id", "term", idf(F.coalesce("df", F.lit(0)), stats.select("doc_count").scalar()).alias("weight"))
 
 
 def _sparse_task(index, k: int, avg_len: float) -> Callable:

@@ -17,9 +17,8 @@ def salted_join(big: DataFrame, small: DataFrame, key: str, how: str = "left", m
     executor mustn't change.
     """
     counts = big.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n").alias("_total"))
-    parts = F.ceil(F.col("_n") * max_hot / F.col("_total")).cast("int")
-    hot = counts.crossJoin(F.broadcast(total)).filter(F.col("_n") * max_hot > F.col("_total")).select(key, parts.alias("_parts"))
+    parts = F.ceil(F.col("_n") * max_hot / counts.agg(F.sum("_n")).scalar()).cast("int")
+    hot = counts.select(key, parts.alias("_parts")).filter("_parts > 1")
     left = big.join(F.broadcast(hot), key, "left").withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
     right = small.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return left.join(right, [key, "_salt"], how).drop("_salt")

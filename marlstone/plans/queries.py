@@ -533,7 +533,7 @@ def term_stats_saved(spark, sf_dir):
     docs = materialise(_terms(spark, sf_dir))
     tables.save_term_stats(retrieval.document_frequencies(docs, "terms"), retrieval.bm25_stats(docs, "terms"), path)
     frequencies, stats = tables.load_term_stats(spark, path)
-    return frequencies.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("sum_df"), F.max("df").alias("max_df")).crossJoin(stats.select("doc_count", "total_len"))
+    return frequencies.agg(F.count(F.lit(1)).alias("n_terms"), F.sum("df").alias("sum_df"), F.max("df").alias("max_df")).withColumns({c: stats.select(c).scalar() for c in ("doc_count", "total_len")})
 
 
 def golden_saved(spark, sf_dir):
