@@ -30,9 +30,10 @@ def item_ranges(df: DataFrame, name: str, key: str, text: str, max_tokens: int =
     listed = own.withColumn("r", F.explode(F.sequence(F.lit(0), (F.ceil(F.col("n_bytes") / range_bytes) - 1).cast("int")))).withColumn("low", F.col("r").cast("bigint") * range_bytes)
     begin = F.greatest(F.col("low") - halo, F.lit(0)).cast("int")
     cut = listed.select("item_table", "item_id", "version", "n_bytes", "r", "low", F.substring("raw", begin + 1, (F.col("low") - begin + range_bytes + halo).cast("int")).alias("data"))
-    # items of one range stay where they are, the ranges of larger ones are spread
+    # items of one range stay where they are, the ranges of larger ones are spread; a number of their own keeps them apart however small they are
     one = F.col("n_bytes") <= range_bytes
-    return cut.filter(one).unionByName(cut.filter(~one).repartition("item_table", "item_id", "version", "r"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return cut.filter(one).unionByName(cut.filter(~one).repartition(tasks, "item_table", "item_id", "version", "r"))
 
 
 def file_ranges(spark: SparkSession, paths: list[str], max_tokens: int = MAX_TOKENS, range_bytes: int = RANGE_BYTES) -> DataFrame:

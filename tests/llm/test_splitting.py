@@ -3,6 +3,7 @@ import random
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from marlstone.llm.splitting import cut_levels, file_ranges, item_ranges, split_oversized
 
@@ -53,6 +54,13 @@ def test_files_are_cut_like_texts(spark, tmp_path):
     assert "".join(p["text"].encode()[p["overlap_bytes"] :].decode() for p in pieces) == text
 
 
+def test_ranges_of_a_giant_item_are_spread(spark):
+    giant = spark.createDataFrame([(1, "word " * 1_600_000)], "k bigint, body string")
+    ranges = item_ranges(giant, "t", "k", "body")
+    parts = ranges.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert ranges.count() == 123 and parts > 1
+
+
 def test_empty(spark):
     none = item_ranges(spark.createDataFrame([], "k bigint, body string"), "t", "k", "body")
     assert cut_levels(none).count() == 0 and split_oversized(none).count() == 0
