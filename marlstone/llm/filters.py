@@ -82,7 +82,7 @@ def build_bytes(df: DataFrame, size: int, add: Callable[[np.ndarray, pa.RecordBa
             yield pa.RecordBatch.from_arrays([pa.array([at], pa.int64()), pa.array([pa.compress(part, "zstd", asbytes=True)], pa.binary())], names=["at", "data"])
 
     out = np.zeros(size, np.uint8)
-    for row in df.mapInArrow(run, "at bigint, data binary").repartition("at").mapInArrow(merge, "at bigint, data binary").toLocalIterator():
+    for row in df.mapInArrow(run, "at bigint, data binary").repartition("at").mapInArrow(merge, "at bigint, data binary").collect():
         part = opened(row["at"], row["data"])
         out[row["at"] : row["at"] + len(part)] = part
     return out

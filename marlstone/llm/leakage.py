@@ -44,7 +44,8 @@ class _Words:
         self.texts = [t.lower() for t in texts]
         cps, self.starts = code_points(self.texts)
         self.begin, self.end, self.doc = words(cps, self.starts)
-        self.hash = span_hash(char_prefix(cps), self.begin, self.end)
+        self.prefix = prefix_hash(span_hash(char_prefix(cps), self.begin, self.end))
+        self.held: dict[int, np.ndarray] = {}
 
     def phrase(self, first: int, last: int) -> str:
         """Words first to last, of one text, one blank between them."""
@@ -52,16 +53,27 @@ class _Words:
         return " ".join([text[b - base : e - base] for b, e in zip(self.begin[first : last + 1].tolist(), self.end[first : last + 1].tolist(), strict=True)])
 
 
-def _passages(w: _Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The passages of `size` words that lie in one text: their first words, own hashes, and signatures.
+    def shingles(self, k: int) -> np.ndarray:
+        """Hashes of all runs of k words, in the order that min-hashes go by."""
+        if k not in self.held:
+            self.held[k] = mix(window_hash(self.prefix, k))
+        return self.held[k]
 
-    The signature of a passage is the least hash of its word shingles, and the size class."""
-    k = min(size, SHINGLE)
-    prefix = prefix_hash(w.hash)
-    whole, least = window_hash(prefix, size), _sliding_min(mix(window_hash(prefix, k)), size - k + 1)
-    ok = w.doc[: len(whole)] == w.doc[size - 1 :] if len(whole) else np.zeros(0, bool)
-    at = np.flatnonzero(ok)
-    return at, mix(whole[at] ^ np.uint64(size)), mix(least[at] + np.uint64(size))
+    def passages(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """First words of the passages of `size` words that lie in one text, and the least hash of each one's shingles."""
+        k = min(size, SHINGLE)
+        least = _sliding_min(self.shingles(k), size - k + 1)
+        at = np.flatnonzero(self.doc[: len(least)] == self.doc[size - 1 :]) if len(least) else np.zeros(0, np.int64)
+        return at, least[at]
+
+    def whole(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Own hashes of passages."""
+        return mix(span_hash(self.prefix, at, at + size) ^ np.uint64(size))
+
+
+def _signature(least: np.ndarray, size: int) -> np.ndarray:
+    """Of a passage: the least hash of its shingles, and the size class."""
+    return mix(least + np.uint64(size))
 
 
 def _rows(ids: np.ndarray, w: _Words, size: int, at: np.ndarray, whole: np.ndarray, signature: np.ndarray) -> pa.RecordBatch:
@@ -80,9 +92,10 @@ def _items(batches: Iterator[pa.RecordBatch], passage: int) -> Iterator[pa.Recor
             w = _Words(run)
             own = np.minimum(np.bincount(w.doc, minlength=len(run)), passage)
             for size in np.unique(own[own > 0]).tolist():
-                at, whole, signature = _passages(w, size)
+                at, least = w.passages(size)
                 mine = own[w.doc[at]] == size
-                yield _rows(ids[first:], w, size, at[mine], whole[mine], signature[mine])
+                at, least = at[mine], least[mine]
+                yield _rows(ids[first:], w, size, at, w.whole(at, size), _signature(least, size))
 
 
 def _adder(column: str):
@@ -100,17 +113,22 @@ def _probe(batches: Iterator[pa.RecordBatch], index: Broadcast, sizes: list[int]
         for first, run in chunked(t or "" for t in batch["text"].to_pylist()):
             w = _Words(run)
             for size in sizes:
-                at, whole, signature = _passages(w, size)
+                at, least = w.passages(size)
                 if not len(at):
                     continue
-                # a signature stays the same over many neighbouring passages, so only its changes are looked up
-                change = np.flatnonzero(np.r_[True, signature[1:] != signature[:-1]])
+                # a min-hash stays the same over many neighbouring passages, so only its changes are looked up
+                change = np.flatnonzero(np.r_[True, least[1:] != least[:-1]])
+                signature = _signature(least[change], size)
                 hit = np.zeros(len(change), bool)
-                hit[signatures.find(signature[change])] = True
-                near = np.flatnonzero(np.repeat(hit, np.diff(np.r_[change, len(signature)])))
-                near = near[wholes.find(whole[near])]
-                if len(near):
-                    yield _rows(ids[first:], w, size, at[near], whole[near], signature[near])
+                hit[signatures.find(signature)] = True
+                length = np.diff(np.r_[change, len(least)])
+                near = np.flatnonzero(np.repeat(hit, length))
+                if not len(near):
+                    continue
+                whole = w.whole(at[near], size)
+                some = wholes.find(whole)
+                if len(some):
+                    yield _rows(ids[first:], w, size, at[near[some]], whole[some], np.repeat(signature, length)[near[some]])
 
 
 def leaked_items(documents: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, passage: int = PASSAGE) -> DataFrame:
