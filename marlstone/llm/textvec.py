@@ -130,7 +130,10 @@ def shingles(word_hash: np.ndarray, doc: np.ndarray, k: int) -> tuple[np.ndarray
 
 def distinct_per_text(h: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """The distinct 48-bit hashes of each text, sorted, and where each text's begin (n + 1 entries). n is under 65536, as in the runs of chunked."""
-    key = np.unique((doc.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
+    key = (doc.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16))
+    key.sort()
+    if len(key):
+        key = key[np.r_[True, key[1:] != key[:-1]]]
     if n >= 1 << 16:
         raise ValueError("too many texts at once")
     starts = np.r_[np.searchsorted(key, np.arange(n, dtype=np.uint64) << np.uint64(48)), len(key)]
