@@ -166,7 +166,7 @@ class Frequencies:
 def shingle_frequencies(own: DataFrame, k: int) -> Frequencies:
     """Exact counts, by shuffle of packed keys, of all records' shingles (of keys of so many bits that few collide), put into a table of bounded size."""
     rows = max(1, own.count())
-    bits = min(48, max(24, 16 + 7 + math.ceil(math.log2(rows))))
+    bits = min(48, max(24, 12 + 7 + math.ceil(math.log2(rows))))  # 2**7 shingles a record, 2**12 keys for each
     slices = max(8, math.ceil(rows / (1 << 16)))
     runs = own.mapInArrow(lambda b: _counted(b, k, bits, slices), "slice int, n int, keys binary, counts binary")
     levels = materialise(runs.repartition(slices, "slice").sortWithinPartitions("slice").mapInArrow(_levels, "level int, n bigint, keys binary"))
@@ -230,7 +230,7 @@ def _filed(batches: Iterator[pa.RecordBatch], k: int, threshold: float, known: B
             if frequencies.complete:
                 take &= level > 0  # nobody else has it
             taken = np.flatnonzero(take)
-            of, place, shard = own[taken], place[taken], mix(ordered[taken])
+            of, place, shard = own[taken], place[taken], ordered[taken]
             blocks = np.maximum(1, np.ceil(2.0 ** (level[taken] + 1) / block)).astype(np.int64)
             role = np.zeros(len(taken), np.int64)
             if len(taken) and blocks.max() > 1:
@@ -240,7 +240,7 @@ def _filed(batches: Iterator[pa.RecordBatch], k: int, threshold: float, known: B
                 mine = (mix(set_a[of].view(np.uint64)) % blocks.astype(np.uint64)).astype(np.int64)[repeat]
                 cell = np.where(blocks[repeat] > 1, np.minimum(mine, other) * (1 << 20) + np.maximum(mine, other) + 1, 0)
                 role = np.where(mine == other, 0, np.where(mine < other, 1, 2))
-                of, place, shard = of[repeat], place[repeat], np.where(cell > 0, mix(shard[repeat] ^ cell.astype(np.uint64)), shard[repeat])
+                of, place, shard = of[repeat], place[repeat], np.where(cell > 0, mix(shard[repeat] ^ cell.astype(np.uint64)) >> np.uint64(16), shard[repeat])
             code = pa.array(_code_bytes(values, at, size), pa.binary()).take(pa.array(of))
             facts = size[of] << 32 | place << 2 | role
             yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(facts), pa.array(set_a[of]), code], names=["shard", "facts", "set_a", "code"])
