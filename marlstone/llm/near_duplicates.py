@@ -23,7 +23,7 @@ from marlstone.operators.skew import salted_join
 from marlstone.runtime import materialise
 
 #: 64-bit words of a code in the trees; the codes themselves have that many, or two or four times as many for larger sets.
-WORDS = 4
+WORDS = 3
 #: Codes that one tree should hold; a shard with more is cut into several trees, each probed by the whole shard.
 BLOCK = 1 << 14
 #: Bytes of the table that knows how frequent shingles are: 64 MB at most. It changes the work only, never the pairs.
@@ -183,25 +183,24 @@ def shingle_frequencies(own: DataFrame, k: int) -> Frequencies:
     return Frequencies(build_bytes(levels.filter(F.col("level") >= least), size, _add_levels, np.maximum), bits, not sizes or least == min(sizes))
 
 
-def _codes(values: np.ndarray, at: np.ndarray, words: int) -> np.ndarray:
-    """So many 64-bit words of each set, every shingle toggling one bit: codes never differ in more bits than the sets in shingles.
+def _rest_codes(ordered: np.ndarray, last: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[bytes]:
+    """Codes of what sets have after a place: of the shingles behind at, up to their set's last one, each toggling one bit.
 
-    Longer codes fold into shorter ones, halves xor-ed."""
-    x = mix(values ^ np.uint64(0x5851F42D4C957F2D))
-    bit, word = np.uint64(1) << (x & np.uint64(63)), (x >> np.uint64(6)) % np.uint64(words)
-    return np.stack([np.bitwise_xor.reduceat(np.where(word == w, bit, np.uint64(0)), at) for w in range(words)], axis=1)
-
-
-def _code_bytes(values: np.ndarray, at: np.ndarray, size: np.ndarray) -> list[bytes]:
-    """Each set's code, with two to four bits a shingle for sets of up to 512."""
+    Codes never differ in more bits than the shingles they stand for. They have 192 bits for sets of up to 192 shingles, 384
+    for up to 384, else 768, and longer ones fold into shorter ones, halves xor-ed."""
     out = np.empty(len(at), object)
-    words = np.where(size <= 32 * WORDS, WORDS, np.where(size <= 64 * WORDS, 2 * WORDS, 4 * WORDS))
+    words = np.where(size <= 64 * WORDS, WORDS, np.where(size <= 128 * WORDS, 2 * WORDS, 4 * WORDS))
+    x = mix(ordered ^ np.uint64(0x5851F42D4C957F2D))
+    bit = np.uint64(1) << (x & np.uint64(63))
     for w in np.unique(words).tolist():
         own = np.flatnonzero(words == w)
-        n = size[own]
-        total = np.cumsum(n)
-        code = _codes(values[np.repeat(at[own] - (total - n), n) + np.arange(int(total[-1]))], total - n, w)
-        out[own] = [row.tobytes() for row in code]
+        code = np.empty((len(own), w), np.uint64)
+        word = (x >> np.uint64(6)) % np.uint64(w)
+        for i in range(w):
+            upto = np.bitwise_xor.accumulate(np.where(word == i, bit, np.uint64(0)))
+            code[:, i] = upto[last[own]] ^ upto[at[own]]
+        data = code.tobytes()
+        out[own] = [data[i : i + 8 * w] for i in range(0, len(data), 8 * w)]
     return out.tolist()
 
 
@@ -209,7 +208,8 @@ def _filed(batches: Iterator[pa.RecordBatch], k: int, threshold: float, known: B
     """Each set under the shingles of its prefix that other records have as well; equal sets of a run once.
 
     A shard that may hold more than `block` codes is a triangle of cells: a set's own block is the tree of one cell with
-    each other block's probes. facts: the set's size, the shingle's place in it, and its role: 0 both, 1 tree, 2 probe."""
+    each other block's probes. facts: the set's size, the shingle's place in it, and its role: 0 both, 1 tree, 2 probe. The
+    code is that of the shingles after the place."""
     frequencies = known.value
     for batch in batches:
         for _, _, values, starts in _shingle_sets(batch, k):
@@ -241,7 +241,9 @@ def _filed(batches: Iterator[pa.RecordBatch], k: int, threshold: float, known: B
                 cell = np.where(blocks[repeat] > 1, np.minimum(mine, other) * (1 << 20) + np.maximum(mine, other) + 1, 0)
                 role = np.where(mine == other, 0, np.where(mine < other, 1, 2))
                 of, place, shard = of[repeat], place[repeat], np.where(cell > 0, mix(shard[repeat] ^ cell.astype(np.uint64)) >> np.uint64(16), shard[repeat])
-            code = pa.array(_code_bytes(values, at, size), pa.binary()).take(pa.array(of))
+            code = pa.array(_rest_codes(ordered, (at + size - 1)[own[taken]], taken, size[own[taken]]), pa.binary())
+            if len(of) > len(taken):
+                code = code.take(pa.array(repeat))
             facts = size[of] << 32 | place << 2 | role
             yield pa.RecordBatch.from_arrays([pa.array(shard.view(np.int64)), pa.array(facts), pa.array(set_a[of]), code], names=["shard", "facts", "set_a", "code"])
 
@@ -273,13 +275,16 @@ class _Codes:
         return out
 
 
-def _radius(size: np.ndarray, place: np.ndarray, largest: np.ndarray, threshold: float) -> np.ndarray:
-    """How far, in shingles, the partners of a probe of this size may be that are no larger than `largest`; -1 if none can be similar.
+def _radius(size: np.ndarray, place: np.ndarray, largest: np.ndarray, least_place: np.ndarray, threshold: float) -> np.ndarray:
+    """How far, in shingles after the shard's, the partners of a probe may be that are no larger than `largest`; -1 if none can be similar.
 
-    They share nothing before the probe's place, so what is left must be enough for the overlap: that bounds their size."""
+    A pair is looked for in the shard of the first shingle that both sets have, so they differ in all that either has
+    before it: the probe's place and the partner's, which is `least_place` at least. What is left must be enough for the
+    overlap, which bounds the partner's size, and the difference that remains to the threshold is the radius."""
     room = np.floor((size - place) * ((1 + threshold) / threshold) - size + 1e-9)
     most = np.minimum(np.minimum(largest, np.floor(size / threshold + 1e-9)), room)
-    return np.where(most >= size * threshold - 1e-9, np.floor((size + most) * ((1 - threshold) / (1 + threshold)) + 1e-9), -1).astype(np.int64)
+    rest = np.floor((size + most) * ((1 - threshold) / (1 + threshold)) + 1e-9) - place - least_place
+    return np.where(most >= size * threshold - 1e-9, np.maximum(rest, -1), -1).astype(np.int64)
 
 
 def search_shards(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray, int, int]:
@@ -291,7 +296,10 @@ def search_shards(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray
     number = np.cumsum(np.r_[0, shard[1:] != shard[:-1]])
     tree, probe = np.flatnonzero(role != 2), np.flatnonzero(role != 1)
     # in a tree's own cell the larger set of a pair asks; a probe from another block asks for both
-    radius = _radius(size[probe], place[probe], np.where(role[probe] == 0, size[probe], 1 << 40), threshold)
+    least_place = np.full(int(number[-1]) + 1 if len(number) else 0, 1 << 40)
+    np.minimum.at(least_place, number[tree], place[tree])
+    radius = _radius(size[probe], place[probe], np.where(role[probe] == 0, size[probe], 1 << 40), least_place[number[probe]], threshold)
+    nodes = int(np.bincount(number[tree], minlength=len(least_place))[number[probe]].sum())
     probe, radius = probe[radius >= 0], radius[radius >= 0]
     forest = BKForest(number[tree], codes.folded[1][tree])
     a, b = [], []
@@ -303,14 +311,13 @@ def search_shards(t: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray
         left = np.minimum(size[q] - place[q], size[node] - place[node])
         ok = (np.minimum(size[q], size[node]) >= np.maximum(size[q], size[node]) * threshold - 1e-9) & (left >= np.ceil(both * (threshold / (1 + threshold)) - 1e-9))
         q, node, both = q[ok], node[ok], both[ok]
-        ok = codes.distance(q, node) <= both * ((1 - threshold) / (1 + threshold)) + 1e-9
+        ok = codes.distance(q, node) <= both * ((1 - threshold) / (1 + threshold)) + 1e-9 - place[q] - place[node]
         x, y = sets[q[ok]], sets[node[ok]]
         ok = x != y
         a.append(np.minimum(x, y)[ok])
         b.append(np.maximum(x, y)[ok])
     some = np.unique(np.stack([np.concatenate(a), np.concatenate(b)]), axis=1) if a else np.zeros((2, 0), np.int64)
-    in_tree = np.bincount(number[tree], minlength=int(number[-1]) + 1 if len(number) else 0)
-    return some[0], some[1], forest.visited, int(in_tree[number[probe]].sum())
+    return some[0], some[1], forest.visited, nodes
 
 
 def _search(batches: Iterator[pa.RecordBatch], threshold: float, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
@@ -387,11 +394,12 @@ def near_duplicate_pairs(records: DataFrame, key: str, title: str, body: str, k:
     Shingles are ordered from rare to frequent, by the power of two of the number of records that have them (exact counts,
     kept in a table of bounded size; any order is right, this one makes small shards), and a class is filed in a shard
     for each of its first size - ceil(threshold * size) + 1 that another record has as well: two classes that reach the
-    threshold have one of these in common, the first shingle that they share. A shard is a BK-tree on codes, children
-    keyed by integer Hamming distance to their parent; each shingle toggles one of the code's bits, so codes differ in no
-    more bits than the sets in shingles, and the radius follows from a probe's size and the shard's place in its order.
-    What the trees find is compared on codes of 256 to 1,024 bits by the same bound, and must have enough left for the
-    overlap after the shard's place. Trees travel to the probes by shuffle, not by broadcast: all trees together grow
+    threshold have one of these in common, the first shingle that they share. A shard is a BK-tree on codes of what the
+    sets have after the shard's shingle, children keyed by integer Hamming distance to their parent; each shingle toggles
+    one of the code's bits, so codes differ in no more bits than the sets in shingles. Before its first common shingle a
+    pair differs in everything, so the radius is what the threshold leaves after the probe's place and the least place in
+    the tree. What the trees find is compared on codes of 192 to 768 bits by the same bound with the pair's own places,
+    and must have enough left for the overlap. Trees travel to the probes by shuffle, not by broadcast: all trees together grow
     with the data. A shard that may hold more than `block` codes is cut into trees of about that size, each probed by the
     whole shard in a task of its own, so no shard gathers in one place. Pairs found are verified on the sets of their
     48-bit shingle hashes, re-read for the records in question.

@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from marlstone.llm.bkforest import BKForest, hamming
-from marlstone.llm.near_duplicates import _code_bytes, all_pairs, near_duplicate_groups, near_duplicate_pairs, plain, search_shards
+from marlstone.llm.near_duplicates import _rest_codes, all_pairs, near_duplicate_groups, near_duplicate_pairs, plain, search_shards
 from marlstone.llm.textvec import WHITE_SPACE, class_table, code_points, words
 
 SCHEMA = "id bigint, title string, body string, code_a string, shard string, rep string, _id string"
@@ -125,7 +125,7 @@ def test_trees_prune_groups_of_similar_texts():
     values, at = np.concatenate(sets), np.arange(0, 200_000, 100)
     n = len(sets)
     facts = np.full(n, 100 << 32, np.int64)
-    t = pa.table({"shard": np.zeros(n, np.int64), "facts": facts, "set_a": np.arange(n), "code": pa.array(_code_bytes(values, at, np.full(n, 100)), pa.binary())})
+    t = pa.table({"shard": np.zeros(n, np.int64), "facts": facts, "set_a": np.arange(n), "code": pa.array(_rest_codes(values, at + 99, at, np.full(n, 100)), pa.binary())})
     a, b, visited, nodes = search_shards(t, 0.8)
     assert set(zip(a.tolist(), b.tolist(), strict=True)) == {(i, j) for i in range(n) for j in range(i + 1, n) if i // 50 == j // 50}
     assert nodes == n * n and visited < 0.7 * nodes
