@@ -39,11 +39,26 @@ def bm25_idf(docs: DataFrame, terms: str) -> DataFrame:
     return document_frequencies(docs, terms).select("term", "df", idf(F.col("df"), docs.agg(F.count(F.lit(1))).scalar()).alias("idf"))
 
 
+def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each document's different terms with their number: no row leaves its place, so nothing is shuffled."""
+    for whole in batches:
+        for a in range(0, whole.num_rows, 1024):
+            batch = whole.slice(a, 1024)
+            size = batch["terms"].value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            encoded = batch["terms"].flatten().dictionary_encode()
+            code = encoded.indices.fill_null(-1).to_numpy().astype(np.int64)
+            doc, code = np.repeat(np.arange(batch.num_rows), size)[code >= 0], code[code >= 0]
+            pair, tf = np.unique(doc * max(1, len(encoded.dictionary)) + code, return_counts=True)
+            doc, code = np.divmod(pair, max(1, len(encoded.dictionary)))
+            yield pa.RecordBatch.from_arrays([batch["id"].take(pa.array(doc)), pa.array(size[doc].astype(np.int32)), encoded.dictionary.take(pa.array(code)).cast(pa.string()), pa.array(tf)], names=["id", "len", "term", "tf"])
+
+
 def bm25_vectors(docs: DataFrame, key: str, terms: str) -> DataFrame:
-    """(key, term, tf, weight): saturated, length-normalised term frequencies. The inverse document frequency is the query's part, so a grown corpus leaves them as they are but for the average length."""
-    tf = docs.select(key, F.size(terms).alias("len"), F.explode(terms).alias("term")).groupBy(key, "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    """(key, term, tf, weight): saturated, length-normalised term frequencies of documents, one row each. The inverse document frequency is the query's part, so a grown corpus leaves them as they are but for the average length."""
+    own = docs.select(F.col(key).alias("id"), F.col(terms).alias("terms"))
+    tf = own.mapInArrow(_term_counts, f"id {own.dtypes[0][1]}, len int, term string, tf bigint")
     weight = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / bm25_stats(docs, terms).select("avg_len").scalar()))
-    return tf.select(key, "term", "tf", weight.alias("weight"))
+    return tf.select(F.col("id").alias(key), "term", "tf", weight.alias("weight"))
 
 
 class _Top:

@@ -75,6 +75,13 @@ def test_bm25_prefers_rare_terms_short_documents_and_saturates(spark):
     assert one[0]["doc_id"] == 2 and one[0]["score"] < 3 * one[1]["score"]
 
 
+def test_term_vectors(spark):
+    docs = spark.createDataFrame([("x", ["b", "a", "b", None]), ("y", []), ("z", None), (None, ["a"])], "k string, t array<string>")
+    got = {(r["k"], r["term"]): r["tf"] for r in retrieval.bm25_vectors(docs, "k", "t").collect()}
+    assert got == {("x", "a"): 1, ("x", "b"): 2, (None, "a"): 1}
+    assert retrieval.bm25_vectors(docs.limit(0), "k", "t").count() == 0
+
+
 def test_searches_in_blocks_of_queries_agree(spark):
     docs = terms(spark, [(i, " ".join(f"t{(i * k) % 17}" for k in range(1, 9))) for i in range(60)])
     queries = spark.createDataFrame([(i, [f"t{i}", f"t{i + 1}"]) for i in range(12)], "query_id bigint, terms array<string>")
